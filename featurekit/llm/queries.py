@@ -7,10 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from featurekit.llm import decontaminate, near_dedup, packing, quality, token_counts, toxicity
+from featurekit.llm import chat, decontaminate, license_scan, near_dedup, packing, quality, token_counts, topk_search, toxicity, url_filter
 from featurekit.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.page_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.format_chats(turns, chat.learn(turns))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -19,10 +28,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.nearest_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +52,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_near_dedup, op6_token_counts, op8_toxicity, op9_decontamination, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_quality, op4_near_dedup, op5_topk_search, op6_token_counts, op7_license_scans, op8_toxicity, op9_decontamination, op10_packing)}
 
 #: Where SQL can give the same rows.
-ORACLE: dict[str, str] = {}
+#: The nearest rows by brute force, over all pairs of a query and a row.
+TOPK_SQL = """
+WITH c AS (SELECT DISTINCT vec_id, embedding FROM embeddings),
+s AS (SELECT vec_id, [x > 0 for x in embedding[1:64]] AS bits FROM c),
+d AS (SELECT q.vec_id, s.vec_id AS neighbour, min(list_sum([CAST(z[1] <> z[2] AS INT) for z in list_zip(q.bits, s.bits)])) AS distance FROM s q JOIN s ON q.vec_id <> s.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS rank FROM d)
+SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, CAST(distance AS INT) AS distance FROM r WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filters": url_filter.SQL, "op5_topk_search": TOPK_SQL}
