@@ -59,6 +59,7 @@ def _ring_problem(r: Ring) -> str | None:
     if len(d) < 4:
         return "Too few points in geometry component"
     a, b, n = d[:-1], d[1:], len(d) - 1
+    touches = False
     for i, j in crossings(a, b, a, b):
         if i >= j:
             continue
@@ -71,8 +72,10 @@ def _ring_problem(r: Ring) -> str | None:
             continue
         touch = {tuple(a[i]), tuple(b[i])} & {tuple(a[j]), tuple(b[j])}
         proper = not touch and not any(_cross(x, y, z) == 0 for x, y, z in ((a[i], b[i], a[j]), (a[i], b[i], b[j]), (a[j], b[j], a[i]), (a[j], b[j], b[i])))
-        return "Self-intersection" if proper or not touch else "Ring Self-intersection"
-    return None
+        if proper or not touch:
+            return "Self-intersection"
+        touches = True
+    return "Ring Self-intersection" if touches else None
 
 
 def _cross_properly(r: Ring, s: Ring) -> bool:
@@ -226,4 +229,5 @@ def is_valid(g: Column) -> Column:
 
 
 def make_valid(g: Column) -> Column:
-    return _repaired(g)
+    """A valid geometry of the same points; null for null."""
+    return F.when(g.isNotNull(), _repaired(g))

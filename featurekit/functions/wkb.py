@@ -6,6 +6,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
@@ -79,6 +81,11 @@ def to_wkb(g: pd.DataFrame) -> pd.Series:
 
 
 @pandas_udf(TYPE)
-def from_wkb(raw: pd.Series) -> pd.DataFrame:
+def _from_wkb(raw: pd.Series) -> pd.DataFrame:
     found = [(None, None) if b is None else decode(bytes(b)) for b in raw]
     return pd.DataFrame({"type": pd.Series([k for k, _ in found], dtype=object), "parts": pd.Series([p for _, p in found], dtype=object)})
+
+
+def from_wkb(raw: Column) -> Column:
+    """The native geometry; null for null."""
+    return F.when(raw.isNotNull(), _from_wkb(raw))

@@ -106,12 +106,16 @@ def filter_rows(df: DataFrame, filters: Mapping[str, Mask]) -> DataFrame:
 
 
 def index_as_id(df: DataFrame, name: str = "id") -> DataFrame:
-    """Rows numbered from 0 within each file, in file order: the file's rows before a row are counted by its block, so no
-    file is sorted in one task."""
-    if name in df.columns:
-        df = df.drop(name)
-    marked = df.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
-    return marked.withColumn(name, F.col("__at")).drop("__file", "__at")
+    """Rows of a scan numbered from 0 in its order. Partitions count their rows first (one number each reaches the
+    driver), so no row is sorted or moved."""
+    df = df.drop(name).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    counts = {r["__part"]: r["count"] for r in df.groupBy("__part").count().collect()}
+    offsets, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        offsets.append(total)
+        total += counts.get(part, 0)
+    start = F.get(F.split(F.lit(",".join(map(str, offsets)) or "0"), ",").cast("array<bigint>"), F.col("__part"))
+    return df.withColumn(name, start + F.col("__at")).drop("__part", "__at")
 
 
 def constant_profile(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
