@@ -69,9 +69,10 @@ class Index:
         return np.unique(np.concatenate(found), axis=0)
 
 
-def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and matches of the stretch with most matches less mismatches (the first, the longest of equal ones)."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -1))])
+def best_run(same: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """Start, end and matches of the best stretch (the first, the longest of equal ones). A mismatch weighs so much that
+    no stretch with a smaller share of matches than ``min_share`` is better than a part of it."""
+    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -min_share / (1 - min_share)).round(9))]).round(6)
     low = np.minimum.accumulate(total)
     end = int(np.argmax(total - low))
     start = int(np.flatnonzero(total[: end + 1] == low[end])[0])
@@ -83,8 +84,8 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     document), n_matched and share (of the item's words).
 
     A hit of any seed fixes how item and document lie on each other; on that diagonal the best stretch of equal words
-    counts if at least ``min_share`` of it match and it has ``min_matches`` matches, or as many as an item of fewer words
-    has. Items of 5 to 7 words must occur whole; shorter or null ones match nothing, nor do empty or null texts. Repeated
+    (of which at least ``min_share`` match) counts if it has ``min_matches`` matches, or as many as an item of fewer words
+    has words. Items of 5 to 7 words must occur whole; shorter or null ones match nothing, nor do empty or null texts. Repeated
     rows give repeated results. Nothing is shuffled; test items are broadcast in blocks of ``WORDS_PER_PASS`` words."""
     spark = docs.sparkSession
     tests = tests.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
@@ -127,9 +128,9 @@ def _found(index: Index, batch: pa.RecordBatch, min_matches: int, min_share: flo
         first = max(0, -start)
         for d in np.unique(doc[start + first : start + len(item)]).tolist():
             lo, hi = max(start, begin[d]), min(start + len(item), begin[d] + sizes[d])
-            a, b, n = best_run(h[lo:hi] == item[lo - start : hi - start])
+            a, b, n = best_run(h[lo:hi] == item[lo - start : hi - start], min_share)
             key = (d, i, lo + a)
-            if n >= min(min_matches, len(item)) and n >= min_share * (b - a) and key not in seen:
+            if n >= min(min_matches, len(item)) and key not in seen:
                 seen.add(key)
                 ids = ids or batch.column(0).to_pylist()
                 yield {"doc": ids[d], "item": index.ids[i], "word_start": int(lo + a - begin[d]), "word_end": int(lo + b - begin[d]), "n_matched": n, "n_item": len(item)}
