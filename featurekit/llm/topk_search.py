@@ -92,7 +92,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     entries = ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asked = queries.select(F.col(id_col).alias("query"), F.col(code_col).alias("code")).filter("query is not null and code is not null").distinct()
     asked_codes = asked.select("code").distinct()
-    n = entries.agg(F.count("*").alias("n"), ).first()["n"]
+    n = entries.agg(F.count("*").alias("n")).first()["n"]
     m = asked_codes.count()
     blocks, groups = max(1, -(-n // BLOCK_CODES)), max(1, -(-m // BLOCK_QUERIES))
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
@@ -101,19 +101,24 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
 
     def search(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         codes = index["code"].to_numpy(np.int64)
-        out: list[tuple[int, list, list]] = []
+        out: list[tuple[int, int, list, list]] = []
+        block = int(index["block"].iloc[0]) if len(index) else 0
         if len(codes):
             built, ids = SegmentIndex(codes), index["ids"].to_list()
             weights = np.array([len(x) for x in ids])
             for q in wanted["code"].tolist():
                 found, distance = built.nearest(q, weights, k + 1)
                 best = sorted((d, i) for f, d in zip(found.tolist(), distance.tolist(), strict=True) for i in ids[f])[: k + 1]
-                out.append((q, [i for _, i in best], [d for d, _ in best]))
-        return pd.DataFrame(out, columns=["code", "ids", "distances"])
+                out.append((q, block, [i for _, i in best], [d for d, _ in best]))
+        return pd.DataFrame(out, columns=["code", "block", "ids", "distances"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    met = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(search, f"code bigint, ids array<{kind}>, distances array<int>")
-    merged = met.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("distances").alias("distance"), F.col("ids").alias("id"))))), 1, k + 1).alias("near"))
+    met = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(search, f"code bigint, block int, ids array<{kind}>, distances array<int>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")
+    found = met.select("code", "block", F.arrays_zip(F.col("distances").alias("distance"), F.col("ids").alias("id")).alias("near"))
+    # Two levels, so that a query gathers the root of as many lists as there are blocks at once.
+    half = found.groupBy("code", F.pmod("block", F.lit(int(blocks**0.5) + 1)).alias("part")).agg(best)
+    merged = half.groupBy("code").agg(best)
     mine = asked.join(merged, "code").withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("query")), 1, k))
     return mine.select("query", F.posexplode("near").alias("at", "x")).select(F.col("query").alias(id_col), (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.distance").alias("distance"))
 
