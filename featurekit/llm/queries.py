@@ -64,4 +64,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighb
 SELECT vec_id, CAST(rank AS INT) AS rank, neighbour, CAST(distance AS INT) AS distance FROM r WHERE rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op1_url_filters": url_filter.SQL, "op5_topk_search": TOPK_SQL}
+#: Links between all documents that share a shingle, on full sets, and what can be reached by them.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) END AS sh FROM w),
+u AS (SELECT r, unnest(sh) AS x, len(sh) AS n FROM s),
+l AS (SELECT a.r AS ra, b.r AS rb FROM u a JOIN u b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(r, t) AS (SELECT r, r FROM s UNION SELECT reach.r, l.rb FROM reach JOIN l ON reach.t = l.ra),
+c AS (SELECT reach.r, min(s.doc_id) AS component_id FROM reach JOIN s ON reach.t = s.r GROUP BY reach.r)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op1_url_filters": url_filter.SQL, "op4_near_dedup": NEAR_SQL, "op5_topk_search": TOPK_SQL}
