@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from featurekit.llm.common import free_name, materialize
 
 BITS_PER_KEY, HASHES = 10, 3
+#: Bits of a level at least, so that a short list takes hardly any key of a very large corpus for its own.
+LEAST_BITS = 1 << 16
 #: Bits of a level that a plan may carry (a literal of 1 MB); longer lists are joined instead.
 MOST_BITS = 1 << 23
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,7 +74,7 @@ def _inside(words: np.ndarray, key: Column, level: int) -> Column:
 def _encode(keys: DataFrame, level: int) -> np.ndarray:
     """A level's words; the rows that reach the driver are its words, ``MOST_BITS`` / 64 at most."""
     n = keys.count()
-    bits = 64 * -(-max(n * BITS_PER_KEY, 64) // 64)
+    bits = 64 * -(-max(n * BITS_PER_KEY, LEAST_BITS) // 64)
     if bits > MOST_BITS:
         raise OverflowError(n)
     at = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("p"))

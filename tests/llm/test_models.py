@@ -31,6 +31,7 @@ def test_url_filter(spark):
 
 
 def test_cascade_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LEAST_BITS", 64)
     monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, hence many levels
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("crc32(key) % 7 = 0")
@@ -42,6 +43,7 @@ def test_cascade_is_exact(spark, monkeypatch):
 def test_long_lists_are_joined(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"http://h{i}{'-casino' if i % 3 == 0 else ''}.net/") for i in range(60)], "page_id int, url string")
     short = sorted(map(tuple, url_filter.page_verdicts(df).collect()))
+    monkeypatch.setattr(url_filter, "LEAST_BITS", 64)
     monkeypatch.setattr(url_filter, "MOST_BITS", 128)
     assert sorted(map(tuple, url_filter.page_verdicts(df).collect())) == short
 
