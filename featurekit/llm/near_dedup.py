@@ -20,7 +20,10 @@ RETAINED = 40
 LEAST = 0.35
 #: Lists up to this size give all their pairs. Longer ones are linked through hubs, and what hubs leave apart is compared in blocks.
 SHORT = 8
-BLOCK = 2048
+#: Smallest values of a sketch whose long lists are looked at: the union's FRONT smallest are all unshared in one of a
+#: million pairs of similarity 0.75. BLOCK: shingles of a block of a list, on average.
+FRONT = 10
+BLOCK = 400_000
 BATCH = 256
 
 
@@ -70,6 +73,12 @@ def _least(n: Column) -> Column:
     return F.ceil(F.least(n, F.lit(RETAINED)) * LEAST)
 
 
+def _whole_sets(keys: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """key and values (the whole set) of the keys, from the text of a document that has the set."""
+    reps = classes.select("key", F.col("rep").alias("doc")).join(keys, "key").select("doc").distinct()
+    return _sets(docs.join(reps, "doc", "left_semi"), width, True).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "values")
+
+
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Of distinct pairs of keys (a < b) those whose sketches may, and then whose whole sets do, reach the similarity."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("values").alias(f"s{x}"))
@@ -77,9 +86,8 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, RETAINED)
     shared = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     near = materialize(near.filter(shared >= LEAST * F.size(union)).select("a", "b", "na", "nb"))
-    keys = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    reps = classes.select("key", F.col("rep").alias("doc")).join(keys, "key").select("doc").distinct()
-    whole = materialize(_sets(docs.join(reps, "doc", "left_semi"), width, True).join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "values"))
+    keys = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+    whole = materialize(_whole_sets(keys, classes, docs, width))
     with_a = near.join(whole.select(F.col("key").alias("a"), F.col("values").alias("va")), "a")
     both = with_a.join(whole.select(F.col("key").alias("b"), F.col("values").alias("vb")), "b")
     common = F.size(F.array_intersect("va", "vb"))
@@ -102,37 +110,57 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("key", "root")
 
 
-def _apart(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists whose members lie in different components, by their sketches: every block of a list meets
-    every other one, each meeting in a task of bounded size. lists: v, key, root."""
-    mixed = lists.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("df")).filter("lo <> hi").select("v", F.ceil(F.col("df") / BLOCK).alias("blocks"))
-    rows = lists.join(mixed, "v").withColumn("i", F.pmod(F.xxhash64("key"), F.col("blocks")))
-    rows = rows.join(classes.select("key", "n", "values"), "key")
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("v", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "key", "root", "n", "values")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        left, right = g[g.i == g.lo.iloc[0]], g[g.i == g.hi.iloc[0]]
-        v = int(g.v.iloc[0])
-        count = np.zeros((len(left), len(right)), np.int16)
-        flat = lambda x: (np.concatenate(x["values"].to_list()), np.repeat(np.arange(len(x)), x["values"].map(len)))
-        (lv, lm), (rv, rm) = flat(left), flat(right)
-        order = np.argsort(rv, kind="stable")
-        rv, rm = rv[order], rm[order]
-        order = np.argsort(lv, kind="stable")
-        lv, lm = lv[order], lm[order]
-        values, at, sizes = np.unique(lv, return_index=True, return_counts=True)
-        lo, hi = np.searchsorted(rv, values, "left"), np.searchsorted(rv, values, "right")
-        for a, n, b, c in zip(at[hi > lo], sizes[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-            count[np.ix_(lm[a : a + n], rm[b:c])] += 1
-        ln, rn = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
-        need = LEAST * np.minimum(np.minimum(ln, rn), RETAINED)
-        lk, rk = left.key.to_numpy(), right.key.to_numpy()
-        ok = (count >= need) & (left.root.to_numpy()[:, None] != right.root.to_numpy()[None, :]) & (100 * np.minimum(ln, rn) >= percent * np.maximum(ln, rn)) & (lk[:, None] != rk[None, :])
-        x, y = np.nonzero(ok)
-        return pd.DataFrame({"a": np.minimum(lk[x], rk[y]), "b": np.maximum(lk[x], rk[y]), "v": v}).drop_duplicates()
-
-    return rows.groupBy("v", "lo", "hi").applyInPandas(run, "a bigint, b bigint, v bigint").select("a", "b").distinct()
+def _roots_of(links: DataFrame, lists: DataFrame) -> DataFrame:
+    return lists.select("v", "key", "n").join(components(links), "key", "left").select("v", "key", "n", F.coalesce("root", "key").alias("root"))
+
+
+def _apart(lists: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) that still join components of a list's members: whoever is outside the list's largest component meets
+    all members by whole sets, block against block, so that a task's memory is bounded. Of the pairs that reach the
+    similarity a task returns as many as connect the same components. lists: v, key, n, root."""
+    sizes = lists.groupBy("v", "root").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    mixed = sizes.groupBy("v").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).filter("parts > 1")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = materialize(lists.join(mixed.select("v", "main", blocks.alias("blocks")), "v"))
+    keys = rows.select("key").distinct()
+    whole = materialize(_whole_sets(keys, classes, docs, width))
+    full = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.col("blocks"))).join(whole, "key")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = full.filter("root <> main").select("v", F.col("at").alias("i"), each.alias("j"), "key", "root", "values")
+    everyone = full.select(F.col("v").alias("v"), each.alias("i"), F.col("at").alias("j"), *(F.col(x).alias(x) for x in ("key", "root", "values")))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_joining(left, right, percent), columns=["a", "b"]) if len(left) and len(right) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return outside.groupBy("v", "i", "j").cogroup(everyone.groupBy("v", "i", "j")).applyInPandas(run, "a bigint, b bigint").distinct()
+
+
+def _joining(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Pairs of keys, at the similarity or above, that connect what all such pairs between the two frames connect."""
+    flat = lambda x: (np.concatenate(x["values"].to_list()), np.repeat(np.arange(len(x)), x["values"].map(len)))
+    (lv, lm), (rv, rm) = flat(left), flat(right)
+    lo, ro = np.argsort(lv, kind="stable"), np.argsort(rv, kind="stable")
+    lv, lm, rv, rm = lv[lo], lm[lo], rv[ro], rm[ro]
+    values, at, n = np.unique(lv, return_index=True, return_counts=True)
+    first, last = np.searchsorted(rv, values, "left"), np.searchsorted(rv, values, "right")
+    common = np.zeros((len(left), len(right)), np.int32)
+    met = last > first
+    for a, k, b, c in zip(at[met].tolist(), n[met].tolist(), first[met].tolist(), last[met].tolist(), strict=True):
+        common[np.ix_(lm[a : a + k], rm[b:c])] += 1
+    ln, rn = left["values"].map(len).to_numpy()[:, None], right["values"].map(len).to_numpy()[None, :]
+    near = common * 100 >= (ln + rn - common) * percent
+    _, label = np.unique(np.concatenate([left["root"], right["root"]]), return_inverse=True)
+    label = label.reshape(-1)
+    lk, rk = left["key"].tolist(), right["key"].tolist()
+    out = []
+    for x in range(len(lk)):
+        ys = np.flatnonzero(near[x])
+        parts, which = np.unique(label[len(lk) + ys], return_index=True)
+        for part, y in zip(parts.tolist(), ys[which].tolist(), strict=True):
+            if part != label[x]:
+                out.append((min(lk[x], rk[y]), max(lk[x], rk[y])))
+                label[label == part] = label[x]
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
@@ -145,22 +173,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     sketched = materialize(_sets(rows, width, False))
     classes = materialize(sketched.filter("n > 0").groupBy("key").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("values").alias("values")))
-    postings = classes.select("key", "n", F.explode("values").alias("v"))
+    postings = classes.select("key", "n", F.posexplode("values").alias("rank", "v"))
     sizes = materialize(postings.groupBy("v").agg(F.count("*").alias("df"), F.min("key").alias("first"), F.max("key").alias("last")).filter("df > 1"))
     few = postings.join(sizes.filter(F.col("df") <= SHORT).select("v"), "v")
     pairs = few.alias("x").join(few.alias("y"), F.expr("x.v = y.v and x.key < y.key")).filter(_of_size(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    # A similar pair shares LEAST of its sketches; one that no short list has shares as many values of long lists.
+    # A similar pair shares LEAST of its sketches. If no short list has it, both have that many values of long lists, and
+    # of the FRONT smallest values of their union they share one.
     many = postings.join(sizes.filter(F.col("df") > SHORT), "v")
     needing = many.groupBy("key").agg(F.count("*").alias("long_lists"), F.first("n").alias("n")).filter(F.col("long_lists") >= _least(F.col("n"))).select("key")
-    many = materialize(many.join(needing, "key", "left_semi"))
-    hubs = many.select("key", F.explode(F.array("first", "last")).alias("hub")).filter("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    many = materialize(many.filter(F.col("rank") < FRONT).join(needing, "key", "left_semi"))
+    hubs = many.select("key", F.col("first").alias("hub")).union(many.select("key", "last")).filter("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     links = _verify(pairs.unionByName(hubs).distinct(), classes, rows, percent, width)
-    roots = components(links)
-    lists = many.select("v", "key").join(roots, "key", "left").select("v", "key", F.coalesce("root", "key").alias("root"))
-    more = materialize(_apart(lists, classes, percent))
-    if more.limit(1).count():
-        more = _verify(more, classes, rows, percent, width)
-        roots = components(links.unionByName(more))
+    more = materialize(_apart(_roots_of(links, many), classes, rows, percent, width))
+    roots = components(links.unionByName(more))
     joined = classes.select("key", "rep").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = joined.groupBy("root").agg(F.min("rep").alias("component"))
     label = joined.join(smallest, "root").select("key", "component")
@@ -171,8 +196,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, its columns as they were. Rows that repeat a kept id with a text of that group count
-    as one document: one of them stays."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    null_ids = docs.filter("doc_id is null and trim(coalesce(text, '')) = ''")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns).unionByName(null_ids)
+    """One document of each group, its columns as they were. Rows of one id stand or fall together; of rows that repeat a
+    kept id and its text one stays."""
+    kept = near_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count("*").alias("__copies"))
+    found = docs.join(kept, "doc_id")
+    once = found.filter(F.col("__copies") == 1).select(*docs.columns)
+    again = found.filter(F.col("__copies") > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    null_ids = docs.filter(r"doc_id is null and not coalesce(text, '') rlike '[^\\x20\\x09-\\x0D]'")
+    return once.unionByName(again).unionByName(null_ids)
