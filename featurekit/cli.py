@@ -15,10 +15,11 @@ from featurekit import describe as describe_
 from featurekit import rename, stac
 from featurekit.operators.improve import improve
 from featurekit.operators.union import merge
-from featurekit.plans import convert, validate
+from featurekit.plans import convert
+from featurekit.registry import REGISTRY
 from featurekit.schema import bundled, jsonschema
 from featurekit.sources import geojson, geoparquet
-from featurekit.sources.discover import encoding_of, expand
+from featurekit.sources.discover import expand
 from featurekit.table import FeatureTable
 
 
@@ -27,14 +28,11 @@ def session() -> SparkSession:
 
 
 def read(spark: SparkSession, path: str, **options) -> FeatureTable:
-    return (geoparquet.read_geoparquet if encoding_of(path) == "geoparquet" else geojson.read_geojson)(spark, path, **options)
+    return REGISTRY.encoding(path).read(spark, path, **options)
 
 
 def write(t: FeatureTable, path: str, **options) -> None:
-    if encoding_of(path) == "geoparquet":
-        geoparquet.write_geoparquet(t, path, single_file=True, **options)
-    else:
-        geojson.write_geojson(t, path, **{k: v for k, v in options.items() if k in ("properties", "schema_map")})
+    REGISTRY.encoding(path).write(t, path, **options)
 
 
 def _pairs(values: Sequence[str]) -> dict[str, str]:
@@ -126,10 +124,10 @@ def run(argv: Sequence[str] | None = None, spark: SparkSession | None = None) ->
     get = lambda: spark or session()
     parquet = lambda: {"compression": a.compression, "level": a.compression_level, "version": a.geoparquet_version, "schema_map": maps}
     if a.command == "convert":
-        name = a.dataset if a.dataset.endswith(".py") or "." in a.dataset else f"featurekit.datasets.{a.dataset}"
+        name = a.dataset if a.dataset.endswith(".py") or "." in a.dataset else f"{REGISTRY.converters}.{a.dataset}"
         convert.convert_file(get(), convert.load(name)(), a.out, compression=a.compression, level=a.compression_level, version=a.geoparquet_version, single_file=True, schema_map=maps, inputs=a.input or None, variant=a.variant, cache=a.cache, original_geometries=a.original_geometries)
     elif a.command == "converters":
-        for name, found in convert.discover("featurekit.datasets").items():
+        for name, found in convert.discover(REGISTRY.converters).items():
             print(f"{name}: {found}" if isinstance(found, Exception) else f"{name}: {found.short_name or found.title}" + (f" ({found.provider})" if a.providers and found.provider else ""))
     elif a.command == "create-geojson":
         if a.features:
@@ -144,7 +142,7 @@ def run(argv: Sequence[str] | None = None, spark: SparkSession | None = None) ->
         datatypes = bundled.load_file(a.datatypes) if a.datatypes else bundled.DATATYPES
         _emit(jsonschema.document(bundled.load_file(a.schema), datatypes.get("$defs", datatypes), a.id), a.out)
     elif a.command == "create-stac-collection":
-        columnar = encoding_of(a.source) == "geoparquet"
+        columnar = REGISTRY.encoding(a.source).columnar
         t = read(get(), a.source, properties=["geometry", a.temporal_property] if columnar else None)
         columns = geoparquet.column_types(geoparquet.footer(a.source)) if columnar else None
         href = a.data_url or "file://" + str(Path(a.source).resolve())
@@ -162,8 +160,8 @@ def run(argv: Sequence[str] | None = None, spark: SparkSession | None = None) ->
     elif a.command == "rename-extension":
         print("\n".join(rename.rename_extension(a.folder, rename.replacements(a.title, a.prefix, a.slug, a.org, a.domain))))
     elif a.command == "validate":
-        required = [re.compile(r) if any(c in r for c in "\\*+[(") else r for r in a.require]
-        results = validate.validate_files(get(), [p for s in a.sources for p in expand(s)], num=a.num, schema_map=maps, required=required)
+        required = REGISTRY.required_schemas + [re.compile(r) if any(c in r for c in "\\*+[(") else r for r in a.require]
+        results = {p: REGISTRY.encoding(p).validate(get(), p, a.num, maps, required) for s in a.sources for p in expand(s)}
         for path, r in results.items():
             print("\n".join([f"{path}: {r.status}", *(f"  error: {x}" for x in r.errors), *(f"  warning: {x}" for x in r.warnings)]))
         return int(any(r.status != "VALID" for r in results.values()))
