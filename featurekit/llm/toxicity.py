@@ -4,6 +4,7 @@ weighted by distance give calibrated scores and evidence."""
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -145,8 +146,9 @@ def _platt(votes: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index | None:
-    """The index of at most ``rows`` labelled documents. Its terms are the words and stems whose occurrence depends on the
-    label (chi-squared at least ``LEAST_CHI2`` in at least ``LEAST_DOCS`` examples), ``TERMS`` at most."""
+    """The index of at most ``rows`` labelled documents. Its terms are the words and stems that toxic examples have more
+    often than others (chi-squared at least ``LEAST_CHI2`` in at least ``LEAST_DOCS`` examples), ``TERMS`` at most. Words
+    that toxic examples lack say more about which texts were copied often than about toxicity."""
     sample = training_sample(docs, labels, "toxic", held_remainder("doc_id", 3) != 1, rows, FIT_CHARS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +167,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index | N
     by = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("both")).filter((F.col("df") >= LEAST_DOCS) & (F.col("df") < n))
     expected = F.col("df") * pos / n
     chi2 = F.pow(F.col("both") - expected, 2) / expected / (1 - F.lit(pos / n)) / (1 - F.col("df") / n)
-    chosen = by.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "df").collect()
+    chosen = by.withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & (F.col("both") > expected)).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "df").collect()
     df = {r["term"]: r["df"] for r in chosen}
-    terms_df = docs.sparkSession.createDataFrame([(t,) for t in df] or [("",)], "term string")
     vectors: dict = {}
-    for r in counted.join(F.broadcast(terms_df), "term", "left_semi").select("doc_id", "term", "n").collect():  # rows of the bounded sample
-        vectors.setdefault(r["doc_id"], {})[r["term"]] = r["n"]
+    found = counted.filter(F.col("term").isin(list(df))).select("doc_id", "term", "n") if df else counted.limit(0).select("doc_id", "term", "n")
+    for batch in found.toArrow().to_batches(max_chunksize=10_000):  # rows of the bounded sample
+        for doc, term, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            vectors.setdefault(doc, {})[sys.intern(term)] = k
     return build([(r["doc_id"], r["y"], vectors.get(r["doc_id"], {})) for r in ids.orderBy("doc_id").collect()], df, n)
 
 
