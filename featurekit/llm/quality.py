@@ -4,6 +4,7 @@ temperature that calibrates its probabilities."""
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -130,7 +131,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, steps: int = 400) -
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
-    ids, vectors = word_vectors([tokens(t) for t in texts])
+    ids, vectors = word_vectors([list(map(sys.intern, tokens(t))) for t in texts])  # each distinct token once in memory
     rng = np.random.default_rng(seed)
     one, zero = np.ones(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32)
     m = Model(ids, vectors, zero, one, rng.normal(0, DIMENSIONS**-0.5, (DIMENSIONS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), 0.0)
