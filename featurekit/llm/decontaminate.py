@@ -79,13 +79,35 @@ def best_run(same: np.ndarray, min_share: float) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def whole_run(same: np.ndarray, min_share: float) -> tuple[int, int, int]:
+    """Start, end and matches of the stretch with most matches (the shortest, the first of equal ones) of those that have
+    the share ``min_share`` and end where the overlap does: in no stretch that follows on it or leads to it do the matches
+    outnumber the mismatches. So a copy of which too few words are equal does not count for a denser part of it."""
+    n = np.concatenate([[0], np.cumsum(same)])
+    at = np.arange(len(n))
+    gain, total = 2 * n - at, (n - min_share * at).round(6)
+    starts = np.flatnonzero(gain == np.minimum.accumulate(gain))
+    ends = np.flatnonzero(gain == np.maximum.accumulate(gain[::-1])[::-1])
+    # For each end the first start from which the share is reached: there the lowest total so far is no higher than at the end.
+    first = np.searchsorted(-np.minimum.accumulate(total[starts]), -total[ends], "left")
+    found = first < len(starts)
+    a, b = starts[first[found]], ends[found]
+    found = a < b
+    if not found.any():
+        return 0, 0, 0
+    a, b = a[found], b[found]
+    k = np.lexsort((a, b - a, n[a] - n[b]))[0]
+    inner = np.flatnonzero(same[a[k] : b[k]])
+    return int(a[k] + inner[0]), int(a[k] + inner[-1] + 1), len(inner)
+
+
 def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_matches: int = 12, min_share: float = 0.7, min_words: int = 5) -> DataFrame:
     """One row per document row, test item and place where they overlap: id, item, word_start, word_end (in the
     document), n_matched and share (of the item's words).
 
-    A hit of any seed fixes how item and document lie on each other; on that diagonal the best stretch of equal words
-    (of which at least ``min_share`` match) counts if it has ``min_matches`` matches, or as many as an item of fewer words
-    has words. Items of 5 to 7 words must occur whole; shorter or null ones match nothing, nor do empty or null texts. Repeated
+    A hit of any seed fixes how item and document lie on each other; on that diagonal the whole overlap, or the best
+    stretch of equal words (``whole_run``, ``best_run``; of either at least ``min_share`` match), counts if it has
+    ``min_matches`` matches, or as many as an item of fewer words has words; the place is that with more matches. Items of 5 to 7 words must occur whole; shorter or null ones match nothing, nor do empty or null texts. Repeated
     rows give repeated results. Nothing is shuffled; test items are broadcast in blocks of ``WORDS_PER_PASS`` words."""
     spark = docs.sparkSession
     tests = tests.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
@@ -128,7 +150,8 @@ def _found(index: Index, batch: pa.RecordBatch, min_matches: int, min_share: flo
         first = max(0, -start)
         for d in np.unique(doc[start + first : start + len(item)]).tolist():
             lo, hi = max(start, begin[d]), min(start + len(item), begin[d] + sizes[d])
-            a, b, n = best_run(h[lo:hi] == item[lo - start : hi - start], min_share)
+            same = h[lo:hi] == item[lo - start : hi - start]
+            a, b, n = max(best_run(same, min_share), whole_run(same, min_share), key=lambda x: x[2])
             key = (d, i, lo + a)
             if n >= min(min_matches, len(item)) and key not in seen:
                 seen.add(key)

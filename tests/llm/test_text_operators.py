@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -141,6 +142,41 @@ def test_overlaps(spark):
     assert decontaminate.contaminated(df, tests.limit(0)).count() == 0
 
 
+def brute_run(same, min_share):
+    """Most matches of any stretch that has the share and from which no stretch with more matches than mismatches goes on."""
+    n = len(same)
+    most = 0
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            open_left = any(2 * sum(same[c:a]) > a - c for c in range(a))
+            open_right = any(2 * sum(same[b:c]) > c - b for c in range(b + 1, n + 1))
+            if not open_left and not open_right and sum(same[a:b]) >= min_share * (b - a) - 1e-9:
+                most = max(most, sum(same[a:b]))
+    return most
+
+
+def test_whole_overlaps_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        same = [rng.random() < rng.choice([0.6, 0.75, 0.9]) for _ in range(rng.randint(1, 22))]
+        a, b, n = decontaminate.whole_run(np.array(same), 0.7)
+        assert n == brute_run(same, 0.7) == sum(same[a:b]) and n >= 0.7 * (b - a) - 1e-9
+
+
+@pytest.mark.parametrize("size,equal", [(15, 13), (20, 16), (20, 15), (24, 18), (40, 30)])
+def test_overlap_of_whole_items_with_substitutions(size, equal):
+    rng = random.Random(size + equal)
+    for t in range(100):
+        item = [f"w{t}x{k}" for k in range(size)]
+        swapped = set(rng.sample(range(size), size - equal))
+        text = " ".join([*"abcdefg", *(f"s{k}" if k in swapped else w for k, w in enumerate(item)), *"hijklmn"])
+        index = decontaminate.Index([(0, decontaminate.word_hashes(decontaminate.words_of(" ".join(item))))], 5)
+        words = decontaminate.word_hashes(decontaminate.words_of(text))
+        met = len(index.hits(words, np.zeros(len(words), np.int64))) > 0
+        found = list(decontaminate._found(index, pa.RecordBatch.from_pydict({"doc": [1], "text": [text]}), 12, 0.7))
+        assert [x["n_matched"] >= equal for x in found] == [True] * met
+
+
 def test_more_test_words_than_one_pass_holds(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", 20)
     tests = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(15))) for i in range(6)], "item_id bigint, text string")
