@@ -17,6 +17,8 @@ from featurekit.llm.common import window_hashes, word_hashes
 #: Word positions that a seed compares. Each leaves out one residue of 3, 4, 5 or 6, so a substitution in every third to
 #: sixth word leaves one of them whole at some place.
 SEEDS = ((0, 1, 3, 4, 6, 7), (0, 1, 2, 4, 5, 6), (0, 1, 2, 3, 5, 6), (0, 1, 2, 3, 4, 6))
+#: Further seeds for items of 8 to 15 words: together with the others they find every item of which 0.7 of the words are equal.
+SHORT_SEEDS = ((0, 2, 3, 4), (0, 1, 2, 7), (0, 1, 5, 6), (0, 1, 3, 7))
 #: Test words that one pass over the documents looks for; bounds what is broadcast. More are looked for in more passes.
 WORDS_PER_PASS = 2_000_000
 BATCH = 256
@@ -35,12 +37,13 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [h for _, h in items]
         short = {len(h) for h in self.words if min_words <= len(h) < 8}
-        self.seeds = [*SEEDS, *(tuple(range(n)) for n in sorted(short))]
+        # Each seed with the sizes of the items that it looks for.
+        self.seeds = [*((s, range(8, 1 << 62)) for s in SEEDS), *((s, range(8, 16)) for s in SHORT_SEEDS), *((tuple(range(n)), [n]) for n in sorted(short))]
         self.tables = []
-        for k, offsets in enumerate(self.seeds):
+        for offsets, sizes in self.seeds:
             hashes, item, at = [], [], []
             for i, h in enumerate(self.words):
-                if len(h) < min_words or (len(h) < 8 if k < len(SEEDS) else len(h) != len(offsets)):
+                if len(h) < min_words or len(h) not in sizes:
                     continue
                 w = window_hashes(h, list(offsets))
                 hashes.append(w)
@@ -101,13 +104,19 @@ def whole_run(same: np.ndarray, min_share: float) -> tuple[int, int, int]:
     return int(a[k] + inner[0]), int(a[k] + inner[-1] + 1), len(inner)
 
 
+def least_matches(size: int, min_matches: int, min_share: float) -> int:
+    """Matches that an item of ``size`` words needs: ``min_matches``, or its share of them where that is less; those of
+    fewer than 8 words, which one seed of all their words finds, need every word."""
+    return min(min_matches, size if size < 8 else int(np.ceil(round(min_share * size, 6))))
+
+
 def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_matches: int = 12, min_share: float = 0.7, min_words: int = 5) -> DataFrame:
     """One row per document row, test item and place where they overlap: id, item, word_start, word_end (in the
     document), n_matched and share (of the item's words).
 
     A hit of any seed fixes how item and document lie on each other; on that diagonal the whole overlap, or the best
     stretch of equal words (``whole_run``, ``best_run``; of either at least ``min_share`` match), counts if it has
-    ``min_matches`` matches, or as many as an item of fewer words has words; the place is that with more matches. Items of 5 to 7 words must occur whole; shorter or null ones match nothing, nor do empty or null texts. Repeated
+    ``min_matches`` matches, or ``min_share`` of the item's words where that is less; the place is that with more matches. Items of 5 to 7 words must occur whole; shorter or null ones match nothing, nor do empty or null texts. Repeated
     rows give repeated results. Nothing is shuffled; test items are broadcast in blocks of ``WORDS_PER_PASS`` words."""
     spark = docs.sparkSession
     tests = tests.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
@@ -153,7 +162,7 @@ def _found(index: Index, batch: pa.RecordBatch, min_matches: int, min_share: flo
             same = h[lo:hi] == item[lo - start : hi - start]
             a, b, n = max(best_run(same, min_share), whole_run(same, min_share), key=lambda x: x[2])
             key = (d, i, lo + a)
-            if n >= min(min_matches, len(item)) and key not in seen:
+            if n >= least_matches(len(item), min_matches, min_share) and key not in seen:
                 seen.add(key)
                 ids = ids or batch.column(0).to_pylist()
                 yield {"doc": ids[d], "item": index.ids[i], "word_start": int(lo + a - begin[d]), "word_end": int(lo + b - begin[d]), "n_matched": n, "n_item": len(item)}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -177,6 +178,22 @@ def test_overlap_of_whole_items_with_substitutions(size, equal):
         assert [x["n_matched"] >= equal for x in found] == [True] * met
 
 
+@pytest.mark.parametrize("size", range(8, 16))
+def test_short_items_tolerate_substitutions(size):
+    item = [f"w{k}" for k in range(size)]
+    index = decontaminate.Index([(0, decontaminate.word_hashes(decontaminate.words_of(" ".join(item))))], 5)
+
+    def found(swapped):
+        text = " ".join([*"abc", *("x" if k in swapped else w for k, w in enumerate(item)), *"def"])
+        return [x["n_matched"] for x in decontaminate._found(index, pa.RecordBatch.from_pydict({"doc": [1], "text": [text]}), 12, 0.7)]
+
+    few = int(0.3 * size + 1e-9)  # as many as the share allows
+    for swapped in itertools.combinations(range(size), few):
+        assert max(found(swapped)) == size - few
+    assert all(found({k}) == [size - 1] for k in range(size))
+    assert all(found(swapped) == [] for swapped in itertools.combinations(range(size), few + 1))
+
+
 def test_more_test_words_than_one_pass_holds(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "WORDS_PER_PASS", 20)
     tests = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(15))) for i in range(6)], "item_id bigint, text string")
