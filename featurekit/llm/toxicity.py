@@ -1,31 +1,33 @@
-"""Toxicity (operator 8): nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes; votes
-weighted by distance give calibrated scores and evidence."""
+"""Toxicity (operator 8): nearest labelled examples by the exact cosine of whole TF-IDF vectors; votes weighted by
+distance give calibrated scores and evidence."""
 
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurekit.llm.common import held_remainder, materialize
 from featurekit.llm.quality import training_sample
 
-#: Bounds of the sample of labelled rows that are the examples, and of the terms that describe them.
+#: Bounds of the sample of labelled rows that are the examples.
 FIT_ROWS = 12_000
 FIT_CHARS = 100_000
-TERMS = 8192
-LEAST_DOCS, LEAST_CHI2 = 5, 40.0
 NEIGHBOURS = 15
-BLOCK = 64
-REMEMBERED = 400_000
-BATCH = 256
+#: The terms of most examples, that many at most, are held as a dense matrix; words of evidence of a text.
+DENSE = 1024
+EVIDENCE = 10
+REMEMBERED = 200_000
+BATCH = 64
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -38,63 +40,132 @@ def terms(word: str) -> list[str]:
     return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) >= n)]
 
 
+def hashed(found: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for t in found], np.uint64)
+
+
+class Vocabulary:
+    """Numbers of terms, known by their hashes (ascending)."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+
+    def get(self, term: str) -> int | None:
+        h = hashed([term])
+        at = int(np.searchsorted(self.hashes, h)[0])
+        return at if at < len(self.hashes) and self.hashes[at] == h[0] else None
+
+    __getitem__ = get
+
+
 @dataclass
 class Index:
-    """Examples as TF-IDF vectors of length 1, inverted: by term the examples in order, cut into blocks of ``BLOCK``
-    examples whose largest weight is known. ``rates``: a and b of the calibration, and the share of toxic examples among
-    those that have no term at all."""
+    """Examples as TF-IDF vectors of length 1 over all their terms: of example e the terms and their counts from ``ptr[e]``
+    to ``ptr[e + 1]``. ``idf`` also holds how much more often than others toxic examples have a term. What searching
+    needs beyond that is made where it is first asked for."""
 
-    ids: dict[str, int]
+    ids: Vocabulary
     idf: np.ndarray
     labels: np.ndarray
     examples: list
-    at: list[np.ndarray]
-    weight: list[np.ndarray]
-    tops: np.ndarray
-    rates: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    ptr: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t] if len(t) else np.empty(0)
+        return self.weighed(t, np.array([counts[i] for i in t.tolist()], float))
+
+    def weighed(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / max(np.linalg.norm(w), 1e-12)
 
-    def nearest(self, counts: dict[int, int], without: int = -1) -> list[tuple[float, int]]:
-        """The examples of largest cosine above 0, exactly; ties go to the smaller number. Blocks are taken by their upper
-        bounds until none can hold a better one."""
-        t, w = self.vector(counts)
-        if not len(t):
-            return []
-        bounds = w @ self.tops[t]
-        order = np.argsort(-bounds, kind="stable")
-        best, cosine = np.empty(0, np.int64), np.empty(0)
-        done, size = 0, 8
-        while done < len(order) and bounds[order[done]] > 0 and (len(best) < NEIGHBOURS or bounds[order[done]] >= cosine[-1] - 1e-9):
-            chosen = np.zeros(len(order), bool)
-            chosen[order[done : done + size]] = True
-            done, size = done + size, size * 4
-            dots = np.zeros(len(self.labels))
-            for term, q in zip(t.tolist(), w.tolist(), strict=True):
-                here = chosen[self.at[term] // BLOCK]
-                dots[self.at[term][here]] += q * self.weight[term][here]
-            if without >= 0:
-                dots[without] = 0
-            new = np.flatnonzero(dots)
-            best, cosine = np.concatenate([best, new]), np.concatenate([cosine, dots[new].round(9)])
+    @cached_property
+    def slots(self) -> np.ndarray:
+        return np.full(len(self.idf), -1)
+
+    @cached_property
+    def weights(self) -> np.ndarray:
+        w = (1 + np.log(self.counts, dtype=np.float64)) * self.idf[self.terms]
+        length = np.sqrt(np.bincount(np.repeat(np.arange(len(self.labels)), np.diff(self.ptr)), w * w, len(self.labels)))
+        return w / np.repeat(np.maximum(length, 1e-12), np.diff(self.ptr))
+
+    @cached_property
+    def lists(self) -> tuple[np.ndarray, ...]:
+        """Row of a term in the dense matrix (-1: none), that matrix, and by other terms the examples and weights."""
+        df = np.bincount(self.terms, minlength=len(self.idf))
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        row = np.full(len(df), -1)
+        row[often] = np.arange(len(often))
+        dense = np.zeros((len(often), len(self.labels)), np.float32)
+        example = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.ptr))
+        at = row[self.terms]
+        dense[at[at >= 0], example[at >= 0]] = self.weights[at >= 0]
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=len(df)))])
+        return row, dense, start, example[rare], self.weights[rare].astype(np.float32)
+
+    def entries(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the examples' terms, and which of the examples each belongs to."""
+        n = self.ptr[chosen + 1] - self.ptr[chosen]
+        return np.repeat(self.ptr[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(chosen)), n)
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By vector the cosines and numbers of the examples of largest cosine above 0, exactly; ties go to the smaller
+        number. Cosines of single precision with all examples leave out those that cannot be among them."""
+        row, dense, start, example, weight = self.lists
+        queries = np.zeros((len(vectors), len(dense)), np.float32)
+        for q, (t, w) in zip(queries, vectors, strict=True):
+            q[row[t[row[t] >= 0]]] = w[row[t] >= 0]
+        rough = queries @ dense
+        wide = np.zeros(len(self.idf))
+        out = []
+        for k, (t, w) in enumerate(vectors):
+            n = start[t + 1] - start[t]
+            at = np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            near = rough[k] + np.bincount(example[at], np.repeat(w, n) * weight[at], len(self.labels))
+            if without:
+                near[without[k]] = 0
+            least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] if len(near) > NEIGHBOURS else 0.0
+            best = np.flatnonzero((near >= least - 1e-4) & (near > 0))
+            wide[t] = w
+            place, which = self.entries(best)
+            cosine = np.bincount(which, wide[self.terms[place]] * self.weights[place], len(best)).round(9)
+            wide[t] = 0
             first = np.lexsort((best, -cosine))[:NEIGHBOURS]
-            best, cosine = best[first], cosine[first]
+            first = first[cosine[first] > 0]
+            out.append((cosine[first], best[first]))
+        return out
+
+    def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
+        cosine, best = self.search([self.vector(counts)])[0]
         return list(zip(cosine.tolist(), best.tolist(), strict=True))
 
-    def vote(self, found: list[tuple[float, int]]) -> float:
+    def vote(self, cosine: np.ndarray, best: np.ndarray) -> float:
         """Share of toxic examples, each weighing as much as it is near."""
-        w = np.array([1 / (1.05 - s) for s, _ in found])
-        return float((w @ self.labels[[e for _, e in found]]) / w.sum())
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        found = self.nearest(counts)
-        if not found:
-            return self.rates[2], []
-        a, b, _ = self.rates
-        return float(1 / (1 + np.exp(-np.clip(a * _logit(self.vote(found)) + b, -30, 30)))), found
+        w = 1 / (1.05 - cosine)
+        return float((w @ self.labels[best]) / w.sum())
+
+    def shares(self, t: np.ndarray, w: np.ndarray, cosine: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """How much each term of a vector adds to the cosines, which weigh as in the vote."""
+        place, which = self.entries(best)
+        self.slots[t] = np.arange(len(t))
+        at = self.slots[self.terms[place]]
+        self.slots[t] = -1
+        met = at >= 0
+        return w * np.bincount(at[met], self.weights[place][met] / (1.05 - cosine[which[met]]), len(t))
+
+    def own_votes(self, numbers: list[int]) -> list[float | None]:
+        """Votes on examples by the others; None without a neighbour."""
+        vectors = [(self.terms[self.ptr[e] : self.ptr[e + 1]], self.weights[self.ptr[e] : self.ptr[e + 1]]) for e in numbers]
+        return [self.vote(*x) if len(x[1]) else None for x in self.search(vectors, numbers)]
+
+    def rates(self, votes: list[float | None]) -> tuple[float, float, float]:
+        """a and b of the calibration, and the share of toxic examples among those without a neighbour."""
+        met = np.array([v is not None for v in votes])
+        bare = (self.labels[~met].sum() + self.labels.mean()) / ((~met).sum() + 1)
+        return *_platt(np.array([v for v in votes if v is not None]), self.labels[met]), float(bare)
 
 
 def _logit(p):
@@ -102,32 +173,40 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def build(examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], n: int) -> Index | None:
-    """An index of (id, label, counts of chosen terms); df: in how many of the n examples a term occurs."""
-    labels = np.array([y for _, y, _ in examples], float)
+def assemble(rows: list[tuple[object, int, np.ndarray, np.ndarray]]) -> Index | None:
+    """An index of (id, label, hashes of terms, their counts). A term weighs its idf, times how many times as often as in
+    all examples the label occurs among those with the term, 1 at least (two more examples with the usual share count
+    along): a ratio, which does not grow with the examples."""
+    labels = np.array([r[1] for r in rows], float)
     if len(set(labels.tolist())) < 2:
         return None
-    ids = {t: i for i, t in enumerate(sorted(df))}
-    idf = np.log((1 + n) / (1 + np.array([df[t] for t in sorted(df)], float))) + 1
-    blocks = -(-len(examples) // BLOCK)
-    index = Index(ids, idf, labels, [e for e, _, _ in examples], [], [], np.zeros((len(ids), blocks)))
-    lists: list[list[tuple[int, float]]] = [[] for _ in ids]
-    vectors = [{ids[t]: c for t, c in counts.items()} for _, _, counts in examples]
-    for e, counts in enumerate(vectors):
-        for t, w in zip(*index.vector(counts), strict=True):
-            lists[t].append((e, w))
-            index.tops[t, e // BLOCK] = max(index.tops[t, e // BLOCK], w)
-    index.at = [np.array([e for e, _ in x], np.int64) for x in lists]
-    index.weight = [np.array([w for _, w in x]) for x in lists]
-    votes, truth, without = [], [], []
-    for e, counts in enumerate(vectors):
-        found = index.nearest(counts, without=e)
-        (votes if found else without).append(index.vote(found) if found else labels[e])
-        if found:
-            truth.append(labels[e])
-    bare = (sum(without) + labels.mean()) / (len(without) + 1)
-    index.rates = (*_platt(np.array(votes), np.array(truth)), float(bare))
-    return index
+    known = np.empty(0, np.uint64)
+    for k in range(0, len(rows), 500):
+        known = np.unique(np.concatenate([known, *(r[2] for r in rows[k : k + 500])]))
+    ptr = np.cumsum([0, *(len(r[2]) for r in rows)])
+    terms, counts = np.empty(ptr[-1], np.int32), np.empty(ptr[-1], np.int32)
+    for e, (_, _, h, n) in enumerate(rows):
+        found = np.searchsorted(known, h)
+        order = np.argsort(found)
+        terms[ptr[e] : ptr[e + 1]], counts[ptr[e] : ptr[e + 1]] = found[order], n[order]
+    df = np.bincount(terms, minlength=len(known))
+    both = np.bincount(terms, np.repeat(labels, np.diff(ptr)), len(known))
+    lift = (both / labels.mean() + 2) / (df + 2)
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1) * np.maximum(lift, 1)
+    return Index(Vocabulary(known), idf, labels, [r[0] for r in rows], ptr, terms, counts.astype(np.min_scalar_type(int(counts.max(initial=1)))))
+
+
+def build(examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], n: int) -> Index | None:
+    """An index of (id, label, counts of terms); df: in how many of the n examples a term occurs."""
+    return assemble([(i, y, hashed(c), np.array(list(c.values()), np.int32)) for i, y, c in examples])
+
+
+def term_counts(text: str | None) -> Counter:
+    out: Counter = Counter()
+    for w, n in Counter(words(text)).items():
+        for t in terms(w):
+            out[t] += n
+    return out
 
 
 def _platt(votes: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
@@ -146,91 +225,102 @@ def _platt(votes: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index | None:
-    """The index of at most ``rows`` labelled documents. Its terms are the words and stems that toxic examples have more
-    often than others (chi-squared at least ``LEAST_CHI2`` in at least ``LEAST_DOCS`` examples), ``TERMS`` at most. Words
-    that toxic examples lack say more about which texts were copied often than about toxicity."""
+    """The index of at most ``rows`` labelled documents, over all their words and stems. Tasks count and hash the terms, so
+    that the driver holds two numbers by example and term."""
     sample = training_sample(docs, labels, "toxic", held_remainder("doc_id", 3) != 1, rows, FIT_CHARS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, text in enumerate(b.column(1).to_pylist()):
-                found = Counter(t for w, n in Counter(words(text)).items() for t in terms(w) for _ in range(n))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(found.values(), pa.int64()), *(b.column(i).take(pa.array([k] * len(found), pa.int64())) for i in (0, 2))], names=["term", "n", "doc_id", "y"])
+        for big in batches:
+            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
+                found = [term_counts(t) for t in b.column(1).to_pylist()]
+                h, n = [hashed(c).tobytes() for c in found], [np.array(list(c.values()), np.int32).tobytes() for c in found]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(h, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "y", "h", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = materialize(sample.select("doc_id", "text", "y").repartition(8).mapInArrow(count, f"term string, n bigint, doc_id {kind}, y int"))
-    ids = materialize(sample.select("doc_id", "y"))
-    size = ids.agg(F.count("*").alias("n"), F.sum("y").alias("pos")).first()
-    n, pos = size["n"], size["pos"] or 0
-    if not 0 < pos < n:
-        return None
-    by = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("both")).filter((F.col("df") >= LEAST_DOCS) & (F.col("df") < n))
-    expected = F.col("df") * pos / n
-    chi2 = F.pow(F.col("both") - expected, 2) / expected / (1 - F.lit(pos / n)) / (1 - F.col("df") / n)
-    chosen = by.withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & (F.col("both") > expected)).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "df").collect()
-    df = {r["term"]: r["df"] for r in chosen}
-    vectors: dict = {}
-    found = counted.filter(F.col("term").isin(list(df))).select("doc_id", "term", "n") if df else counted.limit(0).select("doc_id", "term", "n")
-    for batch in found.toArrow().to_batches(max_chunksize=10_000):  # rows of the bounded sample
-        for doc, term, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            vectors.setdefault(doc, {})[sys.intern(term)] = k
-    return build([(r["doc_id"], r["y"], vectors.get(r["doc_id"], {})) for r in ids.orderBy("doc_id").collect()], df, n)
+    counted = materialize(sample.select("doc_id", "text", "y").repartition(8).mapInArrow(count, f"doc_id {kind}, y int, h binary, n binary"))
+    found = [(r["doc_id"], r["y"], np.frombuffer(bytes(r["h"]), np.uint64), np.frombuffer(bytes(r["n"]), np.int32)) for r in counted.toLocalIterator()]  # rows of the bounded sample
+    return assemble(sorted(found, key=lambda r: r[0]))
 
 
 class Scorer:
-    """Scores of texts; words and term counts that were met before are remembered, within bounds."""
+    """Scores of texts; the terms of words that were met before are remembered, within bounds."""
 
-    def __init__(self, index: Index):
-        self.index = index
+    def __init__(self, index: Index, rates: tuple[float, float, float]):
+        self.index, self.rates = index, rates
         self.known: dict[str, tuple[int, ...]] = {}
-        self.scored: dict[tuple, tuple] = {}
-
-    def __call__(self, text: str | None) -> tuple[float, list[tuple[float, int]], list[str]]:
-        known, get = self.known, self.index.ids.get
-        found = words(text)
-        distinct = set(found)
-        if len(known) > REMEMBERED:
-            known.clear()
-        hit = []
-        for w in distinct:
-            if (t := known.get(w)) is None:
-                t = known[w] = tuple(i for x in terms(w) if (i := get(x)) is not None)
-            if t:
-                hit.append(w)
-        if not hit:
-            return self.index.rates[2], [], []
-        counts: Counter = Counter()
-        for w in hit:
-            for i in known[w]:
-                counts[i] += found.count(w)
-        key = tuple(sorted(counts.items()))
-        if key not in self.scored:
-            if len(self.scored) > REMEMBERED // 10:
-                self.scored.clear()
-            self.scored[key] = self.index.score(counts)
-        return *self.scored[key], sorted(hit)
+
+    def _terms(self, new: list[str]) -> None:
+        """Looks up the terms of words that are not yet known."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        each = [terms(w) for w in new]
+        all_hashes, have = hashed([t for x in each for t in x]), self.index.ids.hashes
+        at = np.minimum(np.searchsorted(have, all_hashes), len(have) - 1)
+        at = iter(np.where(have[at] == all_hashes, at, -1).tolist())
+        for w, x in zip(new, each, strict=True):
+            self.known[w] = tuple(i for i in (next(at) for _ in x) if i >= 0)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
+        index, (a, b, bare) = self.index, self.rates
+        found = [Counter(words(t)) for t in texts]
+        if len(index.ids.hashes):
+            self._terms(list({w for c in found for w in c}.difference(self.known) if len(self.known) <= REMEMBERED else {w for c in found for w in c}))
+        vectors, parts = [], []
+        for c in found:
+            each = [self.known.get(w, ()) for w in c]
+            word = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            t, part = np.unique(np.array([i for x in each for i in x], np.int64), return_inverse=True)
+            n = np.array(list(c.values()), float)
+            vectors.append(index.weighed(t, np.bincount(part, n[word], len(t))))
+            parts.append((word, part))
+        out = []
+        for c, (word, part), (t, w), (cosine, best) in zip(found, parts, vectors, index.search(vectors), strict=True):
+            if not len(best):
+                out.append((bare, [], []))
+                continue
+            p = float(1 / (1 + np.exp(-np.clip(a * _logit(index.vote(cosine, best)) + b, -30, 30))))
+            weight = np.bincount(word, index.shares(t, w, cosine, best)[part], len(c))
+            first = np.argsort(-weight, kind="stable")[:EVIDENCE]
+            names = list(c)
+            out.append((p, best.tolist(), sorted(names[i] for i in first.tolist() if weight[i] > 0)))
+        return out
+
+
+def _calibrated(spark: SparkSession, shared: Broadcast, index: Index | None) -> tuple[float, float, float]:
+    """Rates from the votes on each example by the others, which tasks count."""
+    if index is None:
+        return 1.0, 0.0, 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.own_votes(b.column(0).to_pylist()), pa.float64())], names=["e", "vote"])
+
+    rows = spark.range(0, len(index.labels), 1, 12).mapInArrow(run, "e bigint, vote double").collect()  # two numbers by example
+    return index.rates([r["vote"] for r in sorted(rows, key=lambda r: r["e"])])
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted, neighbours (ids of the nearest examples) and evidence (the words that led to
-    them) of every row of documents.
+    """doc_id, held_out, score, predicted, neighbours (ids of the nearest examples) and evidence (the ``EVIDENCE`` words
+    that add most to their cosines) of every row of documents.
 
     Examples are at most ``rows`` labelled rows that are not held out (crc32 of the id modulo 3 is not 1) and of at most
-    ``FIT_CHARS`` characters; every whole text is compared with all of them, exactly. Texts without any term of the
-    index, null and empty ones among them, have the share of toxic examples among such examples. Without two labels to
+    ``FIT_CHARS`` characters; every whole text is compared with all of them, exactly, by all its terms. Texts without
+    any word of an example, null and empty ones among them, have the share of toxic examples among such examples. Without two labels to
     learn from, every score is 0. A null id counts as held out. Repeated rows each have their score; other columns are
     not read, and there is no shuffle of documents."""
     index = learn(docs, labels, rows)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    rates = _calibrated(docs.sparkSession, shared, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = Scorer(shared.value) if shared.value else lambda _: (0.0, [], [])
+        score_of = Scorer(shared.value, rates) if shared.value else lambda texts: [(0.0, [], [])] * len(texts)
         ids = shared.value.examples if shared.value else []
         for big in batches:
             for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
-                got = [score_of(t) for t in b.column(1).to_pylist()]
-                near = pa.array([[ids[e] for _, e in x[1]] for x in got], pa.list_(b.schema.field(0).type))
+                got = score_of(b.column(1).to_pylist())
+                near = pa.array([[ids[e] for e in x[1]] for x in got], pa.list_(b.schema.field(0).type))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), near, pa.array([x[2] for x in got], pa.list_(pa.string()))], names=["doc_id", "score", "neighbours", "evidence"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, neighbours array<{kind}>, evidence array<string>")

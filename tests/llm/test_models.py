@@ -104,6 +104,17 @@ def test_nearest_examples_are_exact():
         assert [s for s, _ in got] == pytest.approx([-s for s, _ in want])
 
 
+def test_every_text_meets_examples(spark):
+    """Texts whose words say nothing about toxicity, too, and however few examples there are."""
+    rng = random.Random(9)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{k % 40}x".replace("0", "o") for k in rng.sample(range(400), 30)) + f" plain{'abcdefghij'[i % 10]}" for i in range(120)]
+    docs = spark.createDataFrame([(i, t + (" venom" if i % 4 == 0 else "")) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+    for size in (24, 120):
+        rows = toxicity.score(docs.filter(F.col("doc_id") < size), labels.filter(F.col("doc_id") < size)).collect()
+        assert all(len(r["neighbours"]) > 0 and 0 < len(r["evidence"]) <= toxicity.EVIDENCE for r in rows)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     codes = rng.integers(-(2**63), 2**63, 600, dtype=np.int64)
