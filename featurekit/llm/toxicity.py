@@ -23,8 +23,16 @@ from featurekit.llm.quality import training_sample
 FIT_ROWS = 12_000
 FIT_CHARS = 100_000
 NEIGHBOURS = 15
-#: The terms of most examples, that many at most, are held as a dense matrix; words of evidence of a text.
+#: Letters of a word's beginning that stand for the forms of its stem.
+STEM = 5
+#: Examples of a block, and the terms of most examples, that many at most, whose lists keep each block's weights side by side.
+BLOCK = 32
 DENSE = 1024
+#: Blocks that a text meets first, and those after them that it may meet before its bar is raised once more.
+ROUNDS = (4, 32)
+#: What single precision may be wrong by.
+SLACK = 1e-4
+#: Words of evidence of a text.
 EVIDENCE = 10
 REMEMBERED = 200_000
 BATCH = 64
@@ -36,8 +44,12 @@ def words(text: str | None) -> list[str]:
 
 
 def terms(word: str) -> list[str]:
-    """The word and its first 4, 5 and 6 letters, which stand for the forms of a stem."""
-    return [word, *(f"{word[:n]}-" for n in (4, 5, 6) if len(word) >= n)]
+    """The word and, where it is long enough, its first ``STEM`` letters."""
+    return [word, f"{word[:STEM]}-"] if len(word) >= STEM else [word]
+
+
+def _slices(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return np.concatenate([x[:0], *(x[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))])
 
 
 def hashed(found: Iterable[str]) -> np.ndarray:
@@ -80,10 +92,6 @@ class Index:
         w = (1 + np.log(n)) * self.idf[t]
         return t, w / max(np.linalg.norm(w), 1e-12)
 
-    @cached_property
-    def slots(self) -> np.ndarray:
-        return np.full(len(self.idf), -1)
-
     @cached_property
     def weights(self) -> np.ndarray:
         w = (1 + np.log(self.counts, dtype=np.float64)) * self.idf[self.terms]
@@ -91,55 +99,32 @@ class Index:
         return w / np.repeat(np.maximum(length, 1e-12), np.diff(self.ptr))
 
     @cached_property
-    def lists(self) -> tuple[np.ndarray, ...]:
-        """Row of a term in the dense matrix (-1: none), that matrix, and by other terms the examples and weights."""
-        df = np.bincount(self.terms, minlength=len(self.idf))
-        often = np.argsort(-df, kind="stable")[:DENSE]
-        row = np.full(len(df), -1)
-        row[often] = np.arange(len(often))
-        dense = np.zeros((len(often), len(self.labels)), np.float32)
-        example = np.repeat(np.arange(len(self.labels), dtype=np.int32), np.diff(self.ptr))
-        at = row[self.terms]
-        dense[at[at >= 0], example[at >= 0]] = self.weights[at >= 0]
-        rare = np.flatnonzero(at < 0)
-        rare = rare[np.argsort(self.terms[rare], kind="stable")]
-        start = np.concatenate([[0], np.cumsum(np.bincount(self.terms[rare], minlength=len(df)))])
-        return row, dense, start, example[rare], self.weights[rare].astype(np.float32)
-
-    def entries(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the examples' terms, and which of the examples each belongs to."""
-        n = self.ptr[chosen + 1] - self.ptr[chosen]
-        return np.repeat(self.ptr[chosen] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(chosen)), n)
-
-    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """By vector the cosines and numbers of the examples of largest cosine above 0, exactly; ties go to the smaller
-        number. Cosines of single precision with all examples leave out those that cannot be among them."""
-        row, dense, start, example, weight = self.lists
-        queries = np.zeros((len(vectors), len(dense)), np.float32)
-        for q, (t, w) in zip(queries, vectors, strict=True):
-            q[row[t[row[t] >= 0]]] = w[row[t] >= 0]
-        rough = queries @ dense
+    def lists(self) -> "Lists":
+        return Lists(self)
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By vector the cosines and numbers of the examples of largest cosine above 0, exactly, ties to the smaller
+        number; and how much each of its terms adds to these cosines, which weigh as in the vote."""
         wide = np.zeros(len(self.idf))
         out = []
-        for k, (t, w) in enumerate(vectors):
-            n = start[t + 1] - start[t]
-            at = np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            near = rough[k] + np.bincount(example[at], np.repeat(w, n) * weight[at], len(self.labels))
-            if without:
-                near[without[k]] = 0
-            least = np.partition(near, -NEIGHBOURS)[-NEIGHBOURS] if len(near) > NEIGHBOURS else 0.0
-            best = np.flatnonzero((near >= least - 1e-4) & (near > 0))
+        for (t, w), best in zip(vectors, self.lists.candidates(vectors, without), strict=True):
             wide[t] = w
-            place, which = self.entries(best)
-            cosine = np.bincount(which, wide[self.terms[place]] * self.weights[place], len(best)).round(9)
+            begin, end = self.ptr[best], self.ptr[best + 1]
+            which, found = np.repeat(np.arange(len(best)), end - begin), _slices(self.terms, begin, end)
+            part = wide[found] * _slices(self.weights, begin, end)
             wide[t] = 0
+            cosine = np.bincount(which, part, len(best)).round(9)
             first = np.lexsort((best, -cosine))[:NEIGHBOURS]
             first = first[cosine[first] > 0]
-            out.append((cosine[first], best[first]))
+            gain = np.zeros(len(best))
+            gain[first] = 1 / (1.05 - cosine[first])
+            met = np.flatnonzero(part)
+            shares = np.bincount(np.searchsorted(t, found[met]), part[met] * gain[which[met]], len(t))
+            out.append((cosine[first], best[first], shares))
         return out
 
     def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
-        cosine, best = self.search([self.vector(counts)])[0]
+        cosine, best, _ = self.search([self.vector(counts)])[0]
         return list(zip(cosine.tolist(), best.tolist(), strict=True))
 
     def vote(self, cosine: np.ndarray, best: np.ndarray) -> float:
@@ -147,19 +132,10 @@ class Index:
         w = 1 / (1.05 - cosine)
         return float((w @ self.labels[best]) / w.sum())
 
-    def shares(self, t: np.ndarray, w: np.ndarray, cosine: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """How much each term of a vector adds to the cosines, which weigh as in the vote."""
-        place, which = self.entries(best)
-        self.slots[t] = np.arange(len(t))
-        at = self.slots[self.terms[place]]
-        self.slots[t] = -1
-        met = at >= 0
-        return w * np.bincount(at[met], self.weights[place][met] / (1.05 - cosine[which[met]]), len(t))
-
     def own_votes(self, numbers: list[int]) -> list[float | None]:
         """Votes on examples by the others; None without a neighbour."""
         vectors = [(self.terms[self.ptr[e] : self.ptr[e + 1]], self.weights[self.ptr[e] : self.ptr[e + 1]]) for e in numbers]
-        return [self.vote(*x) if len(x[1]) else None for x in self.search(vectors, numbers)]
+        return [self.vote(c, best) if len(best) else None for c, best, _ in self.search(vectors, numbers)]
 
     def rates(self, votes: list[float | None]) -> tuple[float, float, float]:
         """a and b of the calibration, and the share of toxic examples among those without a neighbour."""
@@ -168,6 +144,77 @@ class Index:
         return *_platt(np.array([v for v in votes if v is not None]), self.labels[met]), float(bare)
 
 
+class Lists:
+    """Block-max inverted lists. Examples lie in blocks of ``BLOCK``, like ones together; of each common term every block
+    has its weights and the largest of them, and the few examples of any other term are listed.
+
+    A text's cosine with an example is at most the block's largest weights of the common terms, times the text's, and
+    the block's largest sum over the other terms. Blocks are opened from the highest bound on, until the bound of those
+    that are left lies below the ``NEIGHBOURS``-th best cosine."""
+
+    def __init__(self, index: Index):
+        n, df = len(index.labels), np.bincount(index.terms, minlength=len(index.idf))
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.ptr))
+        at = self.row[index.terms]
+        # Like ones: of the same label, and with most weight on the same one of the commonest terms.
+        common = np.zeros((n, min(64, len(often))), np.float32)
+        few = np.flatnonzero((at >= 0) & (at < 64))
+        common[example[few], at[few]] = index.weights[few]
+        order = np.lexsort((common.max(1), common.argmax(1), index.labels)) if common.size else np.arange(n)
+        self.blocks = -(-n // BLOCK)
+        self.number = np.full(self.blocks * BLOCK, -1)
+        self.number[:n] = order
+        self.place = np.empty(n, np.int32)
+        self.place[order] = np.arange(n)
+        where = self.place[example]
+        self.dense = np.zeros((self.blocks, len(often), BLOCK), np.float32)
+        self.dense[where[at >= 0] // BLOCK, at[at >= 0], where[at >= 0] % BLOCK] = index.weights[at >= 0]
+        self.most = np.ascontiguousarray(self.dense.max(2).T)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(index.terms[rare], kind="stable")]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(index.terms[rare], minlength=len(df)))])
+        self.listed, self.weight = where[rare], index.weights[rare].astype(np.float32)
+
+    def candidates(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None) -> list[np.ndarray]:
+        """By vector the examples that may be among the nearest; never ``without``'s."""
+        queries = np.zeros((len(vectors), self.dense.shape[1]), np.float32)
+        near = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
+        for q, total, (t, w) in zip(queries, near, vectors, strict=True):
+            common = self.row[t]
+            q[common[common >= 0]] = w[common >= 0]
+            t, w = t[common < 0], w[common < 0]
+            begin, end = self.start[t], self.start[t + 1]
+            gain = np.repeat(w.astype(np.float32), end - begin) * _slices(self.weight, begin, end)
+            total += np.bincount(_slices(self.listed, begin, end), gain, len(total))
+        if without is not None:
+            near[np.arange(len(vectors)), self.place[without]] = -2
+        near = near.reshape(len(vectors), self.blocks, BLOCK)
+        bound = queries @ self.most + near.max(2) + SLACK
+        opened = np.zeros(bound.shape, bool)
+        bar = np.full(len(vectors), SLACK)
+        for at_once in (*ROUNDS, self.blocks):
+            wanted = np.where(opened | (bound < bar[:, None]), 0, bound)
+            if at_once < self.blocks:
+                wanted[wanted < np.partition(wanted, -at_once, 1)[:, -at_once, None]] = 0
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                of = np.flatnonzero(wanted[:, b])
+                near[of, b] += queries[of] @ self.dense[b]
+            opened |= wanted > 0
+            for q, (o, s) in enumerate(zip(opened, near, strict=True)):
+                found = s[o].ravel()
+                if len(found) > NEIGHBOURS:
+                    bar[q] = max(bar[q], np.partition(found, -NEIGHBOURS)[-NEIGHBOURS] - SLACK)
+        out = []
+        for o, s, least in zip(opened, near, bar, strict=True):
+            b = np.flatnonzero(o)
+            k, i = np.nonzero(s[b] >= least - SLACK)
+            out.append(np.sort(self.number[b[k] * BLOCK + i]))
+        return [x[x >= 0] for x in out]
+
+
 def _logit(p):
     p = np.clip(p, 0.01, 0.99)
     return np.log(p / (1 - p))
@@ -180,15 +227,12 @@ def assemble(rows: list[tuple[object, int, np.ndarray, np.ndarray]]) -> Index |
     labels = np.array([r[1] for r in rows], float)
     if len(set(labels.tolist())) < 2:
         return None
-    known = np.empty(0, np.uint64)
-    for k in range(0, len(rows), 500):
-        known = np.unique(np.concatenate([known, *(r[2] for r in rows[k : k + 500])]))
+    known = np.unique(np.concatenate([r[2] for r in rows]))
     ptr = np.cumsum([0, *(len(r[2]) for r in rows)])
     terms, counts = np.empty(ptr[-1], np.int32), np.empty(ptr[-1], np.int32)
     for e, (_, _, h, n) in enumerate(rows):
-        found = np.searchsorted(known, h)
-        order = np.argsort(found)
-        terms[ptr[e] : ptr[e + 1]], counts[ptr[e] : ptr[e + 1]] = found[order], n[order]
+        order = np.argsort(h)
+        terms[ptr[e] : ptr[e + 1]], counts[ptr[e] : ptr[e + 1]] = np.searchsorted(known, h[order]), n[order]
     df = np.bincount(terms, minlength=len(known))
     both = np.bincount(terms, np.repeat(labels, np.diff(ptr)), len(known))
     lift = (both / labels.mean() + 2) / (df + 2)
@@ -274,12 +318,12 @@ class Scorer:
             vectors.append(index.weighed(t, np.bincount(part, n[word], len(t))))
             parts.append((word, part))
         out = []
-        for c, (word, part), (t, w), (cosine, best) in zip(found, parts, vectors, index.search(vectors), strict=True):
+        for c, (word, part), (cosine, best, shares) in zip(found, parts, index.search(vectors), strict=True):
             if not len(best):
                 out.append((bare, [], []))
                 continue
             p = float(1 / (1 + np.exp(-np.clip(a * _logit(index.vote(cosine, best)) + b, -30, 30))))
-            weight = np.bincount(word, index.shares(t, w, cosine, best)[part], len(c))
+            weight = np.bincount(word, shares[part], len(c))
             first = np.argsort(-weight, kind="stable")[:EVIDENCE]
             names = list(c)
             out.append((p, best.tolist(), sorted(names[i] for i in first.tolist() if weight[i] > 0)))
