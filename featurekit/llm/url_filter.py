@@ -3,8 +3,9 @@ all keys of the corpus, so that a key's membership is exact and no row is joined
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 
 from featurekit.llm.common import free_name, materialize
 
-BITS_PER_KEY, HASHES = 10, 3
-#: Bits of a level at least, so that a short list takes hardly any key of a very large corpus for its own.
-LEAST_BITS = 1 << 16
-#: Bits of a level that a plan may carry (a literal of 1 MB); longer lists are joined instead.
-MOST_BITS = 1 << 23
+#: Bits of a level for each key beyond what the ratio of the other side's keys asks for; bits of a level at least, so that
+#: a wrong guess of that ratio costs a short list nothing.
+SPARE_BITS, LEAST_BITS = 4, 1 << 16
+#: Bits of a level at most (128 MB, some 40 million listed keys among 10 billion): a plan carries a level to every worker.
+MOST_BITS = 1 << 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,59 +49,78 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(parents(host), lambda d: F.transform(fits, lambda n: F.concat(d, F.substring(path, F.lit(1), n)))))
 
 
-def _places(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _places(key: Column, level: int, bits: int, hashes: int) -> Column:
+    return F.array(*(F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(hashes)))
+
+
+@dataclass
+class Level:
+    """A Bloom filter: 64-bit words, and how many bits a key sets."""
+
+    words: np.ndarray
+    hashes: int
+
+    def inside(self, key: Column, number: int) -> Column:
+        held = F.split(F.lit(",".join(map(str, self.words.tolist()))), ",").cast("array<bigint>")  # folded to one literal
+        return F.forall(_places(key, number, 64 * len(self.words), self.hashes), lambda p: F.getbit(F.get(held, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
 
 
 @dataclass
 class Cascade:
-    """Levels as arrays of 64-bit words. A key outside an odd level is not listed, one outside an even level is."""
+    """A key outside an odd level is not listed, one outside an even level is."""
 
-    levels: list[np.ndarray]
+    levels: list[Level]
 
     def holds(self, key: Column) -> Column:
         answer = F.lit(len(self.levels) % 2 == 1)
         for k in range(len(self.levels), 0, -1):
-            answer = F.when(_inside(self.levels[k - 1], key, k), answer).otherwise(F.lit(k % 2 == 0))
+            answer = F.when(self.levels[k - 1].inside(key, k), answer).otherwise(F.lit(k % 2 == 0))
         return answer
 
 
-def _inside(words: np.ndarray, key: Column, level: int) -> Column:
-    held = F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<bigint>")  # folded to a literal
-    test = lambda p: F.getbit(F.get(held, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1
-    return reduce(Column.__and__, map(test, _places(key, level, 64 * len(words))))
-
-
-def _encode(keys: DataFrame, level: int) -> np.ndarray:
-    """A level's words; the rows that reach the driver are its words, ``MOST_BITS`` / 64 at most."""
-    n = keys.count()
-    bits = 64 * -(-max(n * BITS_PER_KEY, LEAST_BITS) // 64)
+def _encode(keys: DataFrame, n: int, others: int, number: int) -> Level:
+    """A level of ``n`` keys that takes about as many of the ``others`` for its own as it has. The rows that reach the
+    driver are its words, ``MOST_BITS`` / 64 at most."""
+    each = math.ceil(1.44 * math.log2(max(others / max(n, 1), 1))) + SPARE_BITS
+    bits = 64 * -(-max(n * each, LEAST_BITS) // 64)
     if bits > MOST_BITS:
-        raise OverflowError(n)
-    at = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits))).alias("p"))
+        raise ValueError(f"{n} listed keys need a filter of {bits} bits; MOST_BITS allows {MOST_BITS}")
+    # As few hashes as keep the taken ones below the listed ones.
+    taken = lambda h: (1 - math.exp(-n * h / bits)) ** h * others
+    hashes = next((h for h in range(1, max(2, round(0.69 * each))) if taken(h) <= n / 2), max(1, round(0.69 * each)))
+    at = keys.select(F.explode(_places(F.col("key"), number, bits, hashes)).alias("p"))
     found = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b"))
     words = np.zeros(bits // 64, np.int64)
     for r in found.collect():
         words[r["w"]] = r["b"]
-    return words
+    return Level(words, hashes)
+
 
+def build(listed: DataFrame, universe: DataFrame, size: int | None = None) -> Cascade:
+    """A cascade that is exact for every key of the universe (both have a column key; null keys are left out).
 
-def build(listed: DataFrame, universe: DataFrame) -> Cascade:
-    """A cascade that is exact for every key of the universe (both have a column key; null keys are left out)."""
-    inside = materialize(listed.filter("key is not null").distinct())
-    levels: list[np.ndarray] = []
-    ours, others = inside, None
-    if not inside.limit(1).count():
+    The universe is read once, for the keys that the first level takes for listed ones; repeated keys need not be removed
+    from it. ``size``: its number of keys, if known; a wrong one costs further levels, never a wrong answer."""
+    ours = inside = materialize(listed.filter("key is not null").distinct())
+    n = inside.count()
+    if not n:
         return Cascade([])
+    others, m = None, universe.count() if size is None else size
+    levels: list[Level] = []
     while True:
         k = len(levels) + 1
-        levels.append(_encode(ours, k))
+        levels.append(_encode(ours, n, m, k))
         # Of the other side, those that this level takes for ours are what the next one encodes.
-        wrong = universe.filter("key is not null").filter(_inside(levels[-1], F.col("key"), k)).distinct().join(inside, "key", "left_anti") if others is None else others.filter(_inside(levels[-1], F.col("key"), k))
-        wrong = materialize(wrong.select("key"))
-        if not wrong.limit(1).count():
+        taken = (universe.filter("key is not null") if others is None else others).filter(levels[-1].inside(F.col("key"), k))
+        wrong = materialize((taken.select("key").distinct().join(inside, "key", "left_anti") if others is None else taken).select("key"))
+        count = wrong.count()
+        if not count:
             return Cascade(levels)
-        ours, others = wrong, ours
+        ours, others, n, m = wrong, ours, count, n
+
+
+def _keys(spark: SparkSession, found: list[str]) -> DataFrame:
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(found)), "array<string>")).alias("key"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed_hosts: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -110,41 +130,29 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed_hosts: Dat
     rule's; of several the longest holds, and ``rule`` is its host and path together. Where none fits, ``rule`` is null
     and the verdict is "block" if the host or a domain above it is in ``listed_hosts`` (column key), else ``default``.
     A null url, or one without "://", has an empty host and path, fits no rule, and gets ``default``. Repeated rows and
-    rules change nothing; columns of these four names are replaced, all others stay. Nothing is joined or shuffled but
-    the distinct keys that the cascades are built from; a list beyond ``MOST_BITS`` is joined instead."""
+    rules change nothing; columns of these four names are replaced, all others stay. No page is joined or shuffled; what
+    is shuffled to build the cascades are listed keys and the keys that a first level takes for listed. A list whose
+    level would exceed ``MOST_BITS`` is an error."""
     spark = pages.sparkSession
     pages = pages.drop("host", "path", "rule", "verdict")
     lengths = sorted({len(p) for _, p, _ in rules})
-    keys = pages.select(host_of(F.col(url_col)).alias("h"), path_of(F.col(url_col)).alias("p")).distinct()
-    rows = lambda found: spark.range(1).select(F.explode(F.array(*map(F.lit, found)) if found else F.array().cast("array<string>")).alias("key"))
-    fixed = rows([h + p for h, p, _ in rules])
-    stops = rows([h + p for h, p, v in rules if v == "block"])
-    universe = keys.select(F.explode(F.concat(candidates(F.col("h"), F.col("p"), lengths), parents(F.col("h")))).alias("key")).distinct()
+    fixed, stops = [h + p for h, p, _ in rules], [h + p for h, p, v in rules if v == "block"]
+    urls = pages.select(host_of(F.col(url_col)).alias("h"), path_of(F.col(url_col)).alias("p"))
+    of_rules = urls.select(F.explode(candidates(F.col("h"), F.col("p"), lengths)).alias("key"))
+    of_hosts = urls.select(F.explode(F.concat(parents(F.col("h")), candidates(F.col("h"), F.col("p"), lengths))).alias("key"))
     host, path = free_name(pages, "host"), free_name(pages, "path")
     known = pages.withColumns({host: host_of(F.col(url_col)), path: path_of(F.col(url_col))})
-    rule_keys, stop_keys = build(fixed, universe), None
+    # A url has a handful of domains; the true number of keys matters by its logarithm only.
+    n = pages.count()
+    rule_keys = build(_keys(spark, fixed), of_rules, 3 * n * max(len(lengths), 1))
+    stop_keys = build(_keys(spark, stops).union(listed_hosts.select("key")), of_hosts, 3 * n * (len(lengths) + 1))
     longest = F.array_max(F.transform(F.filter(candidates(F.col(host), F.col(path), lengths), rule_keys.holds), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
     known = known.withColumn("rule", longest)
-    try:
-        stop_keys = build(stops.union(listed_hosts.select("key")), universe)
-    except OverflowError:
-        return _joined(known, host, stops, listed_hosts, default)
     blocked = F.when(F.col("rule").isNotNull(), stop_keys.holds(F.col("rule"))).otherwise(F.exists(parents(F.col(host)), stop_keys.holds))
     other = F.when(F.col("rule").isNotNull(), "allow").otherwise(default)
     return known.withColumn("verdict", F.when(blocked, "block").otherwise(other))
 
 
-def _joined(known: DataFrame, host: str, stops: DataFrame, listed_hosts: DataFrame, default: str) -> DataFrame:
-    """The way for lists too long for a plan: distinct hosts meet the list by a join, and rows meet their host's answer."""
-    hosts = known.select(F.col(host).alias("key_host")).distinct()
-    bad = hosts.withColumn("key", F.explode(parents(F.col("key_host")))).join(listed_hosts.select("key").distinct(), "key", "left_semi").select("key_host").distinct().withColumn("bad_host", F.lit(True))
-    stop = [r["key"] for r in stops.collect()]  # the rules, a parameter
-    out = known.join(bad, known[host] == bad["key_host"], "left")
-    fits = F.when(F.col("rule").isin(stop), "block").otherwise("allow") if stop else F.lit("allow")
-    verdict = F.when(F.col("rule").isNotNull(), fits).otherwise(F.when(F.col("bad_host"), "block").otherwise(default))
-    return out.withColumn("verdict", verdict).drop("key_host", "bad_host")
-
-
 #: The rules of the query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Hosts with one of these between dots or hyphens are listed.
