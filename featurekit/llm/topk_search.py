@@ -3,17 +3,16 @@ grow until the k-th verified Hamming distance is provably covered."""
 
 from __future__ import annotations
 
-from functools import cache
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, pairwise
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Distinct codes of an index block, and distinct query codes that meet it in one task; bounds of a task's memory.
-BLOCK_CODES = 16_384
-BLOCK_QUERIES = 1_024
+from featurekit.llm.common import materialize
+
+#: Bits of a segment at most.
+WIDEST = 16
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
@@ -25,57 +24,34 @@ def sign_code(vector: Column, bits: int = 64) -> Column:
     return out
 
 
-@cache
-def _masks(width: int, radius: int) -> np.ndarray:
-    """Every pattern of ``radius`` bits among ``width``."""
-    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
-
-
-class SegmentIndex:
-    """Codes cut into segments of about log2(n) bits; by segment and value the codes that have it."""
-
-    def __init__(self, codes: np.ndarray, bits: int = 64):
-        self.codes = codes.view(np.uint64)
-        count = max(1, round(bits / max(4, min(16, int(np.log2(max(len(codes), 2)))))))
-        edges = np.linspace(0, bits, count + 1).round().astype(int)
-        self.segments = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            value = ((self.codes >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
-            order = np.argsort(value, kind="stable")
-            begins = np.searchsorted(value[order], np.arange((1 << (hi - lo)) + 1))
-            self.segments.append((lo, hi - lo, order, begins))
-
-    def nearest(self, query: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and distances of the codes among which the k nearest rows are: codes stand for ``weights`` rows each.
-
-        A code that no segment at radius r has shown differs in more than r bits of every segment, hence in at least
-        segments * (r + 1) bits. When k rows lie below that, nothing else can be among them or tie with them."""
-        q = np.uint64(query % (1 << 64))
-        seen = np.zeros(len(self.codes), bool)
-        found, distance = np.empty(0, np.int64), np.empty(0, np.int64)
-        for radius in range(max(w for _, w, _, _ in self.segments) + 1):
-            new = []
-            for lo, width, order, begins in self.segments:
-                if radius > width:
-                    continue
-                at = int((q >> np.uint64(lo)) & np.uint64((1 << width) - 1)) ^ _masks(width, radius)
-                b, n = begins[at], begins[at + 1] - begins[at]
-                hit = n > 0
-                b, n = b[hit], n[hit]
-                new.append(order[np.repeat(b - np.cumsum(n) + n, n) + np.arange(n.sum())])
-            fresh = np.unique(np.concatenate(new))
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
-            found = np.concatenate([found, fresh])
-            distance = np.concatenate([distance, np.bitwise_count(self.codes[fresh] ^ q).astype(np.int64)])
-            covered = len(self.segments) * (radius + 1) - 1
-            if weights[found[distance <= covered]].sum() >= k:
-                break
-        order = np.argsort(distance, kind="stable")
-        reach = np.searchsorted(np.cumsum(weights[found[order]]), k)
-        limit = distance[order[min(reach, len(order) - 1)]] if len(order) else 0
-        near = order[distance[order] <= limit]
-        return found[near], distance[near]
+def segments(n: int, bits: int = 64) -> list[tuple[int, int]]:
+    """Lowest bit and width of the segments of an index of ``n`` codes: about log2(n) bits each, ``WIDEST`` at most."""
+    count = max(1, round(bits / max(4, min(WIDEST, n.bit_length() - 1))))
+    edges = [round(i * bits / count) for i in range(count + 1)]
+    return [(lo, hi - lo) for lo, hi in pairwise(edges)]
+
+
+def _value(code: Column, lo: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _probes(code: Column, cuts: list[tuple[int, int]], radius: int) -> Column:
+    """Every segment's number and the values that differ from the code's in ``radius`` bits."""
+
+    def around(s: int, lo: int, width: int) -> Column:
+        masks = [sum(1 << i for i in c) for c in combinations(range(width), radius)]
+        held = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")  # folded to a literal
+        return F.transform(held, lambda m: F.struct(F.lit(s).alias("segment"), _value(code, lo, width).bitwiseXOR(m).alias("value")))
+
+    return F.flatten(F.array(*(around(s, lo, width) for s, (lo, width) in enumerate(cuts) if radius <= width)))
+
+
+def _shown_first(query: Column, code: Column, cuts: list[tuple[int, int]], radius: int) -> Column:
+    """Whether a code that its segment shows at this radius is shown by no smaller radius and by no segment before it, so
+    that every code is met once."""
+    apart = [F.bit_count(_value(query.bitwiseXOR(code), lo, width)) for lo, width in cuts]
+    tests = [F.when(F.col("segment") > s, d > radius).otherwise(d >= radius) for s, d in enumerate(apart)]
+    return reduce(Column.__and__, tests)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", code_col: str = "code") -> DataFrame:
@@ -84,42 +60,43 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     Ties go to the smaller id. A row is not its own neighbour: rows that carry the query's id are left out; with fewer
     other rows than k there are fewer results. Null ids and codes take no part, a repeated id is one neighbour, at its
     least distance, and a repeated query with one code is one query. Rows of equal code are one entry with its k + 1
-    smallest ids, which is all that a query can need. The index is cut into blocks of about ``BLOCK_CODES`` codes; every
-    block meets every group of ``BLOCK_QUERIES`` query codes in a task of its own, and only k results leave it."""
-    spark = rows.sparkSession
+    smallest ids, which is all that a query can need.
+
+    The index is a written table of (segment, value, code). In the round of radius r every open query meets, by a join,
+    the values of each segment that differ from its own in r bits; codes it has not seen differ in more than r bits of
+    every segment, hence in at least segments * (r + 1) bits. Its k + 1 best so far are carried from round to round; they
+    drop whatever is farther before the shuffle, and close the query once they all lie below that bound."""
     known = rows.select(F.col(id_col).alias("id"), F.col(code_col).alias("code")).filter("id is not null and code is not null").distinct()
     ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("r") <= k + 1)
-    entries = ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    entries = materialize(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     asked = queries.select(F.col(id_col).alias("query"), F.col(code_col).alias("code")).filter("query is not null and code is not null").distinct()
-    asked_codes = asked.select("code").distinct()
-    n = entries.agg(F.count("*").alias("n")).first()["n"]
-    m = asked_codes.count()
-    blocks, groups = max(1, -(-n // BLOCK_CODES)), max(1, -(-m // BLOCK_QUERIES))
-    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    left = entries.select("code", "ids", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int").alias("block"), numbers(groups).alias("grp"))
-    right = asked_codes.select("code", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(groups)).cast("int").alias("grp"), numbers(blocks).alias("block"))
-
-    def search(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        codes = index["code"].to_numpy(np.int64)
-        out: list[tuple[int, int, list, list]] = []
-        block = int(index["block"].iloc[0]) if len(index) else 0
-        if len(codes):
-            built, ids = SegmentIndex(codes), index["ids"].to_list()
-            weights = np.array([len(x) for x in ids])
-            for q in wanted["code"].tolist():
-                found, distance = built.nearest(q, weights, k + 1)
-                best = sorted((d, i) for f, d in zip(found.tolist(), distance.tolist(), strict=True) for i in ids[f])[: k + 1]
-                out.append((q, block, [i for _, i in best], [d for d, _ in best]))
-        return pd.DataFrame(out, columns=["code", "block", "ids", "distances"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    met = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(search, f"code bigint, block int, ids array<{kind}>, distances array<int>")
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")
-    found = met.select("code", "block", F.arrays_zip(F.col("distances").alias("distance"), F.col("ids").alias("id")).alias("near"))
-    # Two levels, so that a query gathers the root of as many lists as there are blocks at once.
-    half = found.groupBy("code", F.pmod("block", F.lit(int(blocks**0.5) + 1)).alias("part")).agg(best)
-    merged = half.groupBy("code").agg(best)
-    mine = asked.join(merged, "code").withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("query")), 1, k))
+    cuts = segments(entries.count())
+    values = F.array(*(F.struct(F.lit(s).alias("segment"), _value(F.col("code"), lo, width).alias("value")) for s, (lo, width) in enumerate(cuts)))
+    index = materialize(entries.select(F.explode(values).alias("x"), "code", "ids").select("x.segment", "x.value", "code", "ids"))
+    best = Window.partitionBy("q").orderBy("distance", "id")
+    kind = rows.schema[id_col].dataType
+    open_, found = asked.select(F.col("code").alias("q"), F.lit(64).alias("bar")).distinct(), None
+    closed: list[DataFrame] = []
+    for radius in range(max(w for _, w in cuts) + 1):
+        probes = open_.select("q", "bar", F.explode(_probes(F.col("q"), cuts, radius)).alias("x")).select("q", "bar", "x.segment", "x.value")
+        met = probes.join(index, ["segment", "value"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+        met = met.filter((F.col("distance") <= F.col("bar")) & _shown_first(F.col("q"), F.col("code"), cuts, radius))
+        hits = met.select("q", "distance", F.explode("ids").alias("id"))
+        # A query without any code so far stays known by a row of its own.
+        held = open_.select("q", F.lit(65).alias("distance"), F.lit(None).cast(kind).alias("id")) if found is None else found
+        ranked = held.unionByName(hits).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+        bound = F.max("distance").over(Window.partitionBy("q"))
+        full = F.count("*").over(Window.partitionBy("q")) == k + 1
+        covered = (bound < len(cuts) * (radius + 1)) & full
+        state = materialize(ranked.drop("r").withColumns({"bar": F.when(full, F.least(bound, F.lit(64))).otherwise(64), "done": covered}))
+        closed.append(state.filter("done").select("q", "distance", "id"))
+        found = state.filter("not done").select("q", "distance", "id")
+        open_ = state.filter("not done").select("q", "bar").distinct()
+        if not open_.limit(1).count():
+            break
+    nearest = reduce(DataFrame.unionByName, [*closed, found]).filter("id is not null")
+    lists = nearest.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))  # k + 1 at most
+    mine = asked.join(lists, asked["code"] == lists["q"]).withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("query")), 1, k))
     return mine.select("query", F.posexplode("near").alias("at", "x")).select(F.col("query").alias(id_col), (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.distance").alias("distance"))
 
 
