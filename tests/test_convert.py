@@ -21,7 +21,7 @@ def package(path):
     db.executescript("""CREATE TABLE gpkg_contents(table_name, data_type); INSERT INTO gpkg_contents VALUES ('fields', 'features');
     CREATE TABLE gpkg_spatial_ref_sys(srs_id, organization, organization_coordsys_id); INSERT INTO gpkg_spatial_ref_sys VALUES (4326, 'EPSG', 4326);
     CREATE TABLE gpkg_geometry_columns(table_name, column_name, srs_id); INSERT INTO gpkg_geometry_columns VALUES ('fields', 'geom', 4326);
-    CREATE TABLE fields(fid INTEGER PRIMARY KEY, geom BLOB, flik TEXT, kind TEXT, since TEXT, m2 REAL);""")
+    CREATE TABLE fields(fid INTEGER PRIMARY KEY, geom BLOB, parcel TEXT, kind TEXT, since TEXT, m2 REAL);""")
     head = b"GP\x00\x01" + struct.pack("<i", 4326)
     for i, (r, kind) in enumerate([(RING, "a"), (BOW, None), (RING, "water")]):
         db.execute("INSERT INTO fields VALUES (?, ?, ?, ?, ?, ?)", (i + 1, head + encode("Polygon", [[r]]), f"F{i}", kind, "3.12.2020", 10000.0 * (i + 1)))
@@ -31,15 +31,15 @@ def package(path):
 
 
 class Fields(convert.AdminConverter):
-    id = "de_sh"
-    admin_subdivision_code = "SH"
+    id = "fi_bogs"
+    admin_subdivision_code = "LAP"
     title = "Fields"
     description = "Test"
     sources = "gone.gpkg"
-    columns = {"geometry": "geometry", "flik": ["id", "flik"], "since": "determination_datetime", "m2": "area"}
+    columns = {"geometry": "geometry", "parcel": ["id", "parcel"], "since": "surveyed", "m2": "area"}
     column_filters = {"kind": lambda c: (c.isin("water"), True)}
     column_migrations = {"since": lambda c: F.to_timestamp(c, "d.M.yyyy"), "m2": lambda c: c * 0.0001}
-    missing_schemas = {"properties": {"flik": {"type": "string"}, "determination_datetime": {"type": "date-time"}, "area": {"type": "float", "minimum": 0}}}
+    missing_schemas = {"properties": {"parcel": {"type": "string"}, "surveyed": {"type": "date-time"}, "area": {"type": "float", "minimum": 0}}}
 
 
 def test_converter(spark, tmp_path):
@@ -49,11 +49,11 @@ def test_converter(spark, tmp_path):
     t = Fields().convert(spark, [f"{tmp_path / 'f.zip'}|in/f.gpkg"], cache=str(tmp_path / "cache"))
     got = sorted(map(tuple, t.df.select("id", "area", "admin:country_code", "collection").collect()))
     # The bow-tie falls into two triangles; the row of an unknown kind stays, as masks are two-valued.
-    assert got == [("F0", 1.0, "DE", "de_sh"), ("F1", 2.0, "DE", "de_sh"), ("F1", 2.0, "DE", "de_sh")]
+    assert got == [("F0", 1.0, "FI", "fi_bogs"), ("F1", 2.0, "FI", "fi_bogs"), ("F1", 2.0, "FI", "fi_bogs")]
     out = str(tmp_path / "o.parquet")
     convert.convert_file(spark, Fields(), out, single_file=True, inputs=[path])
     f = geoparquet.footer(out)
-    assert f.rows == 3 and str(f.schema.field("area").type) == "float" and f.collection["admin:subdivision_code"] == "SH"
+    assert f.rows == 3 and str(f.schema.field("area").type) == "float" and f.collection["admin:subdivision_code"] == "LAP"
     assert Fields.column_additions == {}
 
 
