@@ -68,8 +68,11 @@ class _Writer(DataSourceArrowWriter):
                     writer = pq.ParquetWriter(f"{root}/_temporary/{name}", kinds, compression=codec, compression_level=level, filesystem=fs)
                 held.append(batch)
                 if sum(b.num_rows for b in held) >= ROW_GROUP:
-                    writer.write_table(pa.Table.from_batches(held).cast(kinds), row_group_size=ROW_GROUP)
-                    held = []
+                    # Full row groups only; what is left over waits for the next batches.
+                    rows = pa.Table.from_batches(held)
+                    full = rows.num_rows // ROW_GROUP * ROW_GROUP
+                    writer.write_table(rows.slice(0, full).cast(kinds), row_group_size=ROW_GROUP)
+                    held = rows.slice(full).to_batches()
             if held:
                 writer.write_table(pa.Table.from_batches(held).cast(kinds), row_group_size=ROW_GROUP)
         finally:
