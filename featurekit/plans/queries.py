@@ -89,19 +89,20 @@ def hydrate(spark, d):
 _PROFILED = ["l_linenumber", "l_returnflag", "l_linestatus", "unit", "note"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS column_name, count(DISTINCT {e}) + max(CASE WHEN {e} IS NULL THEN 1 ELSE 0 END) AS n_distinct, (count(DISTINCT {e}) + max(CASE WHEN {e} IS NULL THEN 1 ELSE 0 END)) = 1 AS is_constant FROM lineitem" for n, e in zip(_PROFILED, ["l_linenumber", "l_returnflag", "l_linestatus", "'kg'", "CAST(NULL AS VARCHAR)"], strict=True)))
+@query(" UNION ALL ".join(f"SELECT '{n}' AS column_name, count({e}) AS n_values, count(DISTINCT {e}) + max(CASE WHEN {e} IS NULL THEN 1 ELSE 0 END) = 1 AS is_constant FROM lineitem" for n, e in zip(_PROFILED, ["l_linenumber", "l_returnflag", "l_linestatus", "'kg'", "CAST(NULL AS VARCHAR)"], strict=True)))
 def dehydrate_profile(spark, d):
+    """A1, A2: counts and bounds of all columns from one aggregate, and which have one value."""
     df = table(spark, d, "lineitem").select("l_linenumber", "l_returnflag", "l_linestatus").withColumns({"unit": F.lit("kg"), "note": F.lit(None).cast("string")})
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("v")) for n in _PROFILED))).alias("x")).select("x.*")
-    # Distinct values first, so what is shuffled does not grow with the rows.
-    distinct = long.distinct().groupBy("column_name").agg(F.count("*").alias("n_distinct"))
-    return distinct.withColumn("is_constant", F.col("n_distinct") == 1)
+    of = lambda n, what: c.ref(f"{n}\x00{what}")
+    constant = lambda n: (of(n, "n") == 0) | ((of(n, "n") == F.col("n")) & (of(n, "lo") == of(n, "hi")))
+    rows = F.array(*(F.struct(F.lit(n).alias("column_name"), of(n, "n").alias("n_values"), F.coalesce(constant(n), F.lit(False)).alias("is_constant")) for n in _PROFILED))
+    return c.constant_profile(df, _PROFILED).select(F.explode(rows).alias("x")).select("x.*")
 
 
-@query("SELECT count(*) AS n, count(id) AS id, count(balance) AS balance, count(segment) AS segment, count(name) AS name, 0 AS unused FROM (SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, NULL::VARCHAR AS name FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, s_name FROM supplier)")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS column_name FROM (SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment, 'customers' AS collection, NULL::VARCHAR AS name, NULL::VARCHAR AS unused FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, 'suppliers', s_name, NULL FROM supplier) HAVING count({n}) > 0" for n in ("id", "balance", "segment", "collection", "name", "unused")))
 def null_column_profile(spark, d):
-    df = _merged(spark, d)
-    return df.agg(F.count("*").alias("n"), *(F.count(x).alias(x) for x in ("id", "balance", "segment", "name", "unused")))
+    """P10, A3: the columns that are left when those without any value go."""
+    return spark.createDataFrame([(n,) for n in c.drop_null_columns(_merged(spark, d)).columns], "column_name string")
 
 
 def _violations(name: str, expressions: dict[str, str], source: str) -> str:

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from featurekit.plans.queries import ORACLE, QUERIES
+from featurekit.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
