@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +19,19 @@ from pyspark.sql import functions as F
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3 | 1) % 2**64 for i in range(64)], dtype=np.uint64)
 
 
+#: Where written frames lie, and lists of them that are being collected.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_COLLECTED: list[list[DataFrame]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where that is unset (tests on one machine), a folder of our own."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a folder of our own if executors are threads of
+    this machine, as in tests; elsewhere they could not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="featurekit-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir() or own
@@ -28,7 +41,49 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back, so a lost executor costs no recomputation of what lies before."""
     path = f"{scratch_dir(df.sparkSession)}/featurekit-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    for frames in _COLLECTED:
+        frames.append(found)
+    return found
+
+
+@contextmanager
+def collected() -> Iterator[list[DataFrame]]:
+    """All frames that ``materialize`` writes meanwhile."""
+    frames: list[DataFrame] = []
+    _COLLECTED.append(frames)
+    try:
+        yield frames
+    finally:
+        _COLLECTED.pop()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote; nothing that is still to be read may depend on it. Other frames are left alone."""
+    for df in frames:
+        if path := _WRITTEN.pop(df, None):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def slices(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` rows at most."""
+    for b in batches:
+        yield from (b.slice(i, size) for i in range(0, b.num_rows, size))
+
+
+def rows_that(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], list[bool]]], size: int) -> DataFrame:
+    """The rows, as they were, whose texts a function says yes to; each task makes the function for itself. Rows pass
+    through the workers whole, so nothing is joined."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = make()
+        for b in slices(batches, size):
+            yield b.filter(pa.array(wanted(b.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,10 +12,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurekit.llm.common import held_remainder
+from featurekit.llm.common import held_remainder, rows_that, slices
 
 #: Bounds of the sample that the model is fitted on: labelled rows, and characters of a row (longer ones are not drawn).
 FIT_ROWS = 4000
@@ -179,17 +180,29 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: f
     at most ``FIT_CHARS`` characters; it then scores every whole text. Null and empty texts have the score of a text
     without words. Without two labels to learn from, every score is 0.5. A null id counts as held out. Repeated rows
     each have their score; other columns are not read, and there is no shuffle of documents."""
-    sample = training_sample(docs, labels, "quality", held_remainder("doc_id", 5) != 0, rows, FIT_CHARS).orderBy("doc_id").collect()
-    shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["y"] for r in sample]))
+    shared = _fitted(docs, labels, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for big in batches:
-            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
-                s = model.scores(b.column(1).to_pylist()) if model else np.full(b.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
+        for b in slices(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(shared.value, b.column(1).to_pylist()))], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     held = F.coalesce(held_remainder("doc_id", 5) == 0, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> Broadcast:
+    sample = training_sample(docs, labels, "quality", held_remainder("doc_id", 5) != 0, rows, FIT_CHARS).orderBy("doc_id").collect()
+    return docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["y"] for r in sample]))
+
+
+def _scores(model: Model | None, texts: list[str | None]) -> np.ndarray:
+    return model.scores(texts) if model else np.full(len(texts), 0.5)
+
+
+def passing(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.3) -> DataFrame:
+    """The rows whose score reaches the threshold, as they were. Each row is judged by its own text, whatever its id, as it
+    passes; there is no shuffle of documents."""
+    shared = _fitted(docs, labels, rows)
+    return rows_that(docs, "text", lambda: lambda texts: (_scores(shared.value, texts) >= threshold).tolist(), BATCH)
