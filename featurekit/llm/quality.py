@@ -7,7 +7,9 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,20 @@ from featurekit.llm.common import held_remainder, rows_that, slices
 #: Bounds of the sample that the model is fitted on: labelled rows, and characters of a row (longer ones are not drawn).
 FIT_ROWS = 4000
 FIT_CHARS = 100_000
-DIMENSIONS, NONZERO, WINDOW, HIDDEN, VOCABULARY = 128, 8, 2, 24, 2048
+#: Length of word vectors, signs that an index vector has (8 bits of a hash say where each lies and which it is), words to
+#: each side that are a word's context, and hidden units.
+DIMENSIONS, SIGNS, WINDOW, HIDDEN = 128, 8, 2, 24
+#: Times that the sample has a word whose context is learnt.
+OFTEN = 3
 REMEMBERED = 400_000
 BATCH = 256
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_").findall
 
 
+#: Stands for a chunk that repeats the one before it.
+AGAIN = "<again>"
+
+
 def parts(chunk: str) -> list[str]:
     """Tokens of what stands between blanks: words in lower case, with a mark of their case, digits, and single signs."""
     out = []
@@ -37,14 +47,16 @@ def parts(chunk: str) -> list[str]:
     return out
 
 
-def index_vector(token: str) -> np.ndarray:
-    """A sparse vector of +1 and -1 that only the token's hash decides."""
-    v = np.zeros(DIMENSIONS, np.float32)
-    bits = xxhash.xxh3_128_intdigest(token.encode("utf-8", "replace"))
-    for _ in range(NONZERO):
-        bits, r = divmod(bits, 2 * DIMENSIONS)
-        v[r >> 1] += 1 if r & 1 else -1
-    return v
+def index_slots(found: list[str]) -> np.ndarray:
+    """The signs of words' index vectors, which only the words' hashes decide: 2 * place, and 1 more for a minus."""
+    raw = b"".join(xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in found)
+    return np.frombuffer(raw, np.uint8).reshape(-1, 16)[:, :SIGNS]
+
+
+def spread(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of index vectors, each of length 1 or so."""
+    both = np.bincount(slots.ravel(), np.repeat(weights, SIGNS), 2 * DIMENSIONS)
+    return (both[::2] - both[1::2]) / np.sqrt(SIGNS)
 
 
 def tokens(text: str) -> list[str]:
@@ -52,7 +64,7 @@ def tokens(text: str) -> list[str]:
     out, last = [], None
     for chunk in text.split():
         if chunk == last:
-            out.append("<again>")
+            out.append(AGAIN)
         out += parts(chunk)
         last = chunk
     return out
@@ -60,10 +72,11 @@ def tokens(text: str) -> list[str]:
 
 @dataclass
 class Model:
-    """Word vectors of the vocabulary (row 0 stands for all rare words), the network and its temperature."""
+    """Contexts of the words that have one (row 0 of ``contexts`` is of all others: nothing), the network and its
+    temperature. Every word, known or not, has an index vector of its own besides."""
 
     ids: dict[str, int]
-    vectors: np.ndarray
+    contexts: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     w1: np.ndarray
@@ -71,34 +84,47 @@ class Model:
     w2: np.ndarray
     b2: float
     temperature: float = 1.0
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
-
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """By text, how often each word of the vocabulary occurs, in the whole text."""
-        out = np.zeros((len(texts), len(self.vectors)), np.float32)
-        again = self.ids.get("<again>")
-        known, get = self.known, self.ids.get
-        for row, text in zip(out, texts, strict=True):
-            chunks = (text or "").split()
-            if len(known) > REMEMBERED:
-                known.clear()
-            at, n = [], []
-            for chunk, c in Counter(chunks).items():
-                if (found := known.get(chunk)) is None:
-                    found = known[chunk] = tuple(get(p, 0) for p in parts(chunk))
-                at += found
-                n += [c] * len(found)
-            if again is not None:
-                at.append(again)
-                n.append(sum(a == b for a, b in zip(chunks, chunks[1:], strict=False)))
-            if at:
-                row += np.bincount(at, n, len(row)).astype(np.float32)
+
+    def __post_init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        """The words that this worker has met: where each one's chunk ends in ``rows`` and ``slots``."""
+        self.known: dict[str, tuple[int, int]] = {}
+        self.numbers: dict[str, int] = {}
+        self.slots, self.rows = np.empty((0, SIGNS), np.uint8), np.empty(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        self.slots = np.concatenate([self.slots, index_slots(new)])
+        self.rows = np.concatenate([self.rows, np.array([self.ids.get(t, 0) for t in new], np.int64)])
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+
+    def _counted(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By text the numbers of its words, and how often each occurs, in the whole text."""
+        found = [(text or "").split() for text in texts]
+        if len(self.numbers) > REMEMBERED or len(self.known) > REMEMBERED:
+            self.forget()
+        cut = {c: parts(c) for c in set().union(*found).difference(self.known)}
+        if new := list({t for ts in cut.values() for t in ts}.union([AGAIN]).difference(self.numbers)):
+            self._learn(new)
+        self.known.update((c, tuple(map(self.numbers.__getitem__, ts))) for c, ts in cut.items())
+        out = []
+        for chunks in found:
+            counts = Counter(chunks)
+            each = [self.known[c] for c in counts]
+            again = sum(map(eq, chunks, chunks[1:]))
+            at = np.fromiter(chain(chain.from_iterable(each), [self.numbers[AGAIN]]), np.int64)
+            n = np.append(np.repeat(np.fromiter(counts.values(), float, len(counts)), np.fromiter(map(len, each), np.int64, len(each))), again)
+            out.append((at, n))
         return out
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        counts = self.counts(texts)
-        total = np.maximum(counts.sum(1, keepdims=True), 1)
-        return ((counts / total) @ self.vectors - self.mean) / self.scale
+        out = np.zeros((len(texts), DIMENSIONS))
+        for row, (at, n) in zip(out, self._counted(texts), strict=True):
+            n = n / max(n.sum(), 1)
+            row += spread(self.slots[at], n)
+            row += np.bincount(self.rows[at], n, len(self.contexts)) @ self.contexts if len(at) > len(self.contexts) else n @ self.contexts[self.rows[at]]
+        return ((out - self.mean) / self.scale).astype(np.float32)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -107,24 +133,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(texts)) / self.temperature, -30, 30).astype(np.float64)))
 
 
-def word_vectors(sequences: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Ids of the most frequent tokens (ties by name) and, for each and for all rare ones together, the sum of the index
-    vectors around its places, brought to length 1 and added to its own index vector."""
-    frequent = sorted(Counter(t for s in sequences for t in s).items(), key=lambda x: (-x[1], x[0]))[: VOCABULARY - 1]
-    ids = {t: i + 1 for i, (t, n) in enumerate(frequent) if n > 2}
-    own = np.stack([index_vector("<rare>"), *map(index_vector, ids)])
-    together = np.zeros((len(own), len(own)), np.float32)
-    for part in range(0, len(sequences), 200):
-        chunk = sequences[part : part + 200]
-        at = np.array([ids.get(t, 0) for s in chunk for t in s], np.int64)
+def contexts(sequences: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
+    """Of each word that occurs ``OFTEN`` times the sum of the index vectors around its places, brought to length 1."""
+    counts = Counter(t for s in sequences for t in s)
+    order = sorted(counts, key=lambda t: (-counts[t], t))
+    number = {t: i for i, t in enumerate(order)}
+    often = sum(n >= OFTEN for n in counts.values())
+    slots = index_slots(order)
+    sums = np.zeros((often, 2 * DIMENSIONS), np.float32)
+    for part in range(0, len(sequences), 500):
+        chunk = sequences[part : part + 500]
+        at = np.fromiter((number[t] for s in chunk for t in s), np.int64)
         doc = np.repeat(np.arange(len(chunk)), [len(s) for s in chunk])
-        for d in range(1, WINDOW + 1):
-            codes, n = np.unique((at[:-d] * len(own) + at[d:])[doc[:-d] == doc[d:]], return_counts=True)
-            i, j = np.divmod(codes, len(own))
-            together[i, j] += n
-            together[j, i] += n
-    sums = together @ own
-    return ids, own / np.sqrt(NONZERO) + sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        pairs = [p for d in range(1, WINDOW + 1) for x in [np.flatnonzero(doc[:-d] == doc[d:])] for p in (at[x] * len(order) + at[x + d], at[x + d] * len(order) + at[x])]
+        codes, n = np.unique(np.concatenate(pairs), return_counts=True)
+        word, near = np.divmod(codes, max(len(order), 1))
+        word, near, n = word[word < often], near[word < often], n[word < often]
+        for k in range(SIGNS):
+            np.add.at(sums, (word, slots[near, k]), n)
+    made = sums[:, ::2] - sums[:, 1::2]
+    made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
+    return {t: i + 1 for i, t in enumerate(order[:often])}, np.concatenate([np.zeros((1, DIMENSIONS), np.float32), made])
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, steps: int = 400) -> Model | None:
@@ -132,7 +161,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, steps: int = 400) -
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
-    ids, vectors = word_vectors([list(map(sys.intern, tokens(t))) for t in texts])  # each distinct token once in memory
+    ids, vectors = contexts([list(map(sys.intern, tokens(t))) for t in texts])  # each distinct token once in memory
     rng = np.random.default_rng(seed)
     one, zero = np.ones(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32)
     m = Model(ids, vectors, zero, one, rng.normal(0, DIMENSIONS**-0.5, (DIMENSIONS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), 0.0)
