@@ -77,13 +77,19 @@ def rows_that(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[
     """The rows, as they were, whose texts a function says yes to; each task makes the function for itself. Rows pass
     through the workers whole, so nothing is joined."""
     at = docs.columns.index(text_col)
+    plain = plainly_named(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = make()
         for b in slices(batches, size):
             yield b.filter(pa.array(wanted(b.column(at).to_pylist()), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def plainly_named(df: DataFrame) -> DataFrame:
+    """The same columns, named c0, c1 and so on: what calls Python takes no names with dots."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featurekit.llm.common import held_remainder, materialize
+from featurekit.llm.common import held_remainder, materialize, rows_that, slices
 from featurekit.llm.quality import training_sample
 
 #: Bounds of the sample of labelled rows that are the examples.
@@ -30,12 +30,12 @@ BLOCK = 32
 DENSE = 1024
 #: Blocks that a text meets first, and those after them that it may meet before its bar is raised once more.
 ROUNDS = (4, 32)
-#: What single precision may be wrong by.
-SLACK = 1e-4
+#: More than what single precision may be wrong by.
+SLACK = 1e-5
 #: Words of evidence of a text.
 EVIDENCE = 10
-REMEMBERED = 200_000
-BATCH = 64
+REMEMBERED = 400_000
+BATCH = 256
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -53,7 +53,8 @@ def _slices(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def hashed(found: Iterable[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) for t in found], np.uint64)
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(t.encode("utf-8", "replace")) for t in found], np.uint64)
 
 
 class Vocabulary:
@@ -105,21 +106,21 @@ class Index:
     def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By vector the cosines and numbers of the examples of largest cosine above 0, exactly, ties to the smaller
         number; and how much each of its terms adds to these cosines, which weigh as in the vote."""
-        wide = np.zeros(len(self.idf))
         out = []
         for (t, w), best in zip(vectors, self.lists.candidates(vectors, without), strict=True):
-            wide[t] = w
             begin, end = self.ptr[best], self.ptr[best + 1]
             which, found = np.repeat(np.arange(len(best)), end - begin), _slices(self.terms, begin, end)
-            part = wide[found] * _slices(self.weights, begin, end)
-            wide[t] = 0
+            # Where an example's term stands in the vector; met are those that it has.
+            at = np.searchsorted(t.astype(found.dtype), found)
+            met = np.flatnonzero(np.append(t, -1)[at] == found)
+            at, which = at[met], which[met]
+            part = w[at] * _slices(self.weights, begin, end)[met]
             cosine = np.bincount(which, part, len(best)).round(9)
             first = np.lexsort((best, -cosine))[:NEIGHBOURS]
             first = first[cosine[first] > 0]
             gain = np.zeros(len(best))
             gain[first] = 1 / (1.05 - cosine[first])
-            met = np.flatnonzero(part)
-            shares = np.bincount(np.searchsorted(t, found[met]), part[met] * gain[which[met]], len(t))
+            shares = np.bincount(at, part * gain[which], len(t))
             out.append((cosine[first], best[first], shares))
         return out
 
@@ -176,7 +177,7 @@ class Lists:
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(index.terms[rare], kind="stable")]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(index.terms[rare], minlength=len(df)))])
-        self.listed, self.weight = where[rare], index.weights[rare].astype(np.float32)
+        self.listed, self.weight = where[rare].astype(np.intp), index.weights[rare]
 
     def candidates(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None) -> list[np.ndarray]:
         """By vector the examples that may be among the nearest; never ``without``'s."""
@@ -186,9 +187,9 @@ class Lists:
             common = self.row[t]
             q[common[common >= 0]] = w[common >= 0]
             t, w = t[common < 0], w[common < 0]
-            begin, end = self.start[t], self.start[t + 1]
-            gain = np.repeat(w.astype(np.float32), end - begin) * _slices(self.weight, begin, end)
-            total += np.bincount(_slices(self.listed, begin, end), gain, len(total))
+            n = self.start[t + 1] - self.start[t]
+            at = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            total += np.bincount(self.listed[at], np.repeat(w, n) * self.weight[at], len(total))
         if without is not None:
             near[np.arange(len(vectors)), self.place[without]] = -2
         near = near.reshape(len(vectors), self.blocks, BLOCK)
@@ -274,11 +275,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index | N
     sample = training_sample(docs, labels, "toxic", held_remainder("doc_id", 3) != 1, rows, FIT_CHARS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
-                found = [term_counts(t) for t in b.column(1).to_pylist()]
-                h, n = [hashed(c).tobytes() for c in found], [np.array(list(c.values()), np.int32).tobytes() for c in found]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(h, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "y", "h", "n"])
+        for b in slices(batches, BATCH):
+            found = [term_counts(t) for t in b.column(1).to_pylist()]
+            h, n = [hashed(c).tobytes() for c in found], [np.array(list(c.values()), np.int32).tobytes() for c in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(h, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "y", "h", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = materialize(sample.select("doc_id", "text", "y").repartition(8).mapInArrow(count, f"doc_id {kind}, y int, h binary, n binary"))
@@ -291,30 +291,33 @@ class Scorer:
 
     def __init__(self, index: Index, rates: tuple[float, float, float]):
         self.index, self.rates = index, rates
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}
+        self.terms = [np.empty(0, np.int64), np.empty(0, np.int64)]
 
-    def _terms(self, new: list[str]) -> None:
-        """Looks up the terms of words that are not yet known."""
-        if len(self.known) > REMEMBERED:
+    def _numbers(self, found: list[Counter]) -> list[np.ndarray]:
+        """By text the numbers of its distinct words, of which ``first`` and ``second`` have the terms (-1: unknown)."""
+        new = set().union(*found).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-        each = [terms(w) for w in new]
-        all_hashes, have = hashed([t for x in each for t in x]), self.index.ids.hashes
-        at = np.minimum(np.searchsorted(have, all_hashes), len(have) - 1)
-        at = iter(np.where(have[at] == all_hashes, at, -1).tolist())
-        for w, x in zip(new, each, strict=True):
-            self.known[w] = tuple(i for i in (next(at) for _ in x) if i >= 0)
+            new = set().union(*found)
+        new, begin, have = list(new), len(self.known), self.index.ids.hashes
+        self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
+        for of, terms_ in ((0, [terms(w)[0] for w in new]), (1, [terms(w)[-1] if len(w) >= STEM else "" for w in new])):
+            h = hashed(terms_)
+            at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+            self.terms[of] = np.concatenate([self.terms[of][:begin], np.where(have[at] == h, at, -1)])
+        return [np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in found]
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
         index, (a, b, bare) = self.index, self.rates
         found = [Counter(words(t)) for t in texts]
-        if len(index.ids.hashes):
-            self._terms(list({w for c in found for w in c}.difference(self.known) if len(self.known) <= REMEMBERED else {w for c in found for w in c}))
         vectors, parts = [], []
-        for c in found:
-            each = [self.known.get(w, ()) for w in c]
-            word = np.repeat(np.arange(len(each)), [len(x) for x in each])
-            t, part = np.unique(np.array([i for x in each for i in x], np.int64), return_inverse=True)
-            n = np.array(list(c.values()), float)
+        for c, k in zip(found, self._numbers(found), strict=True):
+            ids = np.concatenate([x[k] for x in self.terms])
+            at = np.flatnonzero(ids >= 0)
+            t, part = np.unique(ids[at], return_inverse=True)
+            word = at % max(len(k), 1)
+            n = np.fromiter(c.values(), float, len(c))
             vectors.append(index.weighed(t, np.bincount(part, n[word], len(t))))
             parts.append((word, part))
         out = []
@@ -336,37 +339,56 @@ def _calibrated(spark: SparkSession, shared: Broadcast, index: Index | None) ->
         return 1.0, 0.0, 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.own_votes(b.column(0).to_pylist()), pa.float64())], names=["e", "vote"])
+        for b in slices(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.own_votes(b.column(0).to_pylist()), pa.float64())], names=["e", "vote"])
 
     rows = spark.range(0, len(index.labels), 1, 12).mapInArrow(run, "e bigint, vote double").collect()  # two numbers by example
     return index.rates([r["vote"] for r in sorted(rows, key=lambda r: r["e"])])
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, rows: int) -> Callable[[], tuple[Callable, list]]:
+    """What a task calls for a function from texts to (score, examples, words of evidence), and the examples' ids."""
+    index = learn(docs, labels, rows)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    rates = _calibrated(docs.sparkSession, shared, index)
+
+    def scorer() -> tuple[Callable, list]:
+        known = shared.value
+        return (Scorer(known, rates), known.examples) if known else (lambda texts: [(0.0, [], [])] * len(texts), [])
+
+    return scorer
+
+
 def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours (ids of the nearest examples) and evidence (the ``EVIDENCE`` words
     that add most to their cosines) of every row of documents.
 
     Examples are at most ``rows`` labelled rows that are not held out (crc32 of the id modulo 3 is not 1) and of at most
     ``FIT_CHARS`` characters; every whole text is compared with all of them, exactly, by all its terms. Texts without
-    any word of an example, null and empty ones among them, have the share of toxic examples among such examples. Without two labels to
-    learn from, every score is 0. A null id counts as held out. Repeated rows each have their score; other columns are
-    not read, and there is no shuffle of documents."""
-    index = learn(docs, labels, rows)
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    any word of an example, null and empty ones among them, have the share of toxic examples among such examples. Without
+    two labels to learn from, every score is 0. A null id counts as held out. Repeated rows each have their score; other
+    columns are not read, and there is no shuffle of documents."""
+    fitted = _fitted(docs, labels, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rates = _calibrated(docs.sparkSession, shared, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score_of = Scorer(shared.value, rates) if shared.value else lambda texts: [(0.0, [], [])] * len(texts)
-        ids = shared.value.examples if shared.value else []
-        for big in batches:
-            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
-                got = score_of(b.column(1).to_pylist())
-                near = pa.array([[ids[e] for e in x[1]] for x in got], pa.list_(b.schema.field(0).type))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), near, pa.array([x[2] for x in got], pa.list_(pa.string()))], names=["doc_id", "score", "neighbours", "evidence"])
+        score_of, ids = fitted()
+        for b in slices(batches, BATCH):
+            got = score_of(b.column(1).to_pylist())
+            near = pa.array([[ids[e] for e in x[1]] for x in got], pa.list_(b.schema.field(0).type))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), near, pa.array([x[2] for x in got], pa.list_(pa.string()))], names=["doc_id", "score", "neighbours", "evidence"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, neighbours array<{kind}>, evidence array<string>")
     held = F.coalesce(held_remainder("doc_id", 3) == 1, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours", "evidence")
+
+
+def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = 0.7) -> DataFrame:
+    """The rows whose score stays below the threshold, as they were. Each row is judged by its own text, whatever its id,
+    as it passes; there is no shuffle of documents."""
+    fitted = _fitted(docs, labels, rows)
+
+    def low(texts: list[str | None], score_of: Callable) -> list[bool]:
+        return [x[0] < threshold for x in score_of(texts)]
+
+    return rows_that(docs, "text", lambda: partial(low, score_of=fitted()[0]), BATCH)
