@@ -5,19 +5,21 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from featurekit.llm.common import free_name
+from featurekit.llm.common import materialize, plainly_named, slices
 
-#: Distinct pre-tokens that a worker remembers before it starts over; bounds its memory, never the result.
-REMEMBERED = 500_000
+#: The most frequent pre-tokens, that many at most, whose counts every worker has; others meet theirs by a join.
+FREQUENT = 500_000
+#: Distinct pre-tokens that a task gathers before it passes their frequencies on.
+GATHERED = 300_000
 BATCH = 256
 
 #: A run of blanks with the word or line break after it, or blanks at the end.
@@ -75,52 +77,112 @@ def _count(path: str, units: list[str]) -> list[int]:
     return [out[u] for u in units]
 
 
-@cache
-def _known(path: str) -> dict[str, int]:
-    """What this worker has counted so far; tasks share it."""
-    return {}
+def _gathered(texts: DataFrame) -> DataFrame:
+    """unit and n of every distinct pre-token of a frame's only column; tasks gather before the shuffle."""
+
+    def batch(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["unit", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in slices(batches, BATCH):
+            for t in b.column(0).to_pylist():
+                found.update(pre_tokens(t) if t else ())
+            if len(found) > GATHERED:
+                yield batch(found)
+                found.clear()
+        yield batch(found)
+
+    return texts.mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _counted(units: DataFrame, path: str) -> DataFrame:
+    """unit, n and pieces: each distinct pre-token is encoded here, and nowhere else."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 20_000):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_count(path, b.column(0).to_pylist()), pa.int64())], names=["unit", "n", "pieces"])
 
+    return units.mapInArrow(run, "unit string, n bigint, pieces bigint")
 
-def counter(path: str):
-    """A function from texts to numbers of tokens, with a bounded memory of distinct pre-tokens."""
-    model, (cut, lines) = _model(path), _separable(path)
-    known = _known(path)
 
-    def count(texts: list[str | None]) -> list[int]:
-        if not (cut and lines):
-            return [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
-        frequencies = [Counter(pre_tokens(t)) if t else Counter() for t in texts]
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := list({u for f in frequencies for u in f if u not in known}):
-            known.update(zip(new, _count(path, new), strict=True))
-        return [sum(map(mul, map(known.__getitem__, f), f.values())) for f in frequencies]
+class Frequent:
+    """Counts of the most frequent pre-tokens, as a worker looks them up."""
 
-    return count
+    def __init__(self, units: list[str], pieces: np.ndarray):
+        self.units, self.pieces = units, pieces
 
+    @cached_property
+    def known(self) -> dict[str, int]:
+        return dict(zip(self.units, self.pieces.tolist(), strict=True))
 
-def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "n_tokens") -> DataFrame:
+    def __getstate__(self) -> dict:
+        return {"units": self.units, "pieces": self.pieces}
+
+
+def _whole(plain: DataFrame, path: str, at: int) -> DataFrame:
+    """The way for models whose pieces may span pre-tokens: each text is encoded whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, BATCH):
+            n = [len(x) for x in _model(path).encode([t or "" for t in b.column(at).to_pylist()], num_threads=1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*b.schema.names, "total"])
+
+    return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("total", LongType())]))
+
+
+def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
     """Adds ``out_col``: tokens of each whole text, as the library's ``encode`` gives them without added tokens.
 
-    Null and empty texts have 0. Rows are neither dropped nor merged, so repeated ids and rows stay as they are; other
-    columns pass through, and a column already named ``out_col`` is replaced. There is no shuffle: the distinct
-    pre-tokens and their counts meet within each task, whose memory is bounded by ``REMEMBERED``."""
+    Null and empty texts have 0. Rows are neither dropped nor merged, so repeated ids and rows stay as they are; the
+    columns ``keep`` (all, where it is not given) pass through, and a column already named ``out_col`` is replaced.
+
+    Distinct pre-tokens of all texts are gathered and counted once each. Workers have the counts of the ``FREQUENT`` most
+    frequent; a second pass sums these by document and writes, beside the kept columns, the few other pre-tokens with
+    their frequencies, which meet their counts by a join."""
     docs = docs.drop(out_col)
-    at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(out_col, LongType(), False)])
+    keep = [n for n in (docs.columns if keep is None else keep) if n != out_col]
+    at, columns = docs.columns.index(text_col), [docs.columns.index(n) for n in keep]
+    plain, names = plainly_named(docs), [f"c{i}" for i in columns]
+    cut, lines = _separable(model_path)
+    if not (cut and lines):
+        return _whole(plain, model_path, at).select(*names, "total").toDF(*keep, out_col)
+    counted = materialize(_counted(_gathered(plain.select(f"c{at}")), model_path))
+    top = counted.orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", "pieces").toPandas()  # FREQUENT short rows
+    shared = docs.sparkSession.sparkContext.broadcast(Frequent(top["unit"].tolist(), top["pieces"].to_numpy()))
+    cell = pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model_path)
-        for big in batches:
-            for b in (big.slice(i, BATCH) for i in range(0, big.num_rows, BATCH)):
-                n = count(b.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=[*schema.names])
-
-    return docs.mapInArrow(run, schema)
+        known = shared.value.known
+        get = known.get
+        for b in slices(batches, BATCH):
+            sums, others = [], []
+            for t in b.column(at).to_pylist():
+                found = Counter(pre_tokens(t)) if t else {}
+                pieces = list(map(get, found))
+                if None in pieces:
+                    others.append([{"unit": u, "n": n} for u, n in found.items() if u not in known])
+                    pieces = [p or 0 for p in pieces]
+                else:
+                    others.append(None)
+                sums.append(sum(map(mul, pieces, found.values())))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in columns), pa.array(sums, pa.int64()), pa.array(others, cell)], names=[*names, "total", "rare"])
+
+    summed = plain.mapInArrow(run, StructType([*(plain.schema[n] for n in names), StructField("total", LongType()), StructField("rare", _RARE)]))
+    if len(top) < FREQUENT:
+        return summed.drop("rare").toDF(*keep, out_col)
+    written = materialize(summed.withColumn("row", F.monotonically_increasing_id()))
+    units = written.select("row", F.explode("rare").alias("x")).select("row", "x.unit", "x.n")
+    more = units.join(counted.select("unit", "pieces"), "unit").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
+    both = written.join(more, "row", "left")
+    return both.select(*names, F.col("total") + F.coalesce("more", F.lit(0))).toDF(*keep, out_col)
+
+
+_RARE = ArrayType(StructType([StructField("unit", StringType()), StructField("n", LongType())]))
 
 
 def document_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document; the text goes to the workers, not on to the result."""
-    name = free_name(docs.select("doc_id"), "text")
-    counted = count_tokens(docs.select("doc_id", F.coalesce("text", F.lit("")).alias(name)), model_path, name)
-    return counted.select("doc_id", F.octet_length(name).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = count_tokens(texts, model_path, "text", keep=["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
