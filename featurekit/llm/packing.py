@@ -114,11 +114,11 @@ def lengths(n: int, limit: int) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: the id, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset.
+    """One row per piece: the id, start, length, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset, bucket.
 
     A document's ids are those of its whole text and then ``end_id``; null and empty texts have that one id. Each piece
-    is a sequence: offset 0, no padding, one document. Sequences of equal ``length`` form a bucket, from which a loader
-    draws batches. Repeated rows and ids are packed each for itself. Other columns are not read. There is no shuffle;
+    is a sequence: offset 0, no padding, one document. Sequences of equal length form a bucket, numbered by the length's
+    logarithm, from which a loader draws batches (``write_buckets``). Repeated rows and ids are packed each for itself. Other columns are not read. There is no shuffle;
     sequence_id comes from partition and position, the same again when a lost task reruns."""
     if limit & (limit - 1) or limit < 1:
         raise ValueError("limit must be a power of two")
@@ -144,9 +144,16 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = 2048, end_id: int =
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())], names=names)
 
     pieces = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    return pieces.withColumnRenamed("doc", id_col).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    bucket = F.bit_count(F.col("length") - 1)
+    return pieces.withColumnRenamed("doc", id_col).withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": bucket})
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """A folder for each bucket, so that a loader draws batches of sequences of one length without looking at others.
+    Every task writes its own pieces; nothing is shuffled."""
+    pieces.write.partitionBy("bucket").parquet(path)
 
 
 def packed_digest(pieces: DataFrame) -> DataFrame:
     """The pieces with a checksum in place of their ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
