@@ -32,20 +32,35 @@ def test_url_filter(spark):
 
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "LEAST_BITS", 64)
-    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 2)  # many false positives, hence many levels
+    monkeypatch.setattr(url_filter, "SPARE_BITS", 1)  # many false positives, hence many levels
     universe = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.filter("crc32(key) % 7 = 0")
-    cascade = url_filter.build(listed, universe)
-    assert len(cascade.levels) > 2
-    assert universe.filter(cascade.holds(F.col("key")) != (F.crc32("key") % 7 == 0)).count() == 0
-
-
-def test_long_lists_are_joined(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"http://h{i}{'-casino' if i % 3 == 0 else ''}.net/") for i in range(60)], "page_id int, url string")
-    short = sorted(map(tuple, url_filter.page_verdicts(df).collect()))
-    monkeypatch.setattr(url_filter, "LEAST_BITS", 64)
-    monkeypatch.setattr(url_filter, "MOST_BITS", 128)
-    assert sorted(map(tuple, url_filter.page_verdicts(df).collect())) == short
+    for size in (None, 40, 10**9):  # a wrong guess changes levels, not answers
+        cascade = url_filter.build(listed, universe.union(universe), size)
+        assert len(cascade.levels) > 2 or size == 10**9
+        assert universe.filter(cascade.holds(F.col("key")) != (F.crc32("key") % 7 == 0)).count() == 0
+
+
+def test_a_million_hosts_and_many_rules(spark):
+    """Neither a join of pages nor Python is in the plan, and every answer is right."""
+    rules = [(f"h{i}.net", f"/{'ab'[i % 2]}{i % 5}/", "block" if i % 3 == 0 else "allow") for i in range(20_000)]
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.h"), F.col("id") * 7, F.lit(".net/"), F.when(F.col("id") % 2 == 0, "a").otherwise("b"), F.col("id") % 5, F.lit("/")).alias("url"))
+    listed = spark.range(1_000_000).select(F.concat(F.lit("h"), F.col("id") * 5, F.lit(".net")).alias("key"))
+    judged = url_filter.judge(df, rules, listed)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Python", "Arrow", "Pandas", "Exchange"))
+    known = {h + p: v for h, p, v in rules}
+    for r in judged.collect():
+        i, n = r["page_id"], r["page_id"] * 7
+        rule = f"h{n}.net/{'ab'[i % 2]}{i % 5}/"
+        rule = rule if rule in known else None
+        assert (r["rule"], r["verdict"]) == (rule, known[rule] if rule else "block" if n % 5 == 0 and n < 5_000_000 else "allow")
+
+
+def test_a_filter_beyond_its_bound_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_BITS", 1 << 16)
+    with pytest.raises(ValueError, match="MOST_BITS"):
+        url_filter.build(spark.range(40_000).select(F.col("id").cast("string").alias("key")), spark.range(9).select(F.col("id").cast("string").alias("key")))
 
 
 def labelled(spark, n=900, seed=5):
@@ -133,10 +148,25 @@ def test_top_k_equals_brute_force(spark):
     assert topk_search.top_k(df.limit(3), df.limit(1), 10).count() == 2
 
 
-def test_search_blocks_agree(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "BLOCK_CODES", 100)
-    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 7)
-    test_top_k_equals_brute_force(spark)
+def test_codes_apart(spark):
+    """Far neighbours, for which radii must grow; a segment's value that most codes share; strings as ids."""
+    rng = np.random.default_rng(7)
+    codes = rng.integers(-(2**63), 2**63, 3000, dtype=np.int64)
+    codes[500:2000] = (codes[500:2000] & ~0xFFFF) | 0x1234
+    df = spark.createDataFrame([(f"v{i:05d}", int(c)) for i, c in enumerate(codes)], "vec_id string, code bigint")
+    got = {}
+    for r in topk_search.top_k(df, df.filter("vec_id like '%00'"), 5).collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["distance"], r["neighbour"]))
+    for q in range(0, 3000, 100):
+        d = np.bitwise_count((codes ^ codes[q]).view(np.uint64))
+        want = sorted((int(d[i]), f"v{i:05d}") for i in range(3000) if i != q)[:5]
+        assert [(x, i) for _, x, i in sorted(got[f"v{q:05d}"])] == want
+
+
+def test_search_runs_no_python(spark):
+    df = spark.range(50).select(F.col("id").alias("vec_id"), F.col("id").alias("code"))
+    plan = topk_search.top_k(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
 def test_sign_code(spark):

@@ -24,7 +24,11 @@ def documents(spark, texts, **extra):
     return df
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("frequent", [500_000, 7, 1])
+def test_token_counts(spark, monkeypatch, frequent):
+    """The last two leave nearly all pre-tokens to the join."""
+    monkeypatch.setattr(token_counts, "FREQUENT", frequent)
+    monkeypatch.setattr(token_counts, "GATHERED", max(frequent, 2))
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = {r["doc_id"]: r for r in token_counts.document_tokens(documents(spark, ODD, n_tokens=1, n_bytes="x"), PIECES).collect()}
     for i, t in enumerate(ODD):
@@ -32,6 +36,13 @@ def test_token_counts(spark):
         assert got[i]["n_bytes"] == len((t or "").encode())
     assert token_counts.count_tokens(documents(spark, ODD, n_tokens=1).withColumnRenamed("doc_id", "id"), PIECES).count() == len(ODD)
     assert token_counts.document_tokens(documents(spark, []), PIECES).count() == 0
+    twice = documents(spark, ["one two", "one two"]).withColumns({"doc_id": F.lit(None).cast("bigint"), "a.b": F.lit(3)})
+    assert [(r["doc_id"], r["a.b"], r["n_tokens"]) for r in token_counts.count_tokens(twice, PIECES).collect()] == [(None, 3, len(sp.encode("one two")))] * 2
+
+
+def test_each_pre_token_is_counted_once(spark):
+    units = token_counts._gathered(documents(spark, ["a b a", "b  c\n", None, "a"]).select("text"))
+    assert {r["unit"]: r["n"] for r in units.collect()} == {" a": 3, " b": 2, "  c": 1, "\n": 1}
 
 
 def test_packing_is_a_round_trip(spark):
