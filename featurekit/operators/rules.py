@@ -145,7 +145,8 @@ def count_by_collection(df: DataFrame, schemas: Mapping[str, Mapping[str, Mappin
     """The same for each collection with the rules of its own: one conditional aggregate, no pass per collection."""
     found = [(cid, x) for cid, schema in schemas.items() for x in compile_all(df, schema)]
     here = [ref(column).eqNullSafe(F.lit(cid)) & x.bad for cid, x in found]
-    counted = df.agg(F.count("*").alias("n"), *(F.count_if(b).alias(f"v{i}") for i, b in enumerate(here)))
+    # Rows of other collections need not be read.
+    counted = df.filter(ref(column).isin(list(schemas))).agg(F.count("*").alias("n"), *(F.count_if(b).alias(f"v{i}") for i, b in enumerate(here)))
     rows = [F.struct(F.lit(cid).alias("collection"), F.lit(x.column).alias("column_name"), F.lit(x.rule).alias("rule"), F.col(f"v{i}").alias("violations")) for i, (cid, x) in enumerate(found)]
     return _unpivot(counted, [], rows, "collection string, column_name string, rule string, violations bigint")
 
@@ -170,22 +171,19 @@ def first_violations(df: DataFrame, schema: Mapping[str, Mapping[str, Any]], ord
     return _unpivot(counted, [], rows, "column_name string, rule string, violations bigint, first_value string, message string")
 
 
-def first_issues(df: DataFrame, schema: Mapping[str, Mapping[str, Any]], order: Column) -> list[str]:
-    """Messages about each column's first offending value: all rules that this value breaks."""
-    found: dict[str, list[str]] = {}
-    checks = compile_all(df, schema)
-    by_column: dict[str, list[Check]] = {}
-    for x in checks:
-        by_column.setdefault(x.column, []).append(x)
-    if not checks:
+def first_issues(df: DataFrame, schemas: Mapping[str | None, Mapping[str, Mapping[str, Any]]], order: Column, column: str = "collection") -> list[str]:
+    """Messages about the first offending value of each column of each collection: all rules that this value breaks. Rules
+    under None hold for all rows. One aggregate finds all of them."""
+    wanted: list[tuple[str, list[Check], Column]] = []
+    for cid, schema in schemas.items():
+        here = F.lit(True) if cid is None else ref(column).eqNullSafe(F.lit(cid))
+        by_column: dict[str, list[Check]] = {}
+        for x in compile_all(df, schema):
+            by_column.setdefault(x.column, []).append(x)
+        wanted += [(schema[name].get("type"), xs, here & reduce(Column.__or__, [x.bad for x in xs])) for name, xs in by_column.items()]
+    if not wanted:
         return []
-    aggs = []
-    for i, (name, xs) in enumerate(by_column.items()):
-        any_bad = reduce(Column.__or__, [x.bad for x in xs])
-        shown = F.struct(ref(name).cast("string").alias("v") if schema[name].get("type") != "geometry" else geometry_type(ref(name)).alias("v"), *(x.bad.alias(f"b{k}") for k, x in enumerate(xs)))
-        aggs.append(F.min_by(F.when(any_bad, shown), F.when(any_bad, order)).alias(f"c{i}"))
-    row = df.agg(*aggs).first()
-    for i, (name, xs) in enumerate(by_column.items()):
-        if row[i]:
-            found[name] = [f"{name}: {x.message.replace('{v}', str(row[i]['v']))}" for k, x in enumerate(xs) if row[i][f"b{k}"]]
-    return [m for ms in found.values() for m in ms]
+    shown = lambda kind, name: geometry_type(ref(name)) if kind == "geometry" else ref(name).cast("string")
+    cells = [F.struct(shown(kind, xs[0].column).alias("v"), *(x.bad.alias(f"b{k}") for k, x in enumerate(xs))) for kind, xs, _ in wanted]
+    row = df.agg(*(F.min_by(F.when(bad, cell), F.when(bad, order)).alias(f"c{i}") for i, (cell, (_, _, bad)) in enumerate(zip(cells, wanted, strict=True)))).first()
+    return [f"{x.column}: {x.message.replace('{v}', str(row[i]['v']))}" for i, (_, xs, _) in enumerate(wanted) if row[i] for k, x in enumerate(xs) if row[i][f"b{k}"]]

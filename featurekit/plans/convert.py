@@ -21,7 +21,7 @@ from featurekit.operators.improve import fix_geometries, keep_valid_polygons
 from featurekit.operators.union import union
 from featurekit.schema.bundled import CORE
 from featurekit.schema.collection import Collection
-from featurekit.sources.discover import choose_sources, download, parse_input, read_layers
+from featurekit.sources.discover import choose_sources, download, parse_input, read_layers, shared_folder
 from featurekit.sources.geoparquet import write_geoparquet
 from featurekit.table import FeatureTable
 
@@ -93,7 +93,7 @@ class Converter:
         self.variant = variant or self.variant
         uris = inputs if isinstance(inputs, Mapping) else dict(map(_input, inputs)) if inputs else choose_sources(self.sources, self.variants, self.variant)
         parts = []
-        for path, uri in download(uris, cache):
+        for path, uri in download(uris, cache or shared_folder(spark)):
             for df, p, u, layer in read_layers(spark, path, uri, self.layer_filter, self.open_options):
                 parts.append(self.file_migration(c.index_as_id(df) if self.index_as_id else df, p, u, layer))
         if not parts:

@@ -131,12 +131,12 @@ def _structure(r: Result, f: geoparquet.Footer, schema: Mapping[str, Any], here:
 
 
 def data_issues(df: DataFrame, schemas: Mapping[str, Mapping[str, Any]]) -> list[str]:
-    """Messages of each collection's first offending values: its rows, its rules. Columns without rules are skipped."""
-    out: list[str] = []
-    for cid, schema in schemas.items():
-        rows = df.filter(F.col("collection") == cid) if len(schemas) > 1 and "collection" in df.columns else df
-        out += rules.first_issues(rows.withColumn("__row", F.monotonically_increasing_id()), schema["properties"], F.col("__row"))
-    return out
+    """Messages of each collection's first offending values: its rows, its rules, in one pass over all of them. Columns
+    without rules are skipped."""
+    several = len(schemas) > 1 and "collection" in df.columns
+    wanted = {cid if several else None: schema["properties"] for cid, schema in schemas.items()}
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    return rules.first_issues(numbered, wanted, F.col("__row"))
 
 
 def validate_parquet(spark: SparkSession, path: str, num: int = 100, schema_map: Mapping[str, Any] | None = None, required: Sequence[str | re.Pattern] = ()) -> Result:
@@ -165,9 +165,10 @@ def validate_parquet(spark: SparkSession, path: str, num: int = 100, schema_map:
     return r
 
 
-def validate_geojson(spark: SparkSession, path: str, num: int = 100, schema_map: Mapping[str, Any] | None = None, required: Sequence[str | re.Pattern] = ()) -> Result:
+def validate_geojson(spark: SparkSession, path: str, num: int = 100, schema_map: Mapping[str, Any] | None = None, required: Sequence[str | re.Pattern] = (), most: int = 1000) -> Result:
     """A Feature or FeatureCollection: metadata, schemas, then each feature against its collection's JSON Schema, in
-    parallel over features (-1: all of them)."""
+    parallel over features (-1: all of them). A warning says so if features have more than ``most`` errors; those beyond
+    are not listed."""
     r = Result()
     try:
         collection = geojson.metadata(spark, path)
@@ -196,7 +197,10 @@ def validate_geojson(spark: SparkSession, path: str, num: int = 100, schema_map:
             yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(out)), pa.int64()), "message": pa.array(out, pa.string())})
 
     found = limited.select(F.to_json("f").alias("f")).mapInArrow(check, "at bigint, message string")
-    for i, row in enumerate(found.limit(1000).toLocalIterator()):  # a report, not the data
+    rows = found.limit(most + 1).collect()  # a report, not the data
+    if len(rows) > most:
+        r.warnings.append(f"Only the first {most} errors of features are listed")
+    for i, row in enumerate(rows[:most]):
         message = row["message"]
         r.errors.append(message if single or not message.startswith("\x00") else f"Feature {i}: {message[1:]}")
     return r

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import shutil
 import tarfile
 import tempfile
 import urllib.request
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
@@ -64,6 +66,12 @@ def cache_folder(folder: str | None = None) -> Path:
     return path
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """A new folder that executors see too, beneath the checkpoint folder, if that is one of a file system."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{re.sub('^file:(//)?', '', base)}/featurekit-{uuid.uuid4().hex}" if base and re.match("(file:|/)", base) else None
+
+
 def download(uris: Mapping[str, object], folder: str | None = None) -> list[tuple[str, str]]:
     """(local path, uri) of every wanted file: local ones in place, remote ones fetched once, archives unpacked once."""
     cache, out = cache_folder(folder), []

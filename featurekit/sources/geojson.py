@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable, Mapping
 from pathlib import Path
 from typing import Any
@@ -46,7 +47,7 @@ def metadata(spark: SparkSession, path: str, lines: bool = False) -> Collection:
     if lines:
         return Collection()
     docs = _documents(spark, path, lines)
-    view = f"geojson_{abs(hash(path))}"
+    view = f"geojson_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
     skip = ", ".join(f"'{m}'" for m in sorted(MEMBERS))
     rows = spark.sql(f"SELECT key, to_json(value) AS value FROM {view}, LATERAL variant_explode(v) WHERE key NOT IN ({skip})").collect()
@@ -182,13 +183,13 @@ def write_features(t: FeatureTable, folder: str, num: int | None = None, propert
     ids = ref("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
     keep = set(properties) if properties else None
     Path(folder).mkdir(parents=True, exist_ok=True)
-    out: list[str] = []
+    out: dict[str, None] = {}  # in order
     for i, r in enumerate(df.select(ids.alias("id"), feature_json(df, top, extra, keep).alias("f")).toLocalIterator(), 1):
         stem = re.sub(r"[^\w.\-]+", "_", r["id"]).strip(".") if r["id"] else str(i)
         name = next(n for n in (f"{stem or i}.json", f"{stem or i}-{i}.json") if f"{folder}/{n}" not in out)
         Path(folder, name).write_text(json.dumps(json.loads(r["f"]), indent=indent, ensure_ascii=False) if indent else r["f"], encoding="utf-8")
-        out.append(f"{folder}/{name}")
-    return out
+        out[f"{folder}/{name}"] = None
+    return list(out)
 
 
 def feature_rows(spark: SparkSession, documents: Iterable[Mapping[str, Any]]) -> DataFrame:

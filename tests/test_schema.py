@@ -114,9 +114,9 @@ def test_rules(spark):
     schema = {"s": {"type": "string", "pattern": "[A-Z]", "maxLength": 2}, "n": {"type": "int32", "minimum": 2, "enum": [5]}, "a": {"type": "array", "uniqueItems": True, "items": {"type": "int32"}}, "o": {"type": "object", "properties": {"k": {"type": "int32"}}, "minProperties": 2}, "gone": {"type": "string"}, "untyped": {}}
     got = {(r["column_name"], r["rule"]): r["violations"] for r in rules.count_violations(df, schema).collect()}
     assert got == {("s", "maxLength"): 1, ("s", "pattern"): 1, ("n", "minimum"): 1, ("n", "enum"): 1, ("a", "uniqueItems"): 1, ("o", "minProperties"): 2, ("o", "key:k"): 1}
-    issues = rules.first_issues(df, schema, F.col("id"))
+    issues = rules.first_issues(df, {None: schema}, F.col("id"))
     assert "s: String 'ab' does not match the required pattern: [A-Z]." in issues and "n: Value 1 is less than the minimum allowed value of 2." in issues
-    assert rules.first_issues(df, {}, F.col("id")) == [] and rules.count_violations(df, {}).count() == 0
+    assert rules.first_issues(df, {None: {}}, F.col("id")) == [] and rules.count_violations(df, {}).count() == 0
 
 
 def test_columns(spark):
