@@ -1,8 +1,12 @@
-"""Coordinate reference systems by closed formulas: EPSG 4326, 3857, 6933 and the UTM zones 258xx, 326xx, 327xx."""
+"""Coordinate reference systems by closed formulas: longitude and latitude, and transverse Mercator, Lambert conformal
+conic, Lambert azimuthal equal-area, Albers and two cylindrical grids on datums that agree with WGS 84 within a metre."""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import cache, cached_property
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +22,12 @@ _N = _F / (2 - _F)
 K6933 = math.cos(math.radians(30)) / math.sqrt(1 - E2 * math.sin(math.radians(30)) ** 2)
 QP = 1 - (1 - E2) / (2 * E) * math.log((1 - E) / (1 + E))
 _RADIUS = A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
-_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+#: Series of transverse Mercator forward and inverse, of latitude by the conformal one, and by the authalic one, in
+#: powers of the third flattening. Fixed values.
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_CONFORMAL = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+_AUTHALIC = (4 * _N / 3 + 4 * _N**2 / 45 - 16 * _N**3 / 35 - 2582 * _N**4 / 14175, 46 * _N**2 / 45 + 152 * _N**3 / 945 - 11966 * _N**4 / 14175, 3044 * _N**3 / 2835 + 3802 * _N**4 / 14175, 6059 * _N**4 / 4725)
 
 
 def code(crs: str | int | None) -> int | None:
@@ -35,72 +43,257 @@ def code(crs: str | int | None) -> int | None:
     return int(digits)
 
 
-def is_metric(crs: str | int) -> bool:
-    return code(crs) != 4326
+#: Systems of longitude and latitude, whose datums agree with WGS 84 within a metre. Fixed values.
+GEOGRAPHIC = {4326, 4258, 4269, 4283, 4167, 7844}
+#: Grids by EPSG number: kind, latitude and longitude of the origin, false easting and northing, and the scale factor or
+#: the two standard parallels. Fixed values.
+GRIDS: dict[int, tuple[str, float, float, float, float, tuple[float, ...]]] = {
+    2154: ("lcc", 46.5, 3, 700000, 6600000, (49, 44)),
+    2157: ("tm", 53.5, -8, 600000, 750000, (0.99982,)),
+    2180: ("tm", 0, 19, 500000, -5300000, (0.9993,)),
+    2193: ("tm", 0, 173, 1600000, 10000000, (0.9996,)),
+    3005: ("aea", 45, -126, 1000000, 0, (50, 58.5)),
+    3006: ("tm", 0, 15, 500000, 0, (0.9996,)),
+    3034: ("lcc", 52, 10, 4000000, 2800000, (35, 65)),
+    3035: ("laea", 52, 10, 4321000, 3210000, ()),
+    3059: ("tm", 0, 24, 500000, -6000000, (0.9996,)),
+    3067: ("tm", 0, 27, 500000, 0, (0.9996,)),
+    3301: ("lcc", 57.51755393055556, 24, 500000, 6375000, (59.333333333333336, 58)),
+    3338: ("aea", 50, -154, 0, 0, (55, 65)),
+    3346: ("tm", 0, 24, 500000, 0, (0.9998,)),
+    3347: ("lcc", 63.390675, -91.86666666666666, 6200000, 3000000, (49, 77)),
+    3577: ("aea", 0, 132, 0, 0, (-18, -36)),
+    3763: ("tm", 39.66825833333333, -8.133108333333334, 0, 0, (1,)),
+    3765: ("tm", 0, 16.5, 500000, 0, (0.9999,)),
+    3794: ("tm", 0, 15, 500000, -5000000, (0.9999,)),
+    3812: ("lcc", 50.797815, 4.359215833333333, 649328, 665262, (49.833333333333336, 51.166666666666664)),
+    3978: ("lcc", 49, -95, 0, 0, (49, 77)),
+    5070: ("aea", 23, -96, 0, 0, (29.5, 45.5)),
+}
+#: UTM zones by what stands before the zone's number: the hemisphere's false northing, and the zones there are.
+ZONES = {25800: (0, range(28, 39)), 26900: (0, range(1, 24)), 28300: (1e7, range(48, 59)), 32600: (0, range(1, 61)), 32700: (1e7, range(1, 61)), 7800: (1e7, range(46, 60))}
 
 
-def _utm(epsg: int) -> tuple[int, bool] | None:
-    zone = epsg % 100
-    if epsg // 100 in (258, 326, 327) and 1 <= zone <= 60:
-        return zone, epsg // 100 == 327
-    return None
+class _Columns:
+    """The functions that the formulas need, over columns; over numbers the module math has the same names."""
 
+    sin, cos, tan, asin, atan, atan2, sinh, cosh, atanh, exp, log, sqrt, radians, degrees = (staticmethod(getattr(F, n)) for n in ("sin", "cos", "tan", "asin", "atan", "atan2", "sinh", "cosh", "atanh", "exp", "log", "sqrt", "radians", "degrees"))
 
-def supported(crs: str | int) -> bool:
-    c = code(crs)
-    return c in (4326, 3857, 6933) or bool(c and _utm(c))
 
+def _isometric(m, s):
+    """Isometric latitude of the sine of a latitude."""
+    return m.atanh(s) - m.atanh(s * E) * E
 
-class _Columns:
-    """The functions that the formulas need, over columns; over numbers the module math has the same names."""
 
-    sin, cos, tan, asin, atan, atan2, sinh, cosh, atanh, exp, log, radians, degrees = (staticmethod(getattr(F, n)) for n in ("sin", "cos", "tan", "asin", "atan", "atan2", "sinh", "cosh", "atanh", "exp", "log", "radians", "degrees"))
+def _series(m, angle, coefficients):
+    """An angle and its correction by sines of its multiples."""
+    out = angle
+    for j, a in enumerate(coefficients, 1):
+        out = out + m.sin(angle * (2 * j)) * a
+    return out
+
+
+def _from_isometric(m, psi):
+    """The latitude, by way of the conformal one."""
+    return _series(m, m.atan(m.exp(psi)) * 2 - math.pi / 2, _CONFORMAL)
+
+
+def _authalic(m, s):
+    """q, of which equal areas are equal steps, of the sine of a latitude."""
+    return (s / (1 - s * s * E2) - m.log((1 - s * E) / (1 + s * E)) / (2 * E)) * (1 - E2)
+
+
+def _parallel(lat: float) -> float:
+    """Radius of a parallel, as a part of the equator's."""
+    return math.cos(math.radians(lat)) / math.sqrt(1 - E2 * math.sin(math.radians(lat)) ** 2)
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A system of metres: forward from, and inverse to, an angle from the origin's meridian and a latitude in radians."""
+
+    lat0: float
+    lon0: float
+    east: float
+    north: float
+    rest: tuple[float, ...]
+
+    def forward(self, m, lam, lat) -> tuple[Any, Any]:
+        raise NotImplementedError
+
+    def inverse(self, m, x, y) -> tuple[Any, Any]:
+        raise NotImplementedError
+
+
+class TransverseMercator(Grid):
+    @cached_property
+    def start(self) -> float:
+        """Northing of the origin's parallel without a false one."""
+        return self._raw(math, 0.0, math.radians(self.lat0))[1]
+
+    def _raw(self, m, lam, lat):
+        t = m.sinh(_isometric(m, m.sin(lat)))
+        xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / (1 + t * t) ** 0.5)
+        x, y = eta, xi
+        for j, a in enumerate(_ALPHA, 1):
+            x = x + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
+            y = y + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
+        return x * (self.rest[0] * _RADIUS), y * (self.rest[0] * _RADIUS)
+
+    def forward(self, m, lam, lat):
+        x, y = self._raw(m, lam, lat)
+        return x, y - self.start
+
+    def inverse(self, m, x, y):
+        xi, eta = (y + self.start) / (self.rest[0] * _RADIUS), x / (self.rest[0] * _RADIUS)
+        u, v = xi, eta
+        for j, b in enumerate(_BETA, 1):
+            u = u - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
+            v = v - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
+        return m.atan2(m.sinh(v), m.cos(u)), _from_isometric(m, m.atanh(m.sin(u) / m.cosh(v)))
+
+
+class Conic(Grid):
+    """What Lambert's and Albers' cones share: a radius of each parallel, and a share of the circle."""
+
+    n: float
+
+    def radius(self, m, lat):
+        raise NotImplementedError
+
+    def latitude(self, m, radius):
+        raise NotImplementedError
+
+    def forward(self, m, lam, lat):
+        r = self.radius(m, lat)
+        return m.sin(lam * self.n) * r, m.cos(lam * self.n) * -r + self.radius(math, math.radians(self.lat0))
+
+    def inverse(self, m, x, y):
+        sign = math.copysign(1, self.n)
+        down = self.radius(math, math.radians(self.lat0)) - y
+        return m.atan2(x * sign, down * sign) / self.n, self.latitude(m, m.sqrt(x * x + down * down) * sign)
+
+
+class LambertConic(Conic):
+    @cached_property
+    def n(self) -> float:
+        (a, b), psi = self.rest, lambda lat: _isometric(math, math.sin(math.radians(lat)))
+        return (math.log(_parallel(a)) - math.log(_parallel(b))) / (psi(b) - psi(a))
+
+    @cached_property
+    def scale(self) -> float:
+        a = self.rest[0]
+        return A * _parallel(a) / self.n * math.exp(self.n * _isometric(math, math.sin(math.radians(a))))
+
+    def radius(self, m, lat):
+        return m.exp(_isometric(m, m.sin(lat)) * -self.n) * self.scale
+
+    def latitude(self, m, radius):
+        return _from_isometric(m, m.log(radius / self.scale) / -self.n)
+
+
+class Albers(Conic):
+    @cached_property
+    def n(self) -> float:
+        a, b = self.rest
+        return (_parallel(a) ** 2 - _parallel(b) ** 2) / (_authalic(math, math.sin(math.radians(b))) - _authalic(math, math.sin(math.radians(a))))
+
+    @cached_property
+    def c(self) -> float:
+        a = self.rest[0]
+        return _parallel(a) ** 2 + self.n * _authalic(math, math.sin(math.radians(a)))
+
+    def radius(self, m, lat):
+        return m.sqrt(_authalic(m, m.sin(lat)) * -self.n + self.c) * (A / self.n)
+
+    def latitude(self, m, radius):
+        return _series(m, m.asin((radius * radius * -((self.n / A) ** 2) + self.c) / (self.n * QP)), _AUTHALIC)
+
+
+class LambertAzimuthal(Grid):
+    @cached_property
+    def turn(self) -> tuple[float, float, float, float]:
+        """Radius of the sphere of equal area, sine and cosine of the origin's authalic latitude, and the stretch there."""
+        beta = math.asin(_authalic(math, math.sin(math.radians(self.lat0))) / QP)
+        r = A * math.sqrt(QP / 2)
+        return r, math.sin(beta), math.cos(beta), A * _parallel(self.lat0) / (r * math.cos(beta))
+
+    def forward(self, m, lam, lat):
+        r, s, c, d = self.turn
+        beta = m.asin(_authalic(m, m.sin(lat)) / QP)
+        up, side = m.sin(beta), m.cos(beta) * m.cos(lam)
+        b = m.sqrt(2 / (up * s + side * c + 1)) * r
+        return b * m.cos(beta) * m.sin(lam) * d, b * (up * c - side * s) / d
+
+    def inverse(self, m, x, y):
+        r, s, c, d = self.turn
+        away = m.sqrt((x / d) * (x / d) + (y * d) * (y * d) + 1e-12)  # never zero, a thousandth of a millimetre off
+        angle = m.asin(away / (2 * r)) * 2
+        beta = m.asin(m.cos(angle) * s + y * d * m.sin(angle) * c / away)
+        return m.atan2(x * m.sin(angle), away * m.cos(angle) * (d * c) - y * m.sin(angle) * (d * d * s)), _series(m, beta, _AUTHALIC)
+
+
+class WebMercator(Grid):
+    def forward(self, m, lam, lat):
+        return lam * A, m.log(m.tan(lat / 2 + math.pi / 4)) * A
+
+    def inverse(self, m, x, y):
+        return x / A, m.atan(m.exp(y / A)) * 2 - math.pi / 2
+
+
+class EqualAreaCylinder(Grid):
+    def forward(self, m, lam, lat):
+        return lam * (A * K6933), _authalic(m, m.sin(lat)) * (A / (2 * K6933))
+
+    def inverse(self, m, x, y):
+        return x / (A * K6933), _series(m, m.asin(y * (2 * K6933 / A) / QP), _AUTHALIC)
+
+
+KINDS = {"tm": TransverseMercator, "lcc": LambertConic, "aea": Albers, "laea": LambertAzimuthal}
+
+
+@cache
+def grid(epsg: int) -> Grid | None:
+    """The grid of a number, from the table or by a rule; None for none."""
+    if epsg in GRIDS:
+        kind, *numbers = GRIDS[epsg]
+        return KINDS[kind](*numbers)
+    if epsg in (3857, 6933):
+        return (WebMercator if epsg == 3857 else EqualAreaCylinder)(0, 0, 0, 0, ())
+    for base, (north, zones) in ZONES.items():
+        if epsg - base in zones:
+            return TransverseMercator(0, (epsg - base) * 6 - 183, 500000, north, (0.9996,))
+    if 3942 <= epsg <= 3950:  # nine conic zones of one degree
+        lat = epsg - 3900
+        return LambertConic(lat, 3, 1700000, (lat - 41) * 1000000 + 200000, (lat - 0.75, lat + 0.75))
+    return None
+
+
+def is_metric(crs: str | int) -> bool:
+    return code(crs) not in GEOGRAPHIC
+
+
+def supported(crs: str | int) -> bool:
+    c = code(crs)
+    return c in GEOGRAPHIC or c is not None and grid(c) is not None
 
 
 def forward(m, epsg: int, lon, lat):
     """x and y of degrees."""
-    if epsg == 4326:
+    if epsg in GEOGRAPHIC:
         return lon, lat
-    if epsg == 3857:
-        return m.radians(lon) * A, m.log(m.tan(m.radians(lat) / 2 + math.pi / 4)) * A
-    if epsg == 6933:
-        s = m.sin(m.radians(lat))
-        q = (s / (1 - s * s * E2) - m.log((1 - s * E) / (1 + s * E)) / (2 * E)) * (1 - E2)
-        return m.radians(lon) * (A * K6933), q * (A / (2 * K6933))
-    zone, south = _utm(epsg)
-    lam = m.radians(lon - (zone * 6 - 183))
-    s = m.sin(m.radians(lat))
-    t = m.sinh(m.atanh(s) - m.atanh(s * E) * E)
-    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / (1 + t * t) ** 0.5)
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        x = x + m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * a
-        y = y + m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * a
-    return x * (0.9996 * _RADIUS) + 500000.0, y * (0.9996 * _RADIUS) + (1e7 if south else 0.0)
+    of = grid(epsg)
+    x, y = of.forward(m, m.radians(lon - of.lon0), m.radians(lat))
+    return x + of.east, y + of.north
 
 
 def inverse(m, epsg: int, x, y):
     """Degrees of x and y."""
-    if epsg == 4326:
+    if epsg in GEOGRAPHIC:
         return x, y
-    if epsg == 3857:
-        return m.degrees(x / A), m.degrees(m.atan(m.exp(y / A)) * 2 - math.pi / 2)
-    if epsg == 6933:
-        beta = m.asin(y * (2 * K6933 / A) / QP)
-        lat = beta + m.sin(beta * 2) * (E2 / 3 + 31 * E2**2 / 180 + 517 * E2**3 / 5040) + m.sin(beta * 4) * (23 * E2**2 / 360 + 251 * E2**3 / 3780) + m.sin(beta * 6) * (761 * E2**3 / 45360)
-        return m.degrees(x / (A * K6933)), m.degrees(lat)
-    zone, south = _utm(epsg)
-    xi, eta = (y - (1e7 if south else 0.0)) / (0.9996 * _RADIUS), (x - 500000.0) / (0.9996 * _RADIUS)
-    u, v = xi, eta
-    for j, b in enumerate(_BETA, 1):
-        u = u - m.sin(xi * (2 * j)) * m.cosh(eta * (2 * j)) * b
-        v = v - m.cos(xi * (2 * j)) * m.sinh(eta * (2 * j)) * b
-    chi = m.asin(m.sin(u) / m.cosh(v))
-    s = chi
-    delta = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
-    for j, d in enumerate(delta, 1):
-        s = s + m.sin(chi * (2 * j)) * d
-    return m.degrees(m.atan2(m.sinh(v), m.cos(u))) + (zone * 6 - 183), m.degrees(s)
+    of = grid(epsg)
+    lam, lat = of.inverse(m, x - of.east, y - of.north)
+    return m.degrees(lam) + of.lon0, m.degrees(lat)
 
 
 def _codes(source: str | int, target: str | int) -> tuple[int, int]:

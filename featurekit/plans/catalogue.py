@@ -11,8 +11,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from featurekit.functions import crs, text
 from featurekit.functions import geometry as g
-from featurekit.functions import text
 from featurekit.operators import columns as c
 from featurekit.operators import rules
 from featurekit.plans.queries import ORACLE, QUERIES, _boxes, _flat, _nations, _points, _violations, query, table
@@ -279,6 +279,23 @@ def improved(spark, d):
     return t.df.select("id", F.round("metrics:area", 4).alias("area"), F.lit(extension).alias("extension"))
 
 
+_Q = "((1 - {e2!r}) * (sin({0}) / (1 - {e2!r} * sin({0}) * sin({0})) - ln((1 - {e!r} * sin({0})) / (1 + {e!r} * sin({0}))) / (2 * {e!r})))"
+_R, _S, _C, _D = crs.grid(3035).turn
+
+
+@query(f"""WITH p AS (SELECT vec_id, radians(CAST(embedding[1] AS DOUBLE) * 10) AS lam, radians(52 + CAST(embedding[2] AS DOUBLE) * 10) AS phi FROM embeddings),
+b AS (SELECT vec_id, lam, asin({_Q.format("phi", e=crs.E, e2=crs.E2)} / {crs.QP!r}) AS beta FROM p),
+k AS (SELECT *, {_R!r} * sqrt(2 / (1 + {_S!r} * sin(beta) + {_C!r} * cos(beta) * cos(lam))) AS k FROM b)
+SELECT vec_id, round(4321000 + k * {_D!r} * cos(beta) * sin(lam), 2) AS x, round(3210000 + k / {_D!r} * ({_C!r} * sin(beta) - {_S!r} * cos(beta) * cos(lam)), 2) AS y FROM k""")
+def reproject_europe(spark, d):
+    """G1: an azimuthal equal-area grid; back again it is where it was."""
+    e = F.col("embedding")
+    df = table(spark, d, "embeddings").select("vec_id", g.point(e[0].cast("double") * 10 + 10, e[1].cast("double") * 10 + 52).alias("geometry"))
+    there = crs.reproject(F.col("geometry"), 4258, 3035)
+    back = crs.reproject(crs.reproject(there, 3035, 3006), 3006, 3035)["parts"][0][0][0]
+    return df.select("vec_id", F.round(back[0], 2).alias("x"), F.round(back[1], 2).alias("y"))
+
+
 _CELL = "least(greatest(floor(({0} + {1}) / {2} * 65536), 0), 65535)::BIGINT"
 #: The curve in 16 steps: a quadrant's share of the distance, then the turn of what lies within it.
 ORACLE["hilbert_order"] = f"""WITH RECURSIVE p AS (SELECT vec_id, {_CELL.format("CAST(embedding[1] AS DOUBLE) * 180", 180.0, 360.0)} AS x, {_CELL.format("CAST(embedding[2] AS DOUBLE) * 80", 90.0, 180.0)} AS y FROM embeddings),

@@ -118,8 +118,8 @@ def projjson(crs: str | int | None) -> dict[str, Any] | None:
     code = crs_.code(crs)
     if code is None:
         return None
-    geographic = code == 4326
-    return {"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "GeographicCRS" if geographic else "ProjectedCRS", "name": "WGS 84" if geographic else f"EPSG:{code}", "id": {"authority": "EPSG", "code": code}}
+    geographic = code in crs_.GEOGRAPHIC
+    return {"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "GeographicCRS" if geographic else "ProjectedCRS", "name": "WGS 84" if code == 4326 else f"EPSG:{code}", "id": {"authority": "EPSG", "code": code}}
 
 
 def geo_metadata(kinds: list[str], box: list[float] | None, crs: str | None, version: str, geom: str = "geometry") -> dict[str, Any]:

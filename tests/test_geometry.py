@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -67,6 +68,41 @@ def test_known_projections(spark):
         crs.reproject(F.col("geometry"), 4326, 31467)
 
 
+NEAR = {2154: (2.4, 48.8), 2157: (-6.3, 53.3), 2180: (21, 52.2), 2193: (174.8, -41.3), 3005: (-123.1, 49.3), 3006: (18, 59.3), 3034: (13.4, 52.5), 3035: (5, 50), 3059: (24.1, 56.9), 3067: (24.9, 60.2), 3301: (24.7, 59.4), 3338: (-149.9, 61.2), 3346: (25.3, 54.7), 3347: (-75.7, 45.4), 3577: (149.1, -35.3), 3763: (-9.1, 38.7), 3765: (16, 45.8), 3794: (14.5, 46.1), 3812: (4.4, 50.8), 3978: (-114, 51), 5070: (-77, 38.9), 3948: (2.3, 48.9), 26917: (-79.4, 43.7), 7855: (147.3, -42.9), 28355: (145, -37.8)}
+
+
+@pytest.mark.parametrize("epsg", [*NEAR, *crs.GRIDS])
+def test_grids_go_back_and_keep_what_they_promise(epsg):
+    lon, lat = NEAR[epsg]
+    x, y = crs.forward(math, epsg, lon, lat)
+    assert crs.inverse(math, epsg, x, y) == pytest.approx((lon, lat), abs=3e-10)
+    g = crs.grid(epsg)
+    if epsg in crs.GRIDS:
+        assert crs.forward(math, epsg, g.lon0, g.lat0) == pytest.approx((g.east, g.north), abs=1e-3)
+        assert crs.inverse(math, epsg, g.east, g.north) == pytest.approx((g.lon0, g.lat0), abs=1e-8)
+    # Steps of a millionth of a degree to the east and north, against those on the ellipsoid.
+    d, s = 1e-5, math.sin(math.radians(lat))
+    e, n = (np.subtract(crs.forward(math, epsg, lon + a, lat + b), (x, y)) for a, b in ((d, 0), (0, d)))
+    east = math.radians(d) * crs.A * math.cos(math.radians(lat)) / math.sqrt(1 - crs.E2 * s * s)
+    north = math.radians(d) * crs.A * (1 - crs.E2) / (1 - crs.E2 * s * s) ** 1.5
+    if isinstance(g, (crs.Albers, crs.LambertAzimuthal)):
+        assert abs(np.cross([*e, 0], [*n, 0])[2]) == pytest.approx(east * north, rel=1e-5)
+    else:  # conformal: the same scale both ways, at a right angle
+        assert np.hypot(*e) / east == pytest.approx(np.hypot(*n) / north, rel=1e-5) and abs(e @ n) < 1e-5 * np.hypot(*e) * np.hypot(*n)
+    if isinstance(g, crs.LambertConic):
+        step = np.subtract(crs.forward(math, epsg, lon + d, g.rest[0]), crs.forward(math, epsg, lon, g.rest[0]))
+        assert np.hypot(*step) == pytest.approx(math.radians(d) * crs.A * crs._parallel(g.rest[0]), rel=1e-6)
+
+
+def test_published_example(spark):
+    """The worked example of the azimuthal equal-area grid of Europe, and the same over columns."""
+    assert crs.forward(math, 3035, 5, 50) == pytest.approx((3962799.45, 2999718.85), abs=0.01)
+    df = frame(spark, ("Point", [[[[5.0, 50.0]]]]))
+    for epsg in (3035, 2154, 5070, 3006, 3577):
+        p = df.select(crs.reproject(F.col("geometry"), "EPSG:4258", epsg)["parts"][0][0][0]).first()[0]
+        assert p == pytest.approx(crs.forward(math, epsg, 5, 50), rel=1e-9)
+
+
 @pytest.mark.parametrize(
     "parts,reason",
     [
