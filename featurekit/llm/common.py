@@ -73,9 +73,9 @@ def slices(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         yield from (b.slice(i, size) for i in range(0, b.num_rows, size))
 
 
-def rows_that(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], list[bool]]], size: int) -> DataFrame:
-    """The rows, as they were, whose texts a function says yes to; each task makes the function for itself. Rows pass
-    through the workers whole, so nothing is joined."""
+def rows_that(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], list[bool]]], size: int, over: Callable[[], object] = lambda: None) -> DataFrame:
+    """The rows, as they were, whose texts a function says yes to; each task makes the function for itself, and calls
+    ``over`` when it has no more rows. Rows pass through the workers whole, so nothing is joined."""
     at = docs.columns.index(text_col)
     plain = plainly_named(docs)
 
@@ -83,6 +83,7 @@ def rows_that(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[
         wanted = make()
         for b in slices(batches, size):
             yield b.filter(pa.array(wanted(b.column(at).to_pylist()), pa.bool_()))
+        over()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -28,7 +28,8 @@ FIT_CHARS = 100_000
 DIMENSIONS, SIGNS, WINDOW, HIDDEN = 128, 8, 2, 24
 #: Times that the sample has a word whose context is learnt.
 OFTEN = 3
-REMEMBERED = 400_000
+#: Distinct words, and chunks between blanks, that a task remembers before it starts over; bounds its memory, never the result.
+REMEMBERED = 100_000
 BATCH = 256
 _PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_").findall
 
@@ -215,6 +216,8 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, BATCH):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(shared.value, b.column(1).to_pylist()))], names=["doc_id", "score"])
+        if shared.value:
+            shared.value.forget()
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     held = F.coalesce(held_remainder("doc_id", 5) == 0, F.lit(True))
@@ -234,4 +237,4 @@ def passing(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold:
     """The rows whose score reaches the threshold, as they were. Each row is judged by its own text, whatever its id, as it
     passes; there is no shuffle of documents."""
     shared = _fitted(docs, labels, rows)
-    return rows_that(docs, "text", lambda: lambda texts: (_scores(shared.value, texts) >= threshold).tolist(), BATCH)
+    return rows_that(docs, "text", lambda: lambda texts: (_scores(shared.value, texts) >= threshold).tolist(), BATCH, lambda: shared.value and shared.value.forget())

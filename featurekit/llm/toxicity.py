@@ -34,7 +34,7 @@ ROUNDS = (4, 32)
 SLACK = 1e-5
 #: Words of evidence of a text.
 EVIDENCE = 10
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 BATCH = 256
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -48,10 +48,6 @@ def terms(word: str) -> list[str]:
     return [word, f"{word[:STEM]}-"] if len(word) >= STEM else [word]
 
 
-def _slices(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return np.concatenate([x[:0], *(x[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True))])
-
-
 def hashed(found: Iterable[str]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.array([digest(t.encode("utf-8", "replace")) for t in found], np.uint64)
@@ -93,11 +89,18 @@ class Index:
         w = (1 + np.log(n)) * self.idf[t]
         return t, w / max(np.linalg.norm(w), 1e-12)
 
+    def raw(self, begin: int, end: int) -> np.ndarray:
+        """Weights of the entries from ``begin`` to ``end``, before the vectors are brought to length 1."""
+        return (1 + np.log(self.counts[begin:end], dtype=np.float64)) * self.idf[self.terms[begin:end]]
+
     @cached_property
-    def weights(self) -> np.ndarray:
-        w = (1 + np.log(self.counts, dtype=np.float64)) * self.idf[self.terms]
-        length = np.sqrt(np.bincount(np.repeat(np.arange(len(self.labels)), np.diff(self.ptr)), w * w, len(self.labels)))
-        return w / np.repeat(np.maximum(length, 1e-12), np.diff(self.ptr))
+    def lengths(self) -> np.ndarray:
+        squares = [float(w @ w) for w in map(self.raw, self.ptr[:-1].tolist(), self.ptr[1:].tolist())]
+        return np.maximum(np.sqrt(squares), 1e-12)
+
+    def example(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = self.ptr[e], self.ptr[e + 1]
+        return self.terms[begin:end], self.raw(begin, end) / self.lengths[e]
 
     @cached_property
     def lists(self) -> "Lists":
@@ -108,13 +111,15 @@ class Index:
         number; and how much each of its terms adds to these cosines, which weigh as in the vote."""
         out = []
         for (t, w), best in zip(vectors, self.lists.candidates(vectors, without), strict=True):
-            begin, end = self.ptr[best], self.ptr[best + 1]
-            which, found = np.repeat(np.arange(len(best)), end - begin), _slices(self.terms, begin, end)
+            places = list(zip(self.ptr[best].tolist(), self.ptr[best + 1].tolist(), strict=True))
+            found = np.concatenate([self.terms[:0], *(self.terms[a:b] for a, b in places)])
+            counts = np.concatenate([self.counts[:0], *(self.counts[a:b] for a, b in places)])
+            which = np.repeat(np.arange(len(best)), [b - a for a, b in places])
             # Where an example's term stands in the vector; met are those that it has.
             at = np.searchsorted(t.astype(found.dtype), found)
             met = np.flatnonzero(np.append(t, -1)[at] == found)
             at, which = at[met], which[met]
-            part = w[at] * _slices(self.weights, begin, end)[met]
+            part = w[at] * ((1 + np.log(counts[met], dtype=np.float64)) * self.idf[t][at] / self.lengths[best][which])
             cosine = np.bincount(which, part, len(best)).round(9)
             first = np.lexsort((best, -cosine))[:NEIGHBOURS]
             first = first[cosine[first] > 0]
@@ -135,7 +140,7 @@ class Index:
 
     def own_votes(self, numbers: list[int]) -> list[float | None]:
         """Votes on examples by the others; None without a neighbour."""
-        vectors = [(self.terms[self.ptr[e] : self.ptr[e + 1]], self.weights[self.ptr[e] : self.ptr[e + 1]]) for e in numbers]
+        vectors = [self.example(e) for e in numbers]
         return [self.vote(c, best) if len(best) else None for c, best, _ in self.search(vectors, numbers)]
 
     def rates(self, votes: list[float | None]) -> tuple[float, float, float]:
@@ -156,28 +161,34 @@ class Lists:
     def __init__(self, index: Index):
         n, df = len(index.labels), np.bincount(index.terms, minlength=len(index.idf))
         often = np.argsort(-df, kind="stable")[:DENSE]
-        self.row = np.full(len(df), -1)
+        self.row = np.full(len(df), -1, np.int32)
         self.row[often] = np.arange(len(often))
-        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(index.ptr))
-        at = self.row[index.terms]
         # Like ones: of the same label, and with most weight on the same one of the commonest terms.
-        common = np.zeros((n, min(64, len(often))), np.float32)
-        few = np.flatnonzero((at >= 0) & (at < 64))
-        common[example[few], at[few]] = index.weights[few]
-        order = np.lexsort((common.max(1), common.argmax(1), index.labels)) if common.size else np.arange(n)
+        lead, most = np.zeros(n, np.int32), np.zeros(n)
+        for e in range(n):
+            t, w = index.example(e)
+            w = np.where((self.row[t] >= 0) & (self.row[t] < 64), w, 0)
+            if len(w):
+                lead[e], most[e] = t[w.argmax()], w.max()
+        order = np.lexsort((most, lead, index.labels))
         self.blocks = -(-n // BLOCK)
         self.number = np.full(self.blocks * BLOCK, -1)
         self.number[:n] = order
         self.place = np.empty(n, np.int32)
         self.place[order] = np.arange(n)
-        where = self.place[example]
         self.dense = np.zeros((self.blocks, len(often), BLOCK), np.float32)
-        self.dense[where[at >= 0] // BLOCK, at[at >= 0], where[at >= 0] % BLOCK] = index.weights[at >= 0]
+        total = int(df.sum() - df[often].sum())
+        rare, listed, weight, so_far = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.float32), 0
+        for e in range(n):
+            t, w = index.example(e)
+            at, place = self.row[t], int(self.place[e])
+            self.dense[place // BLOCK, at[at >= 0], place % BLOCK] = w[at >= 0]
+            into = slice(so_far, so_far := so_far + int((at < 0).sum()))
+            rare[into], listed[into], weight[into] = t[at < 0], place, w[at < 0]
         self.most = np.ascontiguousarray(self.dense.max(2).T)
-        rare = np.flatnonzero(at < 0)
-        rare = rare[np.argsort(index.terms[rare], kind="stable")]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(index.terms[rare], minlength=len(df)))])
-        self.listed, self.weight = where[rare].astype(np.intp), index.weights[rare]
+        by_term = np.argsort(rare, kind="stable")
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(rare, minlength=len(df)))])
+        self.listed, self.weight = listed[by_term], weight[by_term]
 
     def candidates(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None) -> list[np.ndarray]:
         """By vector the examples that may be among the nearest; never ``without``'s."""
