@@ -219,15 +219,38 @@ def _repaired(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"type": pd.Series([k for k, _ in found], dtype=object), "parts": pd.Series([[[[list(x) for x in r] for r in part] for part in p] if p is not None else None for _, p in found], dtype=object)})
 
 
+def plainly_valid(g: Column) -> Column:
+    """Whether a geometry is a triangle or a convex quadrilateral without holes, which is valid without a closer look: its
+    ring is closed and turns the same way at each of its points. Null for null."""
+    r = g["parts"][0][0]
+    n = F.size(r)
+
+    def turn(i: Column) -> Column:
+        a, b, c = r[i], r[i + 1], F.get(r, F.when(i + 2 < n, i + 2).otherwise(1))
+        return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+    shape = (g["type"] == "Polygon") & (F.size(g["parts"]) == 1) & (F.size(g["parts"][0]) == 1) & n.isin(4, 5) & F.forall(r, lambda p: F.size(p) == 2)
+    closed = (r[0][0] == r[n - 1][0]) & (r[0][1] == r[n - 1][1])
+    turns = F.transform(F.sequence(F.lit(0), n - 2), turn)
+    # Neither zero, nor infinite, nor not a number (which counts as larger than any).
+    same = F.forall(turns, lambda t: (t > 0) & (t < 1e300)) | F.forall(turns, lambda t: (t < 0) & (t > -1e300))
+    return F.when(g.isNotNull(), F.when(F.coalesce(shape, F.lit(False)), F.coalesce(closed & same, F.lit(False))).otherwise(False))
+
+
+def _others(g: Column) -> Column:
+    """What needs a closer look; null for the rest, which a Python function passes over."""
+    return F.when(~plainly_valid(g), g)
+
+
 def invalid_reason(g: Column) -> Column:
     """Why a geometry is not valid; null for valid and null ones."""
-    return _reason(g)
+    return _reason(_others(g))
 
 
 def is_valid(g: Column) -> Column:
-    return F.when(g.isNotNull(), _reason(g).isNull())
+    return F.when(g.isNotNull(), invalid_reason(g).isNull())
 
 
 def make_valid(g: Column) -> Column:
     """A valid geometry of the same points; null for null."""
-    return F.when(g.isNotNull(), _repaired(g))
+    return F.when(g.isNotNull(), F.when(plainly_valid(g), g).otherwise(_repaired(_others(g))))

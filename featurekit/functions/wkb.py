@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,14 +76,68 @@ def decode(raw: bytes) -> tuple[str, list]:
     return one()
 
 
+def _flat_points(rings: list) -> np.ndarray:
+    return np.array([[p[0], p[1]] for r in rings for p in r], "<f8")
+
+
+def _blocks(of: np.dtype, count: int, **fields) -> list[bytes]:
+    """Records of one layout as bytes, made as one array."""
+    rows = np.zeros(count, of)
+    for name, value in fields.items():
+        rows[name] = value
+    raw = rows.tobytes()
+    return [raw[i : i + of.itemsize] for i in range(0, len(raw), of.itemsize)]
+
+
+def encode_many(kinds: Sequence[str | None], parts: Sequence) -> list[bytes | None]:
+    """WKB of many geometries: points, and polygons of one ring by the number of its points, each as one array; others one
+    by one."""
+    out: list[bytes | None] = [None] * len(kinds)
+    alike: dict[int, list[int]] = {}
+    for i, (k, p) in enumerate(zip(kinds, parts, strict=True)):
+        if k is None or p is None:
+            continue
+        ring = p[0][0] if len(p) == 1 and len(p[0]) == 1 and len(p[0][0]) else None
+        if ring is not None and (k == "Polygon" or k == "Point" and len(ring) == 1) and all(len(x) == 2 for x in ring):
+            alike.setdefault(0 if k == "Point" else len(ring), []).append(i)
+        else:
+            out[i] = encode(k, p)
+    for n, at in alike.items():
+        xy = _flat_points([parts[i][0][0] for i in at])
+        if n == 0:
+            found = _blocks(np.dtype([("order", "u1"), ("kind", "<u4"), ("xy", "<f8", 2)]), len(at), order=1, kind=1, xy=xy)
+        else:
+            found = _blocks(np.dtype([("order", "u1"), ("kind", "<u4"), ("rings", "<u4"), ("n", "<u4"), ("xy", "<f8", (n, 2))]), len(at), order=1, kind=3, rings=1, n=n, xy=xy.reshape(-1, n, 2))
+        for i, b in zip(at, found, strict=True):
+            out[i] = b
+    return out
+
+
+def decode_many(raw: Sequence[bytes | None]) -> list[tuple[str | None, list | None]]:
+    """Geometries of many WKB values; points of two coordinates as one array, others one by one."""
+    out: list[tuple[str | None, list | None]] = [(None, None)] * len(raw)
+    points = []
+    for i, b in enumerate(raw):
+        if b is not None:
+            if len(b) == 21 and bytes(b[:5]) == b"\x01\x01\x00\x00\x00":
+                points.append(i)
+            else:
+                out[i] = decode(bytes(b))
+    if points:
+        xy = np.frombuffer(b"".join(bytes(raw[i][5:]) for i in points), "<f8").reshape(-1, 2).tolist()
+        for i, p in zip(points, xy, strict=True):
+            out[i] = ("Point", [[[p]]])
+    return out
+
+
 @pandas_udf(BinaryType())
 def to_wkb(g: pd.DataFrame) -> pd.Series:
-    return pd.Series([None if k is None or p is None else encode(k, p) for k, p in zip(g["type"], g["parts"], strict=True)], dtype=object)
+    return pd.Series(encode_many(g["type"].tolist(), g["parts"].tolist()), dtype=object)
 
 
 @pandas_udf(TYPE)
 def _from_wkb(raw: pd.Series) -> pd.DataFrame:
-    found = [(None, None) if b is None else decode(bytes(b)) for b in raw]
+    found = decode_many(raw.tolist())
     return pd.DataFrame({"type": pd.Series([k for k, _ in found], dtype=object), "parts": pd.Series([p for _, p in found], dtype=object)})
 
 

@@ -7,8 +7,8 @@ from pyspark.sql.types import BinaryType
 
 from featurekit.functions import crs
 from featurekit.functions import geometry as g
-from featurekit.functions.validity import make_valid, problem, repair
-from featurekit.functions.wkb import decode, encode, from_wkb, to_wkb
+from featurekit.functions.validity import is_valid, make_valid, plainly_valid, problem, repair
+from featurekit.functions.wkb import decode, decode_many, encode, encode_many, from_wkb, to_wkb
 from featurekit.operators.improve import add_sizes
 
 BOX = [[0.0, 0.0], [4.0, 0.0], [4.0, 3.0], [0.0, 3.0], [0.0, 0.0]]
@@ -144,3 +144,26 @@ def test_hilbert_is_a_walk(spark):
     assert len(set(path)) == n * n
     assert all(abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 for a, b in zip(path, path[1:]))
     assert g.hilbert_sort(frame(spark, ("Point", [[[[1.0, 2.0]]]]), None)).count() == 2
+
+
+def test_many_geometries_are_coded_as_one_is(spark):
+    shapes = [("Polygon", [[BOX, HOLE]]), ("Polygon", [[BOX]]), ("Point", [[[[1.0, 2.0]]]]), (None, None), ("Polygon", [[BOX[:3] + BOX[:1]]]), ("Point", [[[[1.0, 2.0, 3.0]]]]), ("Point", []), ("MultiPoint", [[[[1.0, 2.0]]]]), ("Polygon", [[[[x + 1.0, y] for x, y in BOX]]]), ("Point", [[[[-7.5, 0.0]]]])]
+    raw = encode_many([k for k, _ in shapes], [p for _, p in shapes])
+    assert raw == [None if k is None else encode(k, p) for k, p in shapes]
+    assert decode_many(raw) == [(None, None) if b is None else decode(b) for b in raw]
+
+
+def test_plainly_valid_shapes_are_valid(spark):
+    """Of random triangles and quadrilaterals: whatever the shortcut takes is valid, and it takes all convex ones."""
+    rng = np.random.default_rng(6)
+    rings = [[*r, r[0]] for r in rng.integers(0, 5, (300, 4, 2)).astype(float).tolist() + rng.integers(0, 4, (100, 3, 2)).astype(float).tolist()]
+    rings += [BOX[:-1], [[0.0, 0.0], [1.0, float("nan")], [1.0, 1.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]]
+    df = frame(spark, *(("Polygon", [[r]]) for r in rings), ("Point", [[[[1.0, 2.0]]]]), None)
+    got = {r["id"]: r for r in df.select("id", plainly_valid(F.col("geometry")).alias("plain"), is_valid(F.col("geometry")).alias("valid")).collect()}
+    for i, r in enumerate(rings):
+        assert got[i]["valid"] == (problem("Polygon", [[r]]) is None)
+        assert not got[i]["plain"] or got[i]["valid"]
+        turns = [np.cross([*np.subtract(r[k + 1], r[k]), 0], [*np.subtract(r[k + 2] if k + 2 < len(r) else r[1], r[k + 1]), 0])[2] for k in range(len(r) - 1)]
+        if len(r) > 3 and r[0] == r[-1] and (min(turns) > 0 or max(turns) < 0):
+            assert got[i]["plain"]
+    assert not got[len(rings)]["plain"] and got[len(rings) + 1]["plain"] is None
