@@ -127,7 +127,8 @@ def format_chats(turns: DataFrame, model: Model) -> DataFrame:
     line break, its lines without markers, and "<|end|>". Any role column is not read. Long conversations are cut into
     blocks of ``BLOCK`` turn numbers: a first pass gives each block's best scores from role to role, a scan over these
     small tables the scores at the borders, and a second pass the roles, exactly as one Viterbi over all lines. Exactly
-    repeated rows count once; rows that share a conversation and turn follow by their text. Null ids or turns are left
+    repeated rows count once; rows that share a conversation and turn follow by their text. Turns of one role in a row
+    become one canonical turn; ``turn`` still tells them apart. Null ids or turns are left
     out; null and empty texts are one empty line."""
     rows = turns.filter("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     blocks = rows.groupBy("conv_id", F.floor(F.col("turn") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("rows"))

@@ -12,43 +12,53 @@ from featurekit.llm.common import table
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page url by the fixed rules, and by listed hosts where none fits."""
     return url_filter.page_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every conversation with its recovered role and canonical form; roles given in the table are learnt from only."""
     turns = table(spark, sf_dir, "conversations")
     return chat.format_chats(turns, chat.learn(turns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learnt from labels that are not held out."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and whether it is kept, of every document."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all codes for every row whose id is divisible by 20."""
     return topk_search.nearest_embeddings(table(spark, sf_dir, "embeddings"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether they exceed 4096."""
     return token_counts.document_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of phrases, labels and score of every document."""
     return license_scan.license_digest(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with its nearest examples and words of evidence."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that overlap, with its best place."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, with a checksum of its ids."""
     return packing.packed_digest(packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
