@@ -16,8 +16,9 @@ from featurekit.llm.common import free_name, materialize
 #: Bits of a level for each key beyond what the ratio of the other side's keys asks for; bits of a level at least, so that
 #: a wrong guess of that ratio costs a short list nothing.
 SPARE_BITS, LEAST_BITS = 4, 1 << 16
-#: Bits of a level at most (128 MB, some 40 million listed keys among 10 billion): a plan carries a level to every worker.
-MOST_BITS = 1 << 30
+#: Bits of a level at most (16 MB, some 6 million listed keys among 10 billion): the driver gathers a level's words, and a
+#: plan carries them to every worker.
+MOST_BITS = 1 << 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
