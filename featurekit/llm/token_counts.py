@@ -106,6 +106,17 @@ def _counted(units: DataFrame, path: str) -> DataFrame:
     return units.mapInArrow(run, "unit string, n bigint, pieces bigint")
 
 
+def _frequent(counted: DataFrame) -> DataFrame:
+    """The units above the smallest power-of-two frequency that ``FREQUENT`` of them at most reach; how many have which
+    magnitude is all that the driver learns for that."""
+    sizes = {r["m"]: r["count"] for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("m")).count().collect()}  # 64 rows at most
+    least, total = 64, 0
+    while least and total + sizes.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        total += sizes.get(least, 0)
+    return counted.filter(F.floor(F.log2("n")).cast("int") >= least)
+
+
 class Frequent:
     """Counts of the most frequent pre-tokens, as a worker looks them up."""
 
@@ -148,7 +159,7 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", out_c
     if not (cut and lines):
         return _whole(plain, model_path, at).select(*names, "total").toDF(*keep, out_col)
     counted = materialize(_counted(_gathered(plain.select(f"c{at}")), model_path))
-    top = counted.orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", "pieces").toPandas()  # FREQUENT short rows
+    top = _frequent(counted).select("unit", "pieces").toPandas()  # FREQUENT short rows
     shared = docs.sparkSession.sparkContext.broadcast(Frequent(top["unit"].tolist(), top["pieces"].to_numpy()))
     cell = pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int64())]))
 
@@ -169,7 +180,7 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text", out_c
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in columns), pa.array(sums, pa.int64()), pa.array(others, cell)], names=[*names, "total", "rare"])
 
     summed = plain.mapInArrow(run, StructType([*(plain.schema[n] for n in names), StructField("total", LongType()), StructField("rare", _RARE)]))
-    if len(top) < FREQUENT:
+    if counted.count() == len(top):
         return summed.drop("rare").toDF(*keep, out_col)
     written = materialize(summed.withColumn("row", F.monotonically_increasing_id()))
     units = written.select("row", F.explode("rare").alias("x")).select("row", "x.unit", "x.n")
