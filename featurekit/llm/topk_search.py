@@ -79,7 +79,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     closed: list[DataFrame] = []
     for radius in range(max(w for _, w in cuts) + 1):
         probes = open_.select("q", "bar", F.explode(_probes(F.col("q"), cuts, radius)).alias("x")).select("q", "bar", "x.segment", "x.value")
-        met = probes.join(index, ["segment", "value"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+        met = probes.hint("merge").join(index, ["segment", "value"]).withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
         met = met.filter((F.col("distance") <= F.col("bar")) & _shown_first(F.col("q"), F.col("code"), cuts, radius))
         hits = met.select("q", "distance", F.explode("ids").alias("id"))
         # A query without any code so far stays known by a row of its own.
