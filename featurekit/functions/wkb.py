@@ -126,7 +126,7 @@ def decode_many(raw: Sequence[bytes | None]) -> list[tuple[str | None, list | No
     if points:
         xy = np.frombuffer(b"".join(bytes(raw[i][5:]) for i in points), "<f8").reshape(-1, 2).tolist()
         for i, p in zip(points, xy, strict=True):
-            out[i] = ("Point", [[[p]]])
+            out[i] = ("Point", [] if p[0] != p[0] else [[[p]]])  # a point without coordinates is NaN
     return out
 
 
