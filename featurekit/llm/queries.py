@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from featurekit.llm import chat, decontaminate, license_scan, near_dedup, packing, quality, token_counts, topk_search, toxicity, url_filter
+from featurekit.llm import (
+    chat,
+    decontaminate,
+    fill_in_middle,
+    license_scan,
+    near_dedup,
+    packing,
+    phrases,
+    quality,
+    quality_rules,
+    token_counts,
+    topk_search,
+    toxicity,
+    url_filter,
+)
 from featurekit.llm.common import table
 
 
@@ -62,7 +76,39 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_quality, op4_near_dedup, op5_topk_search, op6_token_counts, op7_license_scans, op8_toxicity, op9_decontamination, op10_packing)}
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 phrases whose words keep together most."""
+    return phrases.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, its distances to its language's histograms, and whether it is kept."""
+    return quality_rules.document_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, form and digests of every document's fill-in-the-middle form."""
+    return fill_in_middle.document_digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_chat_formatting,
+        op3_quality,
+        op4_near_dedup,
+        op5_topk_search,
+        op6_token_counts,
+        op7_license_scans,
+        op8_toxicity,
+        op9_decontamination,
+        op10_packing,
+        op11_phrase_mining,
+        op12_quality_rules,
+        op13_fill_in_middle,
+    )
+}
 
 #: Where SQL can give the same rows.
 #: The nearest rows by brute force, over all pairs of a query and a row.
@@ -85,4 +131,11 @@ c AS (SELECT reach.r, min(s.doc_id) AS component_id FROM reach JOIN s ON reach.t
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c USING (r)
 """
 
-ORACLE: dict[str, str] = {"op1_url_filters": url_filter.SQL, "op4_near_dedup": NEAR_SQL, "op5_topk_search": TOPK_SQL}
+ORACLE: dict[str, str] = {
+    "op1_url_filters": url_filter.SQL,
+    "op4_near_dedup": NEAR_SQL,
+    "op5_topk_search": TOPK_SQL,
+    "op11_phrase_mining": phrases.SQL,
+    "op12_quality_rules": quality_rules.SQL,
+    "op13_fill_in_middle": fill_in_middle.SQL,
+}
