@@ -171,9 +171,7 @@ def validate_geojson(spark: SparkSession, path: str, num: int = 100, schema_map:
     are not listed."""
     r = Result()
     try:
-        collection = geojson.metadata(spark, path)
-        features = geojson._features(geojson._documents(spark, path, False))
-        kind = geojson._documents(spark, path, False).select(F.variant_get("v", "$.type", "string").alias("t")).first()
+        collection, features, kind = geojson.scan(spark, path, num)
     except Exception as e:  # a file that can't be read is a result, not a failure of the validator
         r.errors.append(str(e))
         r.done = True
@@ -184,10 +182,9 @@ def validate_geojson(spark: SparkSession, path: str, num: int = 100, schema_map:
         return r
     check_schemas(r, collection, required, mixed=True)
     documents = {cid: jsonschema.document(_without_context(collection.merged_schema(schema_map, cid))) for cid in collection.schemas}
-    single = kind is not None and kind["t"] == "Feature"
+    single = kind == "Feature"
     shared = {k: v for k, v in collection.items() if k not in collection.only_here(schema_map)}
     top = {k: v for k, v in collection.items() if k in collection.only_here(schema_map)}
-    limited = features if num < 0 else features.limit(num)
 
     def check(batches):
         for b in batches:
@@ -196,7 +193,7 @@ def validate_geojson(spark: SparkSession, path: str, num: int = 100, schema_map:
                 out += _feature_errors(json.loads(text), documents, shared, top)
             yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(out)), pa.int64()), "message": pa.array(out, pa.string())})
 
-    found = limited.select(F.to_json("f").alias("f")).mapInArrow(check, "at bigint, message string")
+    found = features.select(F.to_json("f").alias("f")).mapInArrow(check, "at bigint, message string")
     rows = found.limit(most + 1).collect()  # a report, not the data
     if len(rows) > most:
         r.warnings.append(f"Only the first {most} errors of features are listed")

@@ -19,6 +19,8 @@ from featurekit.functions.text import iso8601
 from featurekit.operators.columns import ref
 from featurekit.schema.collection import Collection, dehydrate
 from featurekit.schema.collection import hydrate as fill
+from featurekit.sources import splitjson
+from featurekit.sources.geoparquet import filesystem
 from featurekit.table import FeatureTable
 
 #: Members of a Feature and a FeatureCollection that GeoJSON itself defines.
@@ -29,25 +31,53 @@ def _path(*keys: str) -> str:
     return "$" + "".join(f'["{k}"]' for k in keys)
 
 
+def is_split(path: str) -> bool:
+    """Whether a path names one file, which is scanned by ranges; folders and patterns of small files are not."""
+    fs, root = filesystem(path)
+    return fs.get_file_info(root).is_file
+
+
 def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """One VARIANT per document; with ``lines`` each line is one (newline-delimited features split across tasks)."""
     text = spark.read.text(path, wholetext=not lines)
     return text.filter(F.length(F.trim("value")) > 0).select(F.parse_json("value").alias("v"))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    """Feature documents as JSON text; other documents are an error when they are read."""
+def _in_documents(docs: DataFrame) -> DataFrame:
+    """Features (column f, VARIANT) of whole documents; other documents are an error when they are read."""
     kind = F.variant_get("v", "$.type", "string")
-    found = F.when(kind == "FeatureCollection", F.variant_get("v", "$.features", "array<variant>")).when(kind == "Feature", F.array("v")).otherwise(F.raise_error(F.lit("Only Feature and FeatureCollection are supported")))
+    several = F.variant_get("v", "$.features", "array<variant>")
+    other = F.raise_error(F.lit("Only Feature and FeatureCollection are supported"))
+    found = F.when(kind == "FeatureCollection", several).when(kind == "Feature", F.array("v")).otherwise(other)
     return docs.select(F.explode(found).alias("f"))
 
 
+def scan(spark: SparkSession, path: str, num: int | None = None, lines: bool = False) -> tuple[Collection, DataFrame, str | None]:
+    """Metadata, features (column f, VARIANT) in the file's order, and the document's type if it is one file. A file is scanned by ranges, side by side; the first
+    ``num`` features by one task that reads no further. Newline-delimited files have no metadata."""
+    some = num is not None and num >= 0
+    if lines or not is_split(path):
+        docs = _documents(spark, path, lines)
+        features = _in_documents(docs)
+        found = Collection() if lines else _members_of(docs)
+        return found, features.limit(num) if some else features, None
+    layout = (splitjson.head(path) if some else None) or splitjson.layout(spark, path)
+    rows = splitjson.scan_first(spark, layout, num) if some else splitjson.scan(spark, layout)
+    found = Collection({k: v for k, v in layout.members.items() if k not in MEMBERS})
+    return found, rows.select(F.parse_json("value").alias("f")), layout.kind
+
+
 def metadata(spark: SparkSession, path: str, lines: bool = False) -> Collection:
     """Top-level members that GeoJSON does not define; features are not decoded. Newline-delimited files have none."""
     if lines:
         return Collection()
-    docs = _documents(spark, path, lines)
-    view = f"geojson_{uuid.uuid4().hex}"
+    if not is_split(path):
+        return _members_of(_documents(spark, path, lines))
+    return Collection({k: v for k, v in splitjson.layout(spark, path).members.items() if k not in MEMBERS})
+
+
+def _members_of(docs: DataFrame) -> Collection:
+    spark, view = docs.sparkSession, f"geojson_{uuid.uuid4().hex}"
     docs.createOrReplaceTempView(view)
     skip = ", ".join(f"'{m}'" for m in sorted(MEMBERS))
     rows = spark.sql(f"SELECT key, to_json(value) AS value FROM {view}, LATERAL variant_explode(v) WHERE key NOT IN ({skip})").collect()
@@ -92,16 +122,16 @@ def read_features(features: DataFrame, types: Mapping[str, str | DataType], want
 
 def read_geojson(spark: SparkSession, path: str, num: int | None = None, properties: Iterable[str] | None = None, schema_map: Mapping[str, Any] | None = None, hydrate: bool = False, lines: bool = False) -> FeatureTable:
     """A Feature or FeatureCollection as a table; the first ``num`` rows (0 gives none) and named properties only, where
-    given. Properties that a custom schema types have that type, the others the type that fits all their values."""
+    given. Properties that a custom schema types have that type, the others the type that fits all their values in the
+    rows that are read. With ``num`` only the file's first features and its last megabytes are read."""
     from featurekit.types import SCALARS
 
-    collection = metadata(spark, path, lines)
-    features = _features(_documents(spark, path, lines))
+    collection, features, _ = scan(spark, path, num, lines)
     types: dict[str, str | DataType] = dict(property_types(features))
     known = collection.custom.get("properties", {})
     types = {n: SCALARS[known[n]["type"]][0] if n in known and known[n].get("type") in SCALARS else t for n, t in types.items()}
     df = read_features(features, types, set(properties) if properties else None)
-    t = FeatureTable(df if num is None or num < 0 else df.limit(num), collection, "EPSG:4326")
+    t = FeatureTable(df, collection, "EPSG:4326")
     return fill(t, schema_map) if hydrate else t
 
 
