@@ -1,250 +1,402 @@
-"""Validity of geometries, the reason where they are not, and repair. Exact rules of planar simplicity, by Arrow batches."""
+"""Validity of geometries, the reason where they are not, and repair. Exact rules of planar simplicity, on packed arrays of
+whole Arrow batches."""
 
 from __future__ import annotations
 
-import math
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from featurekit.functions.geometry import TYPE
+from featurekit.functions.planar import Packed, meeting, orientation
 
-Ring = np.ndarray
+_COORDINATES, _OPEN, _FEW = "Invalid Coordinate", "Ring is not closed", "Too few points in geometry component"
+_CROSSES, _TOUCHES, _OUTSIDE = "Self-intersection", "Ring Self-intersection", "Hole lies outside shell"
+_HOLES, _SHELLS = "Holes are nested", "Nested shells"
 
+#: The Arrow type of a native geometry.
+ARROW = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))])
 
-def _xy(r) -> Ring:
-    return np.array([[float(p[0]), float(p[1])] for p in r]).reshape(-1, 2)
 
-
-def _distinct(r: Ring) -> Ring:
-    """Without points that repeat the one before."""
-    return r[np.concatenate([[True], (np.diff(r, axis=0) != 0).any(1)])] if len(r) else r
-
-
-def _cross(a, b, c):
-    return (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])
-
-
-def crossings(a1: Ring, a2: Ring, b1: Ring, b2: Ring) -> np.ndarray:
-    """Pairs (i, j) of segments a and b that share any point, by signs of areas and boxes."""
-    a1, a2, b1, b2 = a1[:, None], a2[:, None], b1[None], b2[None]
-    boxes = (np.minimum(a1, a2) <= np.maximum(b1, b2)).all(-1) & (np.minimum(b1, b2) <= np.maximum(a1, a2)).all(-1)
-    s = np.sign
-    straddle = (s(_cross(a1, a2, b1)) * s(_cross(a1, a2, b2)) <= 0) & (s(_cross(b1, b2, a1)) * s(_cross(b1, b2, a2)) <= 0)
-    return np.argwhere(boxes & straddle)
-
-
-def inside(p, ring: Ring) -> int:
-    """1 within a ring, 0 on it, -1 outside."""
+def inside(p: np.ndarray, ring: np.ndarray) -> int:
+    """1 within a closed ring, 0 on it, -1 outside."""
     a, b = ring[:-1], ring[1:]
-    on = (np.abs(_cross(a, b, np.asarray(p))) == 0) & (np.minimum(a, b) <= p).all(1) & (np.maximum(a, b) >= p).all(1)
-    if on.any():
+    box = (np.minimum(a, b) <= p).all(1) & (np.maximum(a, b) >= p).all(1)
+    if box.any() and (orientation(a[box], b[box], p[None]) == 0).any():
         return 0
     up = (a[:, 1] > p[1]) != (b[:, 1] > p[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        x = (b[:, 0] - a[:, 0]) * (p[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return 1 if (up & (p[0] < x)).sum() % 2 else -1
-
-
-def _ring_problem(r: Ring) -> str | None:
-    if not np.isfinite(r).all():
-        return "Invalid Coordinate"
-    if len(r) and (r[0] != r[-1]).any():
-        return "Ring is not closed"
-    d = _distinct(r)
-    if len(d) < 4:
-        return "Too few points in geometry component"
-    a, b, n = d[:-1], d[1:], len(d) - 1
-    touches = False
-    for i, j in crossings(a, b, a, b):
-        if i >= j:
-            continue
-        ends = j == i + 1 or (i == 0 and j == n - 1)
-        if ends:
+    a, b = a[up], b[up]
+    # An edge that crosses the height of p does so to its right if p lies to the left of the edge as it goes up.
+    return 1 if len(a) and ((orientation(a, b, p[None]) > 0) == (b[:, 1] > a[:, 1])).sum() % 2 else -1
+
+
+def _side(r: np.ndarray, other: np.ndarray) -> int:
+    """Where a ring lies with respect to another that it does not cross: by its first point or middle that is not on it."""
+    for p in r[:-1]:
+        if k := inside(p, other):
+            return k
+    return next((k for p in (r[:-1] + r[1:]) / 2 if (k := inside(p, other))), 0)
+
+
+class _Rings:
+    """The rings of a batch's polygons: what is wrong with each by itself, and which cross one another."""
+
+    def __init__(self, packed: Packed):
+        self.packed = packed
+        n = len(packed.points)
+        ring = packed.ring_of()
+        bad = np.bincount(ring[~np.isfinite(packed.xy).all(1)], minlength=n) > 0
+        some = packed.points > 0
+        first, last = packed.first(), np.cumsum(packed.points) - 1
+        loose = np.zeros(n, bool)
+        loose[some] = (packed.xy[first[some]] != packed.xy[last[some]]).any(1)
+        self.distinct = packed.distinct()
+        few = self.distinct.points < 4
+        self.problem = np.select([bad, loose, few], [_COORDINATES, _OPEN, _FEW], "").astype(object)
+        self.crossing: set[tuple[int, int]] = set()
+        self._meetings(self.problem == "")
+        self.starts = self.distinct.first()
+
+    def _meetings(self, sound: np.ndarray) -> None:
+        index = np.flatnonzero(sound)
+        kept = self.distinct.keep(sound)
+        a, b, ring, k = kept.segments()
+        n = (kept.points - 1)[ring] if len(ring) else ring
+        shape = kept.shape[ring] if len(ring) else ring
+        crosses, touches = np.zeros(len(index), bool), np.zeros(len(index), bool)
+        for i, j, o1, o2, o3, o4 in meeting(a, b, np.unique(shape, return_counts=True)[1]):
+            proper = (o1 * o2 < 0) & (o3 * o4 < 0)
+            other = (ring[i] != ring[j]) & proper
+            self.crossing.update(zip(index[ring[i[other]]].tolist(), index[ring[j[other]]].tolist(), strict=True))
+            own = ring[i] == ring[j]
+            i, j = i[own], j[own]
+            flat = (o1 == 0) | (o2 == 0) | (o3 == 0) | (o4 == 0)
+            after, around = k[j] == k[i] + 1, (k[i] == 0) & (k[j] == n[i] - 1)
             # Neighbours share one end; more than that is a spike that runs back on itself.
-            p, q, t = (a[i], b[i], b[j]) if j == i + 1 else (a[j], b[j], b[i])
-            if _cross(p, q, t) == 0 and np.dot(p - q, t - q) > 0:
-                return "Self-intersection"
+            p = np.where(after[:, None], a[i], a[j])
+            q = np.where(after[:, None], b[i], b[j])
+            t = np.where(after[:, None], b[j], b[i])
+            ends = after | around
+            back = ends & (((p - q) * (t - q)).sum(1) > 0)
+            if back.any():
+                back[back] = orientation(p[back], q[back], t[back]) == 0
+            same = lambda u, v: (u == v).all(1)
+            touch = same(a[i], a[j]) | same(a[i], b[j]) | same(b[i], a[j]) | same(b[i], b[j])
+            cross = back | (~ends & ~touch)
+            crosses[ring[i[cross]]] = True
+            touches[ring[i[~ends & touch & flat[own]]]] = True
+        self.problem[index[touches]] = _TOUCHES
+        self.problem[index[crosses]] = _CROSSES
+
+    def ring(self, r: int) -> np.ndarray:
+        return self.distinct.xy[self.starts[r] : self.starts[r] + self.distinct.points[r]]
+
+    def cross(self, r: int, s: int) -> bool:
+        return (r, s) in self.crossing or (s, r) in self.crossing
+
+
+def _apart(boxes: dict[int, tuple], r: int, s: int) -> bool:
+    (a, b), (c, d) = boxes[r], boxes[s]
+    return bool((a > d).any() or (c > b).any())
+
+
+def _shape_problem(rings: _Rings, parts: list[list[int]]) -> str | None:
+    """Why a polygon of several rings is not valid, in the order in which its rings stand."""
+    boxes = {}
+    for own in parts:
+        for r in own:
+            if rings.problem[r]:
+                return rings.problem[r]
+            boxes[r] = rings.ring(r).min(0), rings.ring(r).max(0)
+        for k, hole in enumerate(own[1:], 1):
+            if rings.cross(hole, own[0]):
+                return _CROSSES
+            if _apart(boxes, hole, own[0]) or _side(rings.ring(hole), rings.ring(own[0])) < 0:
+                return _OUTSIDE
+            for other in own[1:k]:
+                if _apart(boxes, hole, other):
+                    continue
+                if rings.cross(hole, other):
+                    return _CROSSES
+                if _side(rings.ring(hole), rings.ring(other)) > 0 or _side(rings.ring(other), rings.ring(hole)) > 0:
+                    return _HOLES
+    within = lambda r, s: not _apart(boxes, r, s) and _side(rings.ring(r), rings.ring(s)) > 0
+    shells = [p for p in parts if p]
+    for i, a in enumerate(shells):
+        for b in shells[:i]:
+            if _apart(boxes, a[0], b[0]):
+                continue
+            if rings.cross(a[0], b[0]):
+                return _CROSSES
+            for x, y in ((a, b), (b, a)):
+                if within(x[0], y[0]) and not any(within(x[0], h) for h in y[1:]):
+                    return _SHELLS
+    return None
+
+
+def problems(shapes: pa.Array) -> list[str | None]:
+    """Why each geometry of a batch is not valid; None for those that are, that have no rules, and for nulls."""
+    kinds = shapes.field("type").to_numpy(zero_copy_only=False)
+    lists = shapes.field("parts")
+    gone = pc.is_null(shapes).to_numpy(zero_copy_only=False)
+    out: list[str | None] = [None] * len(shapes)
+    is_a = lambda *names: np.isin(np.where(gone | (kinds == None), "", kinds).astype(str), names)  # noqa: E711, E731
+    for name, chosen in (("points", is_a("Point", "MultiPoint")), ("lines", is_a("LineString", "MultiLineString"))):
+        at = np.flatnonzero(chosen)
+        if not len(at):
             continue
-        touch = {tuple(a[i]), tuple(b[i])} & {tuple(a[j]), tuple(b[j])}
-        proper = not touch and not any(_cross(x, y, z) == 0 for x, y, z in ((a[i], b[i], a[j]), (a[i], b[i], b[j]), (a[j], b[j], a[i]), (a[j], b[j], b[i])))
-        if proper or not touch:
-            return "Self-intersection"
-        touches = True
-    return "Ring Self-intersection" if touches else None
+        packed = Packed.of(lists.take(pa.array(at)))
+        if name == "points":
+            bad = packed.shape[packed.ring_of()[~np.isfinite(packed.xy).all(1)]]
+        else:
+            bad = packed.shape[packed.distinct().points < 2]
+        for k in np.unique(bad):
+            out[at[k]] = _COORDINATES if name == "points" else _FEW
+    at = np.flatnonzero(is_a("Polygon", "MultiPolygon"))
+    if not len(at):
+        return out
+    packed = Packed.of(lists.take(pa.array(at)))
+    rings = _Rings(packed)
+    several = np.bincount(packed.shape, minlength=len(at)) > 1
+    alone = np.flatnonzero(~several[packed.shape] & (rings.problem != ""))
+    for r in alone:
+        out[at[packed.shape[r]]] = rings.problem[r]
+    members: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for r in np.flatnonzero(several[packed.shape]):
+        members[packed.shape[r]][packed.part[r]].append(r)
+    for shape, parts in members.items():
+        out[at[shape]] = _shape_problem(rings, list(parts.values()))
+    return out
+
+
+def _cut(a: np.ndarray, b: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes (place and geometry), and edges between them: all segments cut where they meet; edges that lie on each other
+    cancel in pairs (even-odd rule)."""
+    edge, where = [np.arange(len(a))] * 2, [a, b]
+    for i, j, *_ in meeting(a, b, np.unique(shape, return_counts=True)[1]):
+        d, e = b[i] - a[i], b[j] - a[j]
+        den = d[:, 0] * e[:, 1] - d[:, 1] * e[:, 0]
+        off = a[j] - a[i]
+        line = orientation(a[i], b[i], a[j]) == 0
+        along = line & (orientation(a[i], b[i], b[j]) == 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = a[i] + ((off[:, 0] * e[:, 1] - off[:, 1] * e[:, 0]) / den)[:, None] * d
+        # An end that lies there is the place itself.
+        for q in (b[j], a[j], b[i], a[i]):
+            close = (np.abs(q - p) <= 1e-12 * (1 + np.abs(q).max(1, keepdims=True))).all(1)
+            p = np.where(close[:, None], q, p)
+        single = ~along & (den != 0)
+        edge += [i[single], j[single], i[along], i[along], j[along], j[along]]
+        where += [p[single], p[single], a[j][along], b[j][along], a[i][along], b[i][along]]
+    edge, xy = np.concatenate(edge), np.concatenate(where)
+    d = (b - a)[edge]
+    t = ((xy - a[edge]) * d).sum(1) / (d * d).sum(1)
+    keep = (t >= -1e-12) & (t <= 1 + 1e-12)
+    edge, xy, t = edge[keep], xy[keep] + 0.0, t[keep]
+    nodes, number = np.unique(np.column_stack([shape[edge].astype(float), xy]), axis=0, return_inverse=True)
+    number = _snapped(nodes, number.ravel(), t)[number.ravel()]
+    order = np.lexsort((t, edge))
+    edge, number = edge[order], number[order]
+    step = (edge[1:] == edge[:-1]) & (number[1:] != number[:-1])
+    u, v = number[:-1][step], number[1:][step]
+    pairs, times = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1).reshape(-1, 2), axis=0, return_counts=True)
+    pairs = pairs[times % 2 == 1]
+    return nodes[:, 1:], nodes[:, 0].astype(np.int64), pairs[:, 0], pairs[:, 1]
+
+
+def _snapped(nodes: np.ndarray, number: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For each node the one that stands for it: places that differ by rounding only are one, a given point rather than a
+    computed one. They share a cell of a fine grid, or of the same grid moved by half a cell."""
+    n = len(nodes)
+    shape = nodes[:, 0].astype(np.int64)
+    size = np.ones(shape.max() + 1)
+    np.maximum.at(size, shape, np.abs(nodes[:, 1:]).max(1))
+    grid = nodes[:, 1:] / (size[shape] * 2.0**-38)[:, None]
+    cells = [np.unique(np.column_stack([nodes[:, 0], np.floor(grid + shift)]), axis=0, return_inverse=True)[1].ravel() for shift in ([0, 0], [0.5, 0.5], [0, 0.5], [0.5, 0])]
+    computed = np.ones(n, bool)
+    computed[number[(t == 0) | (t == 1)]] = False
+    order = np.argsort(computed, kind="stable")
+    label = np.empty(n, np.int64)
+    label[order] = np.arange(n)
+    while True:
+        before = label
+        for cell in cells:
+            least = np.full(n, n)
+            np.minimum.at(least, cell, label)
+            label = least[cell]
+        if (label == before).all():
+            return order[label]
+
+
+def _least(label: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The least label on each cycle of a permutation, by doubling the step."""
+    while True:
+        new = np.minimum(label, label[following])
+        if (new == label).all() and (label[following] == label).all():
+            return label
+        label, following = new, following[following]
+
+
+def _odd_faces(face: np.ndarray, twin: np.ndarray, area: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every face the walk around the outside of the lines that it belongs to, and whether an odd number of edges lies
+    between; faces on both sides of an edge differ."""
+    owner, odd = np.where(outer, np.arange(len(area)), -1), np.zeros(len(area), bool)
+    here, there = face, face[twin]
+    while True:
+        new = (owner[here] >= 0) & (owner[there] < 0)
+        if not new.any():
+            return owner, odd
+        odd[there[new]] = ~odd[here[new]]
+        owner[there[new]] = owner[here[new]]
+
+
+def _simple(walk: list[int]) -> list[list[int]]:
+    """A closed walk as rings that pass no node twice."""
+    out, path, at = [], [], {}
+    for v in walk:
+        if v in at:
+            out.append(path[at[v] :])
+            for w in path[at[v] :]:
+                del at[w]
+            path = path[: len(path) - len(out[-1])]
+        at[v] = len(path)
+        path.append(v)
+    return [*out, path] if path else out
+
+
+def _area(r: np.ndarray) -> float:
+    r = r - r[0]
+    return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() / 2)
+
+
+def _faces(xy: np.ndarray, shape: np.ndarray, u: np.ndarray, v: np.ndarray, count: int) -> list[list[list[np.ndarray]]]:
+    """For each of ``count`` geometries, the polygons (shell and holes) that its edges fill by the even-odd rule."""
+    out: list[list[list[np.ndarray]]] = [[] for _ in range(count)]
+    if not len(u):
+        return out
+    tail, head = np.concatenate([u, v]), np.concatenate([v, u])
+    d = xy[head] - xy[tail]
+    order = np.lexsort((np.arctan2(d[:, 1], d[:, 0]), tail))
+    tail, head = tail[order], head[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    twin = rank[(order + len(u)) % len(order)]
+    first, degree = np.unique(tail, return_index=True, return_counts=True)[1:]
+    of = np.repeat(np.arange(len(first)), degree)
+    # With the clock from the edge back, the next edge keeps the face on the left.
+    before = np.arange(len(tail)) - 1
+    before[first] += degree
+    following = before[twin]
+    label = _least(np.arange(len(tail)), following)
+    starts, face = np.unique(label, return_inverse=True)
+    low = xy[tail[first]][of][starts][face]
+    p, q = xy[tail] - low, xy[head] - low
+    area = np.bincount(face, p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]) / 2
+    owner, odd = _odd_faces(face, twin, area, area < 0)
+    # Lines within other lines of the geometry: what lies around them counts too.
+    groups = np.unique(owner[owner >= 0])
+    of_group = shape[tail[starts[groups]]]
+    around = np.zeros(len(area), bool)
+    for g in np.flatnonzero(np.bincount(of_group, minlength=count) > 1):
+        lines = np.flatnonzero(shape[tail] == g)
+        lines = lines[tail[lines] < head[lines]]
+        a, b, group = xy[tail[lines]], xy[head[lines]], owner[face[lines]]
+        for k in groups[of_group == g]:
+            spot, other = xy[tail[starts[k]]], group != k
+            up = other & ((a[:, 1] > spot[1]) != (b[:, 1] > spot[1]))
+            right = (orientation(a[up], b[up], spot[None]) > 0) == (b[up][:, 1] > a[up][:, 1]) if up.any() else up[:0]
+            around[k] = right.sum() % 2 == 1
+    filled = odd ^ around[owner]
+    walks = np.argsort(_places(following, starts, face), kind="stable")
+    bounds = np.searchsorted(face[walks], np.arange(len(area) + 1))
+    holes: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(count)]
+    for k in np.flatnonzero(filled & (owner >= 0)):
+        nodes = tail[walks[bounds[k] : bounds[k + 1]]].tolist()
+        g = shape[nodes[0]]
+        rings = [xy[[*r, r[0]]] for r in (_simple(nodes) if len(set(nodes)) < len(nodes) else [nodes])]
+        shells = [r for r in rings if _area(r) > 0]
+        if area[k] > 0:
+            out[g].append([shells[0], *(r for r in rings if r is not shells[0])])
+        else:
+            holes[g] += [(r, owner[k]) for r in rings]
+    for g, found in enumerate(holes):
+        for hole, _ in found:
+            around_it = [s for s in out[g] if _area(s[0]) > -_area(hole) and _side(hole, s[0]) > 0]
+            if around_it:
+                min(around_it, key=lambda s: _area(s[0])).append(hole)
+    return out
+
+
+def _places(following: np.ndarray, starts: np.ndarray, face: np.ndarray) -> np.ndarray:
+    """A sort key that puts the edges of each face in the order of its walk."""
+    n = len(following)
+    # Steps from each edge to its face's first one, by doubling.
+    end = np.zeros(n, bool)
+    end[starts] = True
+    steps, to = np.where(end, 0, 1), np.where(end, np.arange(n), following)
+    while not end[to].all():
+        steps, to = steps + steps[to], to[to]
+    return face * (n + 1) + np.where(end, 0, n + 1 - steps)
+
+
+def repaired(shapes: pa.Array) -> pa.Array:
+    """Valid geometries of the same points by the even-odd rule; valid ones, and those without rules, stay as they are.
+
+    Rings are closed, segments cut where they meet, and faces with an odd number of rings around them are the result; holes
+    go to the smallest shell around them. Rings with coordinates that are no numbers are left out. What has no area is
+    dropped; a polygon of none becomes an empty multipolygon."""
+    kinds = shapes.field("type").to_pylist()
+    found = problems(shapes)
+    at = [i for i, x in enumerate(found) if x and kinds[i] in ("Polygon", "MultiPolygon")]
+    if not at:
+        return shapes
+    packed = Packed.of(shapes.field("parts").take(pa.array(at)))
+    bad = np.bincount(packed.ring_of()[~np.isfinite(packed.xy).all(1)], minlength=len(packed.points))
+    packed = packed.keep((bad == 0) & (packed.points > 0)).closed().distinct()
+    packed = packed.keep(packed.points > 2)
+    a, b, ring, _ = packed.segments()
+    faces = _faces(*_cut(a, b, packed.shape[ring]), len(at)) if len(a) else [[] for _ in at]
+    rows = [{"type": "Polygon" if len(f) == 1 else "MultiPolygon", "parts": [[r.tolist() for r in part] for part in f]} for f in faces]
+    both = pa.concat_arrays([shapes.cast(ARROW), pa.array(rows, ARROW)])
+    index = np.arange(len(shapes))
+    index[at] = len(shapes) + np.arange(len(at))
+    return both.take(pa.array(index))
 
 
-def _cross_properly(r: Ring, s: Ring) -> bool:
-    a1, a2, b1, b2 = r[:-1, None], r[1:, None], s[None, :-1], s[None, 1:]
-    return bool(((_cross(a1, a2, b1) * _cross(a1, a2, b2) < 0) & (_cross(b1, b2, a1) * _cross(b1, b2, a2) < 0)).any())
+def problem(kind: str, parts) -> str | None:
+    """Why one geometry is not valid."""
+    return problems(_one(kind, parts))[0]
 
 
-def _side(r: Ring, other: Ring) -> int:
-    """Where r lies with respect to another ring that it does not cross."""
-    middles = np.concatenate([r[:-1], (r[:-1] + r[1:]) / 2])
-    return next((k for p in middles if (k := inside(p, other))), 0)
+def repair(kind: str, parts) -> tuple[str, list]:
+    """One geometry, repaired."""
+    out = repaired(_one(kind, parts))[0].as_py()
+    return out["type"], out["parts"]
 
 
-def problem(kind: str, parts) -> str | None:
-    """Why a geometry is not valid; None if it is, or if it has no rules (points)."""
-    if kind in ("Point", "MultiPoint"):
-        return None if all(math.isfinite(c) for part in parts for r in part for p in r for c in p) else "Invalid Coordinate"
-    if kind in ("LineString", "MultiLineString"):
-        return "Too few points in geometry component" if any(len(_distinct(_xy(r))) < 2 for part in parts for r in part) else None
-    shapes = [[_xy(r) for r in part] for part in parts]
-    for rings in shapes:
-        for r in rings:
-            if found := _ring_problem(r):
-                return found
-        for k, hole in enumerate(rings[1:], 1):
-            if _cross_properly(hole, rings[0]):
-                return "Self-intersection"
-            if _side(hole, rings[0]) < 0:
-                return "Hole lies outside shell"
-            for other in rings[1:k]:
-                if _cross_properly(hole, other):
-                    return "Self-intersection"
-                if _side(hole, other) > 0 or _side(other, hole) > 0:
-                    return "Holes are nested"
-    for i, a in enumerate(shapes):
-        for b in shapes[:i]:
-            if _cross_properly(a[0], b[0]):
-                return "Self-intersection"
-            for x, y in ((a, b), (b, a)):
-                if _side(x[0], y[0]) > 0 and not any(_side(x[0], h) > 0 for h in y[1:]):
-                    return "Nested shells"
-    return None
+def _one(kind: str, parts) -> pa.Array:
+    return pa.array([{"type": kind, "parts": [[[[float(c) for c in p] for p in r] for r in part] for part in parts]}], ARROW)
 
 
-def _cut(rings: list[Ring]) -> list[tuple[tuple, tuple]]:
-    """Edges of all rings, cut where they meet; edges that lie on each other cancel in pairs (even-odd rule)."""
-    a, b = np.concatenate([r[:-1] for r in rings]), np.concatenate([r[1:] for r in rings])
-    keep = (a != b).any(1)
-    a, b = a[keep], b[keep]
-    cuts: list[list[np.ndarray]] = [[x, y] for x, y in zip(a, b, strict=True)]
-    for i, j in crossings(a, b, a, b):
-        if i >= j:
-            continue
-        d, e = b[i] - a[i], b[j] - a[j]
-        den = d[0] * e[1] - d[1] * e[0]
-        if den != 0:
-            t = ((a[j][0] - a[i][0]) * e[1] - (a[j][1] - a[i][1]) * e[0]) / den
-            p = next((q for q in (a[i], b[i], a[j], b[j]) if np.allclose(q, a[i] + t * d, rtol=0, atol=1e-12 * (1 + np.abs(q).max()))), a[i] + t * d)
-            cuts[i].append(p)
-            cuts[j].append(p)
-        elif _cross(a[i], b[i], a[j]) == 0:
-            cuts[i] += [a[j], b[j]]
-            cuts[j] += [a[i], b[i]]
-    edges: dict[frozenset, int] = {}
-    for k, points in enumerate(cuts):
-        d = b[k] - a[k]
-        at = {tuple(map(float, p)): float(np.dot(p - a[k], d) / np.dot(d, d)) for p in points}
-        line = [p for p, t in sorted(at.items(), key=lambda x: x[1]) if -1e-12 <= t <= 1 + 1e-12]
-        for p, q in zip(line, line[1:], strict=False):
-            edges[frozenset((p, q))] = edges.get(frozenset((p, q)), 0) ^ 1
-    return [tuple(e) for e, odd in edges.items() if odd and len(e) == 2]
+@arrow_udf(StringType())
+def _reason(shapes: pa.Array) -> pa.Array:
+    return pa.array(problems(shapes), pa.string())
 
 
-def repair(kind: str, parts) -> tuple[str, list]:
-    """A valid geometry of the same points by the even-odd rule; valid ones stay as they are. Rings are closed, edges cut
-    where they cross, and faces with an odd number of rings around them are the result. Holes go to the shell around
-    them. What has no area is dropped; a polygon of none becomes empty."""
-    if kind not in ("Polygon", "MultiPolygon") or problem(kind, parts) is None:
-        return kind, parts
-    rings = [r for part in parts for r in map(_xy, part) if len(r) and np.isfinite(r).all()]
-    rings = [r if (r[0] == r[-1]).all() else np.concatenate([r, r[:1]]) for r in rings]
-    rings = [r for r in rings if len(_distinct(r)) > 2]
-    edges = _cut(rings) if rings else []
-    around: dict[tuple, list[tuple]] = {}
-    for p, q in edges:
-        around.setdefault(p, []).append(q)
-        around.setdefault(q, []).append(p)
-    for p, qs in around.items():
-        qs.sort(key=lambda q, p=p: math.atan2(q[1] - p[1], q[0] - p[0]))
-    left, faces = {(p, q) for p, q in edges} | {(q, p) for p, q in edges}, []
-    while left:
-        p, q = start = min(left)
-        walk = []
-        while (p, q) in left:
-            left.discard((p, q))
-            walk.append(p)
-            turn = around[q]
-            p, q = q, turn[turn.index(p) - 1]  # the next edge with the clock keeps the face on the left
-        walk.append(start[0])
-        faces.append(np.array(walk))
-    signed = lambda r: float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum() / 2)
-    shells = [f for f in faces if signed(f) > 0 and _odd(f, rings)]
-    holes = [f for f in faces if signed(f) < 0 and not _odd_outside(f, rings)]
-    out = [[s.tolist()] for s in shells]
-    for h in holes:
-        owners = [k for k, s in enumerate(shells) if _side(h, s) > 0 and signed(s) > -signed(h)]
-        if owners:
-            out[min(owners, key=lambda k: signed(shells[k]))].append(h.tolist())
-    return ("Polygon", out) if len(out) == 1 else ("MultiPolygon", out)
-
-
-def _near(face: Ring, side: float) -> np.ndarray:
-    """A point just beside the face's longest edge, to its left (1) or right (-1)."""
-    d = np.diff(face, axis=0)
-    k = int(np.argmax((d**2).sum(1)))
-    size = np.sqrt((d[k] ** 2).sum())
-    return (face[k] + face[k + 1]) / 2 + side * 1e-6 * size * np.array([-d[k][1], d[k][0]]) / size
-
-
-def _count(p, rings: list[Ring]) -> int:
-    return sum(inside(p, r) > 0 for r in rings)
-
-
-def _odd(face: Ring, rings: list[Ring]) -> bool:
-    return _count(_near(face, 1.0), rings) % 2 == 1
-
-
-def _odd_outside(face: Ring, rings: list[Ring]) -> bool:
-    """Whether what a clockwise walk encloses is filled right at its edges; then it bounds nothing but the outside."""
-    return _count(_near(face, 1.0), rings) % 2 == 0
-
-
-@pandas_udf(StringType())
-def _reason(g: pd.DataFrame) -> pd.Series:
-    return pd.Series([None if k is None or p is None else problem(k, p) for k, p in zip(g["type"], g["parts"], strict=True)], dtype=object)
-
-
-@pandas_udf(TYPE)
-def _repaired(g: pd.DataFrame) -> pd.DataFrame:
-    found = [(None, None) if k is None or p is None else repair(k, p) for k, p in zip(g["type"], g["parts"], strict=True)]
-    return pd.DataFrame({"type": pd.Series([k for k, _ in found], dtype=object), "parts": pd.Series([[[[list(x) for x in r] for r in part] for part in p] if p is not None else None for _, p in found], dtype=object)})
-
-
-def plainly_valid(g: Column) -> Column:
-    """Whether a geometry is a triangle or a convex quadrilateral without holes, which is valid without a closer look: its
-    ring is closed and turns the same way at each of its points. Null for null."""
-    r = g["parts"][0][0]
-    n = F.size(r)
-
-    def turn(i: Column) -> Column:
-        a, b, c = r[i], r[i + 1], F.get(r, F.when(i + 2 < n, i + 2).otherwise(1))
-        return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
-
-    shape = (g["type"] == "Polygon") & (F.size(g["parts"]) == 1) & (F.size(g["parts"][0]) == 1) & n.isin(4, 5) & F.forall(r, lambda p: F.size(p) == 2)
-    closed = (r[0][0] == r[n - 1][0]) & (r[0][1] == r[n - 1][1])
-    turns = F.transform(F.sequence(F.lit(0), n - 2), turn)
-    # Neither zero, nor infinite, nor not a number (which counts as larger than any).
-    same = F.forall(turns, lambda t: (t > 0) & (t < 1e300)) | F.forall(turns, lambda t: (t < 0) & (t > -1e300))
-    return F.when(g.isNotNull(), F.when(F.coalesce(shape, F.lit(False)), F.coalesce(closed & same, F.lit(False))).otherwise(False))
-
-
-def _others(g: Column) -> Column:
-    """What needs a closer look; null for the rest, which a Python function passes over."""
-    return F.when(~plainly_valid(g), g)
+@arrow_udf(TYPE)
+def _repaired(shapes: pa.Array) -> pa.Array:
+    return repaired(shapes)
 
 
 def invalid_reason(g: Column) -> Column:
     """Why a geometry is not valid; null for valid and null ones."""
-    return _reason(_others(g))
+    return _reason(g)
 
 
 def is_valid(g: Column) -> Column:
@@ -253,4 +405,4 @@ def is_valid(g: Column) -> Column:
 
 def make_valid(g: Column) -> Column:
     """A valid geometry of the same points; null for null."""
-    return F.when(g.isNotNull(), F.when(plainly_valid(g), g).otherwise(_repaired(_others(g))))
+    return _repaired(g)
