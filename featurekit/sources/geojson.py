@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterable, Mapping
-from pathlib import Path
+from collections.abc import Iterable, Iterator, Mapping
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, StructType, TimestampNTZType, TimestampType, _parse_datatype_string
@@ -183,17 +183,74 @@ def _in_4326(t: FeatureTable) -> FeatureTable:
     return t
 
 
-def write_geojson(t: FeatureTable, path: str, properties: Iterable[str] | None = None, schema_map: Mapping[str, Any] | None = None, shrink: bool = True, indent: int | None = None) -> None:
-    """One FeatureCollection file: constants as top-level members, coordinates in EPSG:4326. Features stream through the
-    driver one partition at a time."""
+def _indented(rows: DataFrame, indent: int | None) -> DataFrame:
+    """Column f, a JSON text behind a comma or not, with line breaks and ``indent`` blanks."""
+    if not indent:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("f")
+            new = [json.dumps(json.loads(x), indent=indent, ensure_ascii=False) for x in b.column(at).to_pylist()]
+            yield b.set_column(at, "f", pa.array(new, pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _joined(spark: SparkSession, parts: str, path: str, head: str, tail: str) -> None:
+    """One file of a head, all part files of a folder in the order of their names (without the first one's first byte, a
+    comma), and a tail. The file system copies bytes; the file appears under its name when it is whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    fs = at(path).getFileSystem(conf)
+    if fs.getUri().getScheme() == "file":
+        fs = fs.getRawFileSystem()  # without checksum files beside it
+    whole = at(f"{parts}/_whole")
+    out = fs.create(whole, True)
+    try:
+        out.write(head.encode())
+        begun = False
+        for name in sorted(f.getPath().toString() for f in fs.listStatus(at(parts)) if f.getLen() and f.getPath().getName().startswith("part-")):
+            source = fs.open(at(name))
+            if not begun:
+                source.skip(1)
+                begun = True
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+            source.close()
+        out.write(tail.encode())
+    finally:
+        out.close()
+    fs.delete(at(path), False)
+    if at(path).getParent() is not None:
+        fs.mkdirs(at(path).getParent())
+    if not fs.rename(whole, at(path)):
+        raise OSError(f"{path} cannot be written")
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_geojson(
+    t: FeatureTable,
+    path: str,
+    properties: Iterable[str] | None = None,
+    schema_map: Mapping[str, Any] | None = None,
+    shrink: bool = True,
+    indent: int | None = None,
+) -> None:
+    """One FeatureCollection file: constants as top-level members, coordinates in EPSG:4326. Tasks write parts beside it, in
+    the order of the rows, which Spark commits once each; then they are joined, and no row comes to the driver."""
     t = _in_4326(dehydrate(t, list(properties) if properties else None, schema_map) if shrink else t)
-    rows = t.df.select(feature_json(t.df).alias("f"))
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("{" + "".join(f"{json.dumps(k)}:{json.dumps(v, allow_nan=False)}," for k, v in t.collection.items()) + '"type":"FeatureCollection","features":[')
-        for i, r in enumerate(rows.toLocalIterator()):
-            f.write(("," if i else "") + "\n" + (json.dumps(json.loads(r["f"]), indent=indent, ensure_ascii=False) if indent else r["f"]))
-        f.write("\n]}\n")
+    spark, parts = t.df.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
+    members = "".join(f"{json.dumps(k)}:{json.dumps(v, allow_nan=False)}," for k, v in t.collection.items())
+    rows = _indented(t.df.select(feature_json(t.df).alias("f")), indent)
+    try:
+        rows.select(F.concat(F.lit(","), "f").alias("value")).write.text(parts)
+        _joined(spark, parts, path, "{" + members + '"type":"FeatureCollection","features":[\n', "]}\n")
+    finally:
+        _deleted(spark, parts)
 
 
 def write_lines(t: FeatureTable, path: str) -> None:
@@ -202,24 +259,62 @@ def write_lines(t: FeatureTable, path: str) -> None:
     t.df.select(feature_json(t.df)).write.text(path)
 
 
-def write_features(t: FeatureTable, folder: str, num: int | None = None, properties: Iterable[str] | None = None, schema_map: Mapping[str, Any] | None = None, indent: int | None = None) -> list[str]:
-    """One Feature file per row, named by its id (characters that file systems reserve are replaced; equal names get a
-    number) or by a running number. Metadata that features may hold go into properties, the others to the top."""
+def _numbered(spark: SparkSession, rows: DataFrame, parts: str) -> DataFrame:
+    """The rows with their running number, from 1: written first, so that what is counted is what is numbered."""
+    rows.withColumn("_at", F.monotonically_increasing_id()).write.parquet(parts)
+    kept = spark.read.schema(rows.withColumn("_at", F.lit(0).cast("bigint")).schema).parquet(parts)
+    kept = kept.withColumn("_part", F.shiftright("_at", 33))
+    before, offsets = 0, []
+    for r in kept.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    known = F.broadcast(spark.createDataFrame(offsets, "_part bigint, _before bigint"))
+    number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return kept.join(known, "_part").withColumn("number", number).drop("_at", "_part", "_before")
+
+
+def write_features(
+    t: FeatureTable,
+    folder: str,
+    num: int | None = None,
+    properties: Iterable[str] | None = None,
+    schema_map: Mapping[str, Any] | None = None,
+    indent: int | None = None,
+) -> list[str]:
+    """One Feature file per row, named by its id (characters that file systems reserve are replaced; of equal names all but
+    the first get a tilde and their number) or by a running number. Metadata that features may hold go into properties, the
+    others to the top. Names are settled by counts; tasks write the files, a retried one the same files again."""
     t = _in_4326(t)
+    spark = t.df.sparkSession
     here = t.collection.only_here(schema_map)
     top = {k: v for k, v in t.collection.items() if k in here}
     extra = {k: v for k, v in t.collection.items() if k not in here}
     df = t.df if num is None or num < 0 else t.df.limit(num)
     ids = ref("id").cast("string") if "id" in df.columns else F.lit(None).cast("string")
-    keep = set(properties) if properties else None
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    out: dict[str, None] = {}  # in order
-    for i, r in enumerate(df.select(ids.alias("id"), feature_json(df, top, extra, keep).alias("f")).toLocalIterator(), 1):
-        stem = re.sub(r"[^\w.\-]+", "_", r["id"]).strip(".") if r["id"] else str(i)
-        name = next(n for n in (f"{stem or i}.json", f"{stem or i}-{i}.json") if f"{folder}/{n}" not in out)
-        Path(folder, name).write_text(json.dumps(json.loads(r["f"]), indent=indent, ensure_ascii=False) if indent else r["f"], encoding="utf-8")
-        out[f"{folder}/{name}"] = None
-    return list(out)
+    rows = df.select(ids.alias("id"), feature_json(df, top, extra, set(properties) if properties else None).alias("f"))
+    fs, root = filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    parts = f"{folder.rstrip('/')}.parts-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = filesystem(folder)
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with files.open_output_stream(f"{base}/{name}") as f:
+                    f.write(text.encode())
+            yield b.select(["name", "number"])
+
+    try:
+        numbered = _numbered(spark, rows, parts)
+        stem = F.btrim(F.regexp_replace(F.coalesce("id", F.lit("")), r"[^\p{L}\p{N}_.\-]+", "_"), F.lit("."))
+        numbered = numbered.withColumn("stem", F.coalesce(F.when(stem != "", stem), F.col("number").cast("string")))
+        first = numbered.groupBy("stem").agg(F.min("number").alias("first"))
+        name = F.when(F.col("number") == F.col("first"), F.col("stem")).otherwise(F.concat("stem", F.lit("~"), "number"))
+        named = numbered.join(first, "stem").select(F.concat(name, F.lit(".json")).alias("name"), "f", "number")
+        written = _indented(named, indent).mapInArrow(write, "name string, number bigint").orderBy("number").collect()
+    finally:
+        _deleted(spark, parts)
+    return [f"{folder}/{r['name']}" for r in written]
 
 
 def feature_rows(spark: SparkSession, documents: Iterable[Mapping[str, Any]]) -> DataFrame:
