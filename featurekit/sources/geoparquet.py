@@ -118,7 +118,7 @@ def projjson(crs: str | int | None) -> dict[str, Any] | None:
     code = crs_.code(crs)
     if code is None:
         return None
-    geographic = code in crs_.GEOGRAPHIC
+    geographic = crs_.is_degrees(code)
     return {"$schema": "https://proj.org/schemas/v0.7/projjson.schema.json", "type": "GeographicCRS" if geographic else "ProjectedCRS", "name": "WGS 84" if code == 4326 else f"EPSG:{code}", "id": {"authority": "EPSG", "code": code}}
 
 

@@ -65,7 +65,7 @@ def test_known_projections(spark):
     moved = df.select(crs.reproject(crs.reproject(F.col("geometry"), 4326, 25832), 25832, 4326)["parts"][0][0][0]).first()[0]
     assert moved == pytest.approx([11.5, 48.1], abs=1e-8)
     with pytest.raises(ValueError, match="No formula"):
-        crs.reproject(F.col("geometry"), 4326, 31467)
+        crs.reproject(F.col("geometry"), 4326, 31370)
 
 
 NEAR = {2154: (2.4, 48.8), 2157: (-6.3, 53.3), 2180: (21, 52.2), 2193: (174.8, -41.3), 3005: (-123.1, 49.3), 3006: (18, 59.3), 3034: (13.4, 52.5), 3035: (5, 50), 3059: (24.1, 56.9), 3067: (24.9, 60.2), 3301: (24.7, 59.4), 3338: (-149.9, 61.2), 3346: (25.3, 54.7), 3347: (-75.7, 45.4), 3577: (149.1, -35.3), 3763: (-9.1, 38.7), 3765: (16, 45.8), 3794: (14.5, 46.1), 3812: (4.4, 50.8), 3978: (-114, 51), 5070: (-77, 38.9), 3948: (2.3, 48.9), 26917: (-79.4, 43.7), 7855: (147.3, -42.9), 28355: (145, -37.8)}
