@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from featurekit.llm.common import materialize
 
-#: Bits of a segment at most.
-WIDEST = 16
+#: Bits of a segment at most: in round r a segment of w bits is looked up by C(w, r) values, and five segments of 13 bits cover
+#: a distance of 19 with 1,890 of them, four of 16 bits with 10,068.
+WIDEST = 13
 
 
 def sign_code(vector: Column, bits: int = 64) -> Column:
