@@ -56,7 +56,7 @@ def describe(spark: SparkSession, path: str, num: int = 10, properties: Iterable
     if "://" not in path and not Path(path).exists():
         raise FileNotFoundError(f"'{path}' is not available")
     if kind == "geoparquet":
-        f = geoparquet.footer(path)
+        f = geoparquet.footer(path, spark)
         summary, collection, columns = geoparquet.summary(f), f.collection, geoparquet.column_types(f)
         read = lambda: geoparquet.read_geoparquet(spark, path, num, properties)
     else:

@@ -15,14 +15,12 @@ from pyspark.sql.types import StringType
 
 from featurekit.functions.geometry import TYPE
 from featurekit.functions.planar import Packed, meeting, orientation
+from featurekit.functions.wkb import ARROW
 
 _COORDINATES, _OPEN, _FEW = "Invalid Coordinate", "Ring is not closed", "Too few points in geometry component"
 _CROSSES, _TOUCHES, _OUTSIDE = "Self-intersection", "Ring Self-intersection", "Hole lies outside shell"
 _HOLES, _SHELLS = "Holes are nested", "Nested shells"
 
-#: The Arrow type of a native geometry.
-ARROW = pa.struct([("type", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.list_(pa.float64())))))])
-
 
 def inside(p: np.ndarray, ring: np.ndarray) -> int:
     """1 within a closed ring, 0 on it, -1 outside."""

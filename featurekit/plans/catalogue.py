@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zipfile
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
@@ -21,13 +21,25 @@ from featurekit.schema.collection import Collection, dehydrate, merge_collection
 from featurekit.sources import discover, geojson, geoparquet
 from featurekit.table import FeatureTable
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["CASES", "ORACLE", "QUERIES"]
 
 HOST = "https://schemas.example.org"
 ADMIN = f"{HOST}/administrative-division-extension/v0.1.0/schema.yaml"
 INSPIRE = f"{HOST}/inspire-extension/v0.3.0/schema.yaml"
 
 
+#: Cases of what the driver does with documents alone, and the SQL of their results: run by the tests, registered nowhere.
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def case(sql: str):
+    def keep(fn):
+        CASES[fn.__name__] = fn, sql
+        return fn
+
+    return keep
+
+
 def _folder(spark: SparkSession) -> Path:
     """A new folder for files that the driver writes."""
     path = Path(geoparquet.scratch_path(spark).removeprefix("file://").removeprefix("file:"))
@@ -154,6 +166,21 @@ def geoparquet_covering(spark, d):
     return spark.read.parquet(path).select(F.col("id").cast("long").alias("id"), "bbox.*")
 
 
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey BETWEEN 20 AND 90 AND c_nationkey BETWEEN 3 AND 17")
+def geoparquet_box(spark, d):
+    """Rows in a box; of the files, only those are planned whose footers say that they may hold some."""
+    df = table(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.col("c_name").alias("name"),
+        F.lit("customers").alias("collection"),
+        g.point(F.col("c_custkey").cast("double"), F.col("c_nationkey").cast("double")).alias("geometry"),
+    )
+    path = geoparquet.scratch_path(spark)
+    geoparquet.write_geoparquet(FeatureTable(df.repartitionByRange(8, F.col("id").cast("long"))), path)
+    found = geoparquet.read_geoparquet(spark, path, box=(20.0, 3.0, 90.0, 17.0), properties=["id", "name"]).df
+    return found.select(F.col("id").cast("long").alias("id"), "name")
+
+
 _WRITTEN = [("1.0.0", "snappy"), ("1.1.0", "zstd"), ("1.1.0", "gzip"), ("1.1.0", None), ("9.9.9", "brotli")]
 
 
@@ -341,13 +368,13 @@ def schema_casts(spark, d):
     return cast_to_schema(df, {"small": {"type": "int8"}, "number": {"type": "int32"}})
 
 
-@query(_values({"0": "0.00 B", "1023": "1023.00 B", "1024": "1.00 KB", "1572864": "1.50 MB", "5368709120": "5.00 GB", "1125899906842624": "1.00 PB"}))
+@case(_values({"0": "0.00 B", "1023": "1023.00 B", "1024": "1.00 KB", "1572864": "1.50 MB", "5368709120": "5.00 GB", "1125899906842624": "1.00 PB"}))
 def file_sizes(spark, d):
     """D2."""
     return _said(spark, [(str(n), text.format_filesize(n)) for n in (0, 1023, 1024, 1572864, 5368709120, 1125899906842624)])
 
 
-@query(_values({"flat": {"a.b": 1, "a.c.d": [2, 3], "e": {}}, "get": {"d": [2, 3]}, "set": {"a": {"b": 1, "c": 5}, "e": {}}, "deleted": {"e": {}}, "contains": [True, True, False], "slash": {"a/b": 1, "a/c/d": [2, 3], "e": {}}, "sequences": {"a.b": 1, "a.c.d.0": 2, "a.c.d.1": 3, "e": {}}}))
+@case(_values({"flat": {"a.b": 1, "a.c.d": [2, 3], "e": {}}, "get": {"d": [2, 3]}, "set": {"a": {"b": 1, "c": 5}, "e": {}}, "deleted": {"e": {}}, "contains": [True, True, False], "slash": {"a/b": 1, "a/c/d": [2, 3], "e": {}}, "sequences": {"a.b": 1, "a.c.d.0": 2, "a.c.d.1": 3, "e": {}}}))
 def nested_keys(spark, d):
     """A nested mapping read, set and deleted by joined keys."""
     value = {"a": {"b": 1, "c": {"d": [2, 3]}}, "e": {}}
@@ -358,13 +385,13 @@ def nested_keys(spark, d):
     return _said(spark, [("flat", dict(flat.items())), ("get", flat["a.c"]), ("set", changed.as_dict()), ("deleted", dict(less.items())), ("contains", ["a.b" in flat, "a.c" in flat, "b" in flat]), ("slash", dict(other.items())), ("sequences", text.flatten(value, sequences=True))])
 
 
-@query(_values({"0.1.0": True, "0.1.9": True, "0.2.0": False, "0.0.9": False, "1": False}))
+@case(_values({"0.1.0": True, "0.1.9": True, "0.2.0": False, "0.0.9": False, "1": False}))
 def version_ranges(spark, d):
     """Versions of the specification that are supported."""
     return _said(spark, [(v, bundled.version_matches(v, bundled.SPECIFICATION)) for v in ("0.1.0", "0.1.9", "0.2.0", "0.0.9", "1")])
 
 
-@query(_values({"README.md": "# Soil Extension\nsoil:depth", "data.bin": "Template Extension"}))
+@case(_values({"README.md": "# Soil Extension\nsoil:depth", "data.bin": "Template Extension"}))
 def renamed_extension(spark, d):
     """Replacements over the text files of a folder; other files stay."""
     from featurekit.rename import rename_extension, replacements
@@ -376,7 +403,7 @@ def renamed_extension(spark, d):
     return _said(spark, [(p.name, p.read_text()) for p in sorted(folder.iterdir())])
 
 
-@query(_values({"0": "a:", "1": "  b: 1", "2": "  c:", "3": "    (omitted, 2 items)", "4": "d: none", "5": "e:", "6": "  - a lo...", "7": "  - 2"}))
+@case(_values({"0": "a:", "1": "  b: 1", "2": "  c:", "3": "    (omitted, 2 items)", "4": "d: none", "5": "e:", "6": "  - a lo...", "7": "  - 2"}))
 def pretty_lines(spark, d):
     """Nested values as lines, deep ones omitted, long ones cut."""
     from featurekit.describe import pretty
@@ -390,7 +417,7 @@ _LEFT = {"required": ["x"], "collection": {"x": False}, "properties": {"x": {"ty
 _RIGHT = {"required": ["y"], "properties": {"x": {"type": "string", "enum": ["b", "c"], "minLength": 2, "maxLength": 5}, "y": {"type": "int8"}}}
 
 
-@query(_values({"required": ["x", "y"], "collection": {"x": False}, "x": {"type": "string", "enum": ["b"], "minLength": 2, "maxLength": 5}, "y": {"type": "int8"}, "strict": "ValueError", "all": ["x", "y"], "conflicts": ["properties", "required"]}))
+@case(_values({"required": ["x", "y"], "collection": {"x": False}, "x": {"type": "string", "enum": ["b"], "minLength": 2, "maxLength": 5}, "y": {"type": "int8"}, "strict": "ValueError", "all": ["x", "y"], "conflicts": ["properties", "required"]}))
 def schema_merge(spark, d):
     """What holds where both schemas hold; a strict merge takes no difference."""
     m = algebra.merge(_LEFT, _RIGHT)
@@ -398,14 +425,14 @@ def schema_merge(spark, d):
     return _said(spark, [("required", m["required"]), ("collection", m["collection"]), *m["properties"].items(), ("strict", _fails(algebra.merge, _LEFT, _RIGHT, True)), ("all", sorted(whole["properties"])), ("conflicts", algebra.conflicts(_LEFT, _RIGHT))])
 
 
-@query(_values({"required": ["z"], "collection": {"z": False}, "properties": ["z"]}))
+@case(_values({"required": ["z"], "collection": {"z": False}, "properties": ["z"]}))
 def schema_pick(spark, d):
     """Some properties of a schema, renamed."""
     s = algebra.pick(_LEFT | {"properties": _LEFT["properties"] | {"other": {"type": "string"}}}, ["x"], {"x": "z"})
     return _said(spark, [("required", s["required"]), ("collection", s["collection"]), ("properties", sorted(s["properties"]))])
 
 
-@query(_values({"version": "0.1.0", "core": bundled.CORE, "extensions": [ADMIN, INSPIRE], "required": ["admin:country_code"], "mapped": ["depth"], "missing": "FileNotFoundError", "map": ["https://a.example.org/s.yaml"], "no_map": "ValueError"}))
+@case(_values({"version": "0.1.0", "core": bundled.CORE, "extensions": [ADMIN, INSPIRE], "required": ["admin:country_code"], "mapped": ["depth"], "missing": "FileNotFoundError", "map": ["https://a.example.org/s.yaml"], "no_map": "ValueError"}))
 def schema_resolution(spark, d):
     """Schemas by their addresses, from the bundle, a map and files."""
     path = _folder(spark) / "s.yaml"
@@ -417,7 +444,7 @@ def schema_resolution(spark, d):
     return _said(spark, [*found, ("missing", _fails(algebra.resolve, ["https://a.example.org/t.yaml"])), ("map", sorted(mapped)), ("no_map", _fails(bundled.parse_schema_map, ["nothing"]))])
 
 
-@query(_values({"added": [ADMIN, bundled.CORE], "removed": [bundled.CORE], "unique": [ADMIN, INSPIRE, bundled.CORE], "only_here": ["schemas", "schemas:custom"], "context_of_id": False, "merged": {"a": [ADMIN, bundled.CORE], "b": [INSPIRE]}, "custom": ["p"]}))
+@case(_values({"added": [ADMIN, bundled.CORE], "removed": [bundled.CORE], "unique": [ADMIN, INSPIRE, bundled.CORE], "only_here": ["schemas", "schemas:custom"], "context_of_id": False, "merged": {"a": [ADMIN, bundled.CORE], "b": [INSPIRE]}, "custom": ["p"]}))
 def collection_metadata(spark, d):
     """Schemas of collections added, removed, gathered and merged."""
     a, b = Collection({"schemas": {"a": [bundled.CORE]}}), Collection({"schemas": {"b": [INSPIRE]}, "schemas:custom": {"properties": {"p": {"type": "string"}, "q": {"type": "string"}}}})
@@ -427,7 +454,7 @@ def collection_metadata(spark, d):
     return _said(spark, [*rows, ("merged", both["schemas"]), ("custom", sorted(both["schemas:custom"]["properties"]))])
 
 
-@query(_values({"area": {"type": "number", "exclusiveMinimum": 0, "maximum": 9}, "at": {"type": "string", "format": "date-time", "pattern": "Z$"}, "code": {"type": "integer", "minimum": 1, "maximum": 255}, "shape": {"anyOf": [{"$ref": "https://geojson.org/schema/Point.json"}]}, "tags": {"type": "array", "items": {"type": "string", "minLength": 1}}, "who": {"type": "object", "properties": {"name": {"type": "string"}}, "required": ["name"]}, "unknown": "ValueError"}))
+@case(_values({"area": {"type": "number", "exclusiveMinimum": 0, "maximum": 9}, "at": {"type": "string", "format": "date-time", "pattern": "Z$"}, "code": {"type": "integer", "minimum": 1, "maximum": 255}, "shape": {"anyOf": [{"$ref": "https://geojson.org/schema/Point.json"}]}, "tags": {"type": "array", "items": {"type": "string", "minLength": 1}}, "who": {"type": "object", "properties": {"name": {"type": "string"}}, "required": ["name"]}, "unknown": "ValueError"}))
 def json_schema_properties(spark, d):
     """M8: properties as JSON Schema."""
     props = {"area": {"type": "float", "exclusiveMinimum": 0, "maximum": 9}, "at": {"type": "date-time"}, "code": {"type": "uint8", "minimum": 1}, "shape": {"type": "geometry", "geometryTypes": ["Point"]}, "tags": {"type": "array", "items": {"type": "string", "minLength": 1}}, "who": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}}}}
@@ -455,7 +482,7 @@ def json_schema_documents(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id")).mapInPandas(problems, "id bigint, problems string")
 
 
-@query(_values({"good": 0, "bad": 1}))
+@case(_values({"good": 0, "bad": 1}))
 def metaschema(spark, d):
     """A schema file against the language's own schema."""
     schema = lambda kind: {"$schema": bundled.SDL, "properties": {"a": {"type": kind}}}
@@ -496,7 +523,7 @@ def validate_files(spark, d):
     return _said(spark, [*out, ("missing.parquet", ["FileNotFoundError"] if not gone.is_valid() else [])])
 
 
-@query(_values({"unit": ["at: Timestamp unit should be milliseconds"], "zone": ["at: Timezone must be UTC"], "nulls": ["id: Nullability is True, but must be False"], "type": ["size: Type is string, but must be int32"], "key": ["props: Map keys must be strings"], "geometry": ["geometry: Geometry types are ['Point'], expected ['Polygon']"], "unknown": ["other: No schema defined"], "untyped": ["loose: No type specified"]}))
+@case(_values({"unit": ["at: Timestamp unit should be milliseconds"], "zone": ["at: Timezone must be UTC"], "nulls": ["id: Nullability is True, but must be False"], "type": ["size: Type is string, but must be int32"], "key": ["props: Map keys must be strings"], "geometry": ["geometry: Geometry types are ['Point'], expected ['Polygon']"], "unknown": ["other: No schema defined"], "untyped": ["loose: No type specified"]}))
 def validate_structure(spark, d):
     """What footers say against what schemas ask for."""
     import pyarrow as pa
@@ -516,7 +543,7 @@ def validate_structure(spark, d):
     return _said(spark, out)
 
 
-@query(_values({"mapping": ["No valid geo metadata found"], "version": ["geo: unsupported version 0.4.0"], "column": ["geo: the primary column is not described"], "encoding": ["geo: column geometry: unsupported encoding point"], "types": ["geo: column geometry: geometry_types is missing"], "good": []}))
+@case(_values({"mapping": ["No valid geo metadata found"], "version": ["geo: unsupported version 0.4.0"], "column": ["geo: the primary column is not described"], "encoding": ["geo: column geometry: unsupported encoding point"], "types": ["geo: column geometry: geometry_types is missing"], "good": []}))
 def validate_geo_footer(spark, d):
     """What a geo footer lacks."""
     from featurekit.plans.validate import _geo_problems
@@ -557,7 +584,7 @@ def validate_geojson_types(spark, d):
 # --- inputs and converters --------------------------------------------------------------------------------------------
 
 
-@query(_values({"a.json": "geojson", "a.geojson": "geojson", "a.parquet": "geoparquet", "a.GEOJSON": "ValueError", "folder": ["a.json", "b.PARQUET"], "input": ["a.zip", ["b", "c"]], "sources": {"x/a.zip": "a.zip"}, "variant": "ValueError", "cache": True}))
+@case(_values({"a.json": "geojson", "a.geojson": "geojson", "a.parquet": "geoparquet", "a.GEOJSON": "ValueError", "folder": ["a.json", "b.PARQUET"], "input": ["a.zip", ["b", "c"]], "sources": {"x/a.zip": "a.zip"}, "variant": "ValueError", "cache": True}))
 def inputs(spark, d):
     """Formats, folders, archives with members, variants."""
     folder = _folder(spark)
@@ -612,7 +639,7 @@ def converted(spark, d):
     return t.df.drop("geometry")
 
 
-@query(_values({"good": "x", "broken": "SyntaxError", "empty": "ValueError", "template": "absent"}))
+@case(_values({"good": "x", "broken": "SyntaxError", "empty": "ValueError", "template": "absent"}))
 def converter_plugins(spark, d):
     """H1: converter classes of a package; a broken module does not hide the others."""
     import sys
@@ -632,7 +659,7 @@ def converter_plugins(spark, d):
     return _said(spark, [(n, "absent" if n not in found else type(found[n]).__name__ if isinstance(found[n], Exception) else found[n].id) for n in ("good", "broken", "empty", "template")])
 
 
-@query(_values({"a.json": "GeoJSON", "a.parquet": "GeoParquet", "a.txt": "ValueError", "a.own": "Own", "core": ["id", "geometry", "collection"], "validated": ["own rule"]}))
+@case(_values({"a.json": "GeoJSON", "a.parquet": "GeoParquet", "a.txt": "ValueError", "a.own": "Own", "core": ["id", "geometry", "collection"], "validated": ["own rule"]}))
 def registry(spark, d):
     """H7, H8: encodings and validators by suffix, and one of one's own."""
     from featurekit.plans.validate import Result

@@ -143,7 +143,7 @@ def validate_parquet(spark: SparkSession, path: str, num: int = 100, schema_map:
     """A GeoParquet file: footer, schemas, structure, then values of the first ``num`` rows (-1: all)."""
     r = Result()
     try:
-        f = geoparquet.footer(path)
+        f = geoparquet.footer(path, spark)
     except (OSError, pa.ArrowInvalid) as e:
         r.errors.append(str(e))
         r.done = True

@@ -67,9 +67,14 @@ def cache_folder(folder: str | None = None) -> Path:
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """A new folder that executors see too, beneath the checkpoint folder, if that is one of a file system."""
+    """A new folder that executors see too, beneath the checkpoint folder. Where there is none, executors that are threads
+    of this machine see any folder (None); others could not, which is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{re.sub('^file:(//)?', '', base)}/featurekit-{uuid.uuid4().hex}" if base and re.match("(file:|/)", base) else None
+    if base and re.match("(file:|/)", base):
+        return f"{re.sub('^file:(//)?', '', base)}/featurekit-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder of a file system that the driver and all executors share")
+    return None
 
 
 def download(uris: Mapping[str, object], folder: str | None = None) -> list[tuple[str, str]]:
@@ -146,7 +151,7 @@ def read_layers(spark: SparkSession, path: str, uri: str, keep: Callable[[str |
     suffix = Path(path).suffix.lower()
     options = dict(options or {})
     if suffix in (".parquet", ".geoparquet"):
-        yield (geoparquet.read_geoparquet(spark, path).df if geoparquet.footer(path).geo else spark.read.parquet(path)), path, uri, None
+        yield (geoparquet.read_geoparquet(spark, path).df if geoparquet.footer(path, sums=False).geo else spark.read.parquet(path)), path, uri, None
     elif suffix in (".json", ".geojson"):
         yield geojson.read_flat(spark, path), path, uri, None
     elif suffix in (".geojsonl", ".ndjson", ".jsonl"):

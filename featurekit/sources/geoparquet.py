@@ -4,6 +4,7 @@ data source writes the files; it commits by renaming, so a lost task leaves noth
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import BinaryType, StructType
@@ -194,25 +195,85 @@ class Footer:
     size: int
 
 
-def footer(path: str) -> Footer:
-    """Of a file, or of the first file of a folder, with rows and row groups of all its files."""
+#: Files of a folder up to which the driver reads footers itself.
+FEW = 32
+
+
+def _files(path: str) -> tuple[Any, list[str], str]:
+    """The file system, the Parquet files of a path within it, and what their names lack for Spark."""
+    from pyarrow import fs as pafs
+
     fs, root = filesystem(path)
     info = fs.get_file_info(root)
     if info.type.name == "NotFound":
         raise FileNotFoundError(path)
-    from pyarrow import fs as pafs
-
-    files = [root] if info.is_file else sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file and x.base_name.endswith(".parquet"))
+    inner = [] if info.is_file else fs.get_file_info(pafs.FileSelector(root))
+    files = [root] if info.is_file else sorted(x.path for x in inner if x.is_file and x.base_name.endswith(".parquet"))
     if not files:
         raise FileNotFoundError(path)
-    metas = [pq.ParquetFile(f, filesystem=fs) for f in files]
-    first = metas[0]
+    return fs, files, path.removesuffix(root) if path.endswith(root) else ""
+
+
+def _box_of(meta: Any, geo: Mapping[str, Any] | None) -> list[float | None]:
+    """The box of a file's geometries: by the statistics of its covering column, else as its metadata state it."""
+    at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+    names = ["bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax"]
+    if all(n in at for n in names):
+        groups = [[meta.row_group(k).column(at[n]).statistics for n in names] for k in range(meta.num_row_groups)]
+        # A group that has nulls only has no box; one without statistics may be anywhere.
+        boxes = [s for s in groups if not all(x is not None and not x.num_values for x in s)]
+        if all(x is not None and x.has_min_max for s in boxes for x in s):
+            if not boxes:
+                return [math.inf, math.inf, -math.inf, -math.inf]
+            low = [min(s[k].min for s in boxes) for k in (0, 1)]
+            return low + [max(s[k].max for s in boxes) for k in (2, 3)]
+    stated = (geo or {}).get("columns", {}).get((geo or {}).get("primary_column", "geometry"), {}).get("bbox")
+    if not stated:
+        return [None] * 4
+    half = len(stated) // 2
+    return [*stated[:2], *stated[half : half + 2]]
+
+
+def footers(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file: file, rows, row groups, bytes and the box of its geometries (null if unknown). Tasks read the
+    footers; the driver lists names."""
+    _, files, prefix = _files(path)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _root = filesystem(path)
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                meta = pq.read_metadata(name, filesystem=fs)
+                raw = (meta.metadata or {}).get(b"geo")
+                rows.append((prefix + name, meta.num_rows, meta.num_row_groups, fs.get_file_info(name).size, *_box_of(meta, json.loads(raw) if raw else None)))
+            yield pa.RecordBatch.from_pylist([dict(zip(_FOOTERS.names, r, strict=True)) for r in rows], _FOOTERS)
+
+    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), max(spark.sparkContext.defaultParallelism, len(files) // 100)))
+    return names.mapInArrow(read, "file string, rows bigint, groups bigint, size bigint, xmin double, ymin double, xmax double, ymax double")
+
+
+_FOOTERS = pa.schema([("file", pa.string()), *((n, pa.int64()) for n in ("rows", "groups", "size")), *((n, pa.float64()) for n in ("xmin", "ymin", "xmax", "ymax"))])
+
+
+def footer(path: str, spark: SparkSession | None = None, sums: bool = True) -> Footer:
+    """Of a file, or of the first file of a folder; with rows, row groups and bytes of all its files, unless only the first
+    is asked for. With a session, tasks read those of many files."""
+    fs, files, _ = _files(path)
+    first = pq.ParquetFile(files[0], filesystem=fs)
+    if not sums:
+        files = files[:1]
     raw = first.schema_arrow.metadata or {}
     read = lambda k: json.loads(raw[k]) if k in raw else None
     codecs = {first.metadata.row_group(0).column(i).compression.lower() for i in range(first.metadata.num_columns)} if first.metadata.num_row_groups else set()
     codec = None if not codecs or codecs == {"uncompressed"} else codecs.pop() if len(codecs) == 1 else "mixed"
-    size = sum(fs.get_file_info(f).size for f in files)
-    return Footer(read(b"geo"), Collection(read(b"collection") or {}), first.schema_arrow, sum(m.metadata.num_rows for m in metas), sum(m.metadata.num_row_groups for m in metas), first.metadata.num_columns, codec, size)
+    if spark is not None and len(files) > FEW:
+        rows, groups, size = footers(spark, path).agg(F.sum("rows"), F.sum("groups"), F.sum("size")).first()
+    else:
+        metas = [first.metadata, *(pq.read_metadata(f, filesystem=fs) for f in files[1:])]
+        rows, groups = sum(m.num_rows for m in metas), sum(m.num_row_groups for m in metas)
+        size = sum(fs.get_file_info(f).size for f in files)
+    return Footer(read(b"geo"), Collection(read(b"collection") or {}), first.schema_arrow, rows, groups, first.metadata.num_columns, codec, size)
 
 
 def column_types(f: Footer) -> dict[str, list[str]]:
@@ -232,12 +293,34 @@ def crs_of(geo: Mapping[str, Any] | None) -> str | None:
     return f"{ident['authority']}:{ident['code']}" if ident else None
 
 
-def read_geoparquet(spark: SparkSession, path: str, num: int | None = None, properties: Iterable[str] | None = None, schema_map: Mapping[str, Any] | None = None, hydrate: bool = False) -> FeatureTable:
+def _meets(box: Column, wanted: tuple[float, float, float, float]) -> Column:
+    return (box["xmin"] <= wanted[2]) & (box["xmax"] >= wanted[0]) & (box["ymin"] <= wanted[3]) & (box["ymax"] >= wanted[1])
+
+
+def read_geoparquet(
+    spark: SparkSession,
+    path: str,
+    num: int | None = None,
+    properties: Iterable[str] | None = None,
+    schema_map: Mapping[str, Any] | None = None,
+    hydrate: bool = False,
+    box: tuple[float, float, float, float] | None = None,
+) -> FeatureTable:
     """A table; named columns that exist (none named: all) and the first ``num`` rows (0 gives none). Selection reaches the
-    scan, and so do filters on ``bbox``; the WKB is decoded only where the geometry is used."""
-    f = footer(path)
+    scan, and so do filters on ``bbox``; the WKB is decoded only where the geometry is used.
+
+    With a ``box`` (xmin, ymin, xmax, ymax) only rows whose bounds meet it: files whose box lies apart are not planned, row
+    groups are left out by their statistics where there is a covering column."""
+    f = footer(path, sums=False)
     geom = (f.geo or {}).get("primary_column", "geometry")
-    df = spark.read.parquet(path)
+    if box is None:
+        df = spark.read.parquet(path)
+    else:
+        at = F.struct("xmin", "ymin", "xmax", "ymax")
+        near = [r["file"] for r in footers(spark, path).filter(F.col("xmin").isNull() | _meets(at, box)).select("file").collect()]
+        df = spark.read.parquet(*sorted(near)) if near else spark.read.parquet(path).filter(F.lit(False))
+        covered = "bbox" in df.columns and {"xmin", "ymin", "xmax", "ymax"} <= set(getattr(df.schema["bbox"].dataType, "names", ()))
+        df = df.filter(_meets(F.col("bbox"), box)) if covered else df.filter(_meets(g.bounds(from_wkb(F.col(geom))), box))
     wanted = set(properties or ())
     df = df.select(*(ref(c) for c in df.columns if not wanted or c in wanted))
     if num is not None and num >= 0:

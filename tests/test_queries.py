@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
-from featurekit.plans.catalogue import ORACLE, QUERIES
+from featurekit.plans.catalogue import CASES, ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,6 +26,15 @@ def test_query_equals_sql(spark, name):
         assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_case_equals_sql(spark, name):
+    """What the driver does with documents alone: no table is read, so none of these is a registered query."""
+    run, sql = CASES[name]
+    got, want = run(spark, SF).toPandas(), duckdb.connect().sql(sql).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    assert name not in QUERIES and name not in ORACLE
+
+
 def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(ORACLE) <= set(e.oracle_sql()) <= set(e.queries())
