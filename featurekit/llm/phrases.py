@@ -1,12 +1,12 @@
 """Phrase collocation mining (operator 11): phrases of two to five words that stand together more often than their parts
 would by chance, for each language.
 
-Identical pieces (stretches without punctuation) are kept once, with their multiplicity. N-grams are then counted level by
-level: a task adds up weights of equal n-grams among the pieces it reads, a shuffle deals them out by their hash, and each
-hash bucket is counted by duckdb out of core, so that a bucket may exceed memory. An n-gram can be frequent only if both
-n-grams of one word less within it are; a bitmap of fixed size lets most others go before the shuffle. Since equal n-grams
-travel as one row for each stretch of input, no n-gram is a hot key. Scores ask for the counts of a phrase's parts by
-shuffled requests, each meeting the part's count by a join."""
+Identical pieces (stretches without punctuation) are kept once, with their multiplicity. Words, pairs and longer n-grams
+are then counted one after another: a task adds up weights of equal n-grams among the pieces it reads, a shuffle deals them
+out by their hash, and each hash bucket is counted by duckdb out of core, so that a bucket may exceed memory. An n-gram can
+be frequent only if all n-grams within it are; a bitmap of fixed size lets most others go before the shuffle. Since
+equal n-grams travel as one row for each stretch of input, no n-gram is a hot key. Scores ask for the counts of a phrase's
+parts by shuffled requests, each meeting the part's count by a join."""
 
 from __future__ import annotations
 
@@ -19,11 +19,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from featurekit.llm.common import discard, materialize, plainly_named, slices, window_hashes, word_hashes
+from featurekit.llm.common import discard, materialize, mix64, plainly_named, slices, window_hashes, word_hashes
 
 #: Longest phrase, fewest occurrences, and how many phrases of a language are reported.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
@@ -34,8 +34,10 @@ MAP_BITS = 24
 #: Words that a task adds up at once, and duckdb's memory for a bucket; beyond it, it writes to the task's own folder.
 TOGETHER, BUCKET_MEMORY = 1 << 20, "256MB"
 
+_LANGUAGE = np.uint64(0x9E3779B97F4A7C15)
 _PIECES = "lang string, piece string, n bigint"
 _COUNTS = "lang string, gram string, n bigint"
+_ARROW = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("following", pa.int32()), ("n", pa.int64())])
 _ARROW = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 #: A-Z to a-z, what ends a piece to a line feed, a tab to a space.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\x09", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
@@ -65,48 +67,74 @@ def distinct_pieces(docs: DataFrame, text_col: str = "text", lang_col: str | Non
     return rows.mapInArrow(run, _PIECES).groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
+def words_in(column: str) -> Column:
+    return F.length(column) - F.length(F.replace(column, F.lit(" "))) + 1
+
+
 def _place(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
 
-def _word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    return word_hashes([f"{k}\t{w}".encode() for k, w in zip(langs, words, strict=True)])
-
-
-def _stretch(t: pa.Table, size: int, known: np.ndarray | None) -> pa.Table:
-    """The n-grams of ``size`` words of some pieces with their added weights, without those that the map rules out."""
-    parts = pc.split_pattern(t["piece"].combine_chunks(), " ")
-    flat = pc.list_flatten(parts)
-    piece = np.repeat(np.arange(len(t)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    words, langs = flat.dictionary_encode(), t["lang"].combine_chunks().dictionary_encode()
-    of_piece = langs.indices.to_numpy().astype(np.int64)
-    # One number for each word of a language.
-    both = of_piece[piece] * len(words.dictionary) + words.indices.to_numpy()
-    pairs, code = np.unique(both, return_inverse=True)
-    code = code.astype(np.int64)
-    lang_of, word_of = pairs // max(len(words.dictionary), 1), pairs % max(len(words.dictionary), 1)
-    starts = np.flatnonzero(piece[: len(piece) - size + 1] == piece[size - 1 :]) if len(piece) >= size else np.empty(0, np.int64)
-    if known is not None and len(starts):
-        names = _word_hashes(langs.dictionary.take(pa.array(lang_of)).to_pylist(), words.dictionary.take(pa.array(word_of)).to_pylist())
-        frequent = known[_place(window_hashes(names[code], list(range(size - 1))))]
-        starts = starts[frequent[starts] & frequent[starts + 1]]
-    if not len(starts):
-        return _ARROW.empty_table()
-    # Equal n-grams by numbers, word after word, so that equality is exact.
-    number = code[starts]
-    for k in range(1, size):
-        number = np.unique(number * len(pairs) + code[starts + k], return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(number, kind="stable")
-    first = np.flatnonzero(np.diff(number[order], prepend=-1))
-    weights = t["n"].to_numpy()[piece[starts]]
-    at = starts[order[first]]
-    gram = [words.dictionary.take(pa.array(word_of[code[at + k]])) for k in range(size)]
-    text = pc.binary_join_element_wise(*gram, pa.scalar(" ")) if size > 1 else gram[0]
-    lang = langs.dictionary.take(pa.array(lang_of[code[at]]))
-    return pa.table([lang, text, pa.array(np.add.reduceat(weights[order], first))], schema=_ARROW)
-
-
-def _added(size: int, known: np.ndarray | None):
+def _hashes(texts: pa.Array) -> np.ndarray:
+    return word_hashes(texts.cast(pa.binary()).to_pylist())
+
+
+class _Stretch:
+    """Some pieces as numbers, one for each word of a language, in the order in which they stand."""
+
+    def __init__(self, t: pa.Table):
+        parts = pc.split_pattern(t["piece"].combine_chunks(), " ")
+        self.piece = np.repeat(np.arange(len(t)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        words, langs = pc.list_flatten(parts).dictionary_encode(), t["lang"].combine_chunks().dictionary_encode()
+        self.words, self.langs, self.weights = words.dictionary, langs.dictionary, t["n"].to_numpy()
+        self.code = langs.indices.to_numpy().astype(np.int64)[self.piece] * len(self.words) + words.indices.to_numpy()
+
+    def hashes(self) -> np.ndarray:
+        """Of the word, with its language, at every place."""
+        word, lang = _hashes(self.words)[self.code % len(self.words)], _hashes(self.langs)[self.code // len(self.words)]
+        return mix64(word + lang * _LANGUAGE)
+
+    def grams(self, sizes: list[int], known: np.ndarray | None, gate: int) -> Iterator[pa.Table]:
+        """The n-grams of some sizes with their added weights, without those that hold an n-gram of ``gate`` words that the
+        map rules out."""
+        if len(self.code) < sizes[0]:
+            return
+        if known is not None:
+            frequent = known[_place(window_hashes(self.hashes(), list(range(gate))))]
+        starts, number, size = np.arange(len(self.code)), self.code, 1
+        for wanted in sizes:
+            while size < wanted:
+                # Equal n-grams by numbers, word after word, so that equality is exact.
+                size += 1
+                fits = np.flatnonzero(starts < len(self.piece) - size + 1)
+                fits = fits[self.piece[starts[fits]] == self.piece[starts[fits] + size - 1]]
+                if known is not None and size >= gate:
+                    for k in range(size - gate + 1) if size == max(gate, 2) else [size - gate]:
+                        fits = fits[frequent[starts[fits] + k]]
+                starts, number = starts[fits], number[fits]
+                key = number * (len(self.words) * len(self.langs)) + self.code[starts + size - 1]
+                order, first = _runs(key)
+                number = np.empty(len(key), np.int64)
+                number[order] = np.cumsum(first) - 1
+            if not len(starts):
+                return
+            order, first = _runs(number)
+            at = starts[order[first]]
+            gram = [self.words.take(pa.array(self.code[at + k] % len(self.words))) for k in range(size)]
+            text = pc.binary_join_element_wise(*gram, pa.scalar(" ")) if size > 1 else gram[0]
+            sums = np.add.reduceat(self.weights[self.piece[starts]][order], np.flatnonzero(first))
+            yield pa.table([self.langs.take(pa.array(self.code[at] // len(self.words))), text, pa.array(sums)], schema=_ARROW)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys together, and where in it each begins."""
+    order = np.argsort(key, kind="stable")
+    first = np.ones(len(key), bool)
+    first[1:] = key[order][1:] != key[order][:-1]
+    return order, first
+
+
+def _added(sizes: list[int], known: np.ndarray | None, gate: int):
     """What a task makes of its pieces: their n-grams, equal ones as one row for each ``TOGETHER`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +142,8 @@ def _added(size: int, known: np.ndarray | None):
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            yield from _stretch(pa.Table.from_batches(waiting), size, known).to_batches(max_chunksize=50_000)
+            for found in _Stretch(pa.Table.from_batches(waiting)).grams(sizes, known, gate):
+                yield from found.to_batches(max_chunksize=50_000)
 
         for b in batches:
             waiting.append(b)
@@ -122,7 +151,7 @@ def _added(size: int, known: np.ndarray | None):
             if held >= TOGETHER:
                 yield from out()
                 waiting, held = [], 0
-        if waiting:
+        if held:
             yield from out()
 
     return run
@@ -157,10 +186,10 @@ def _map(counts: DataFrame, size: int) -> np.ndarray | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << MAP_BITS, bool)
         for b in batches:
-            langs, grams = b.column(0).to_pylist(), [g.split(" ") for g in b.column(1).to_pylist()]
-            if grams:
-                flat = _word_hashes([k for k in langs for _ in range(size)], [w for g in grams for w in g])
-                bits[_place(window_hashes(flat, list(range(size)))[::size])] = True
+            if b.num_rows:
+                words = _hashes(pc.list_flatten(pc.split_pattern(b.column(1), " ")))
+                found = window_hashes(mix64(words + np.repeat(_hashes(b.column(0)), size) * _LANGUAGE), list(range(size)))
+                bits[_place(found[::size])] = True
         rows = np.packbits(bits).view(">i8")
         at = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(rows[at].astype(np.int64))], ["at", "bits"])
@@ -174,14 +203,16 @@ def _map(counts: DataFrame, size: int) -> np.ndarray | None:
 
 
 def frequent_grams(pieces: DataFrame, max_words: int = MAX_WORDS, least: int = MIN_COUNT) -> list[DataFrame]:
-    """Frequent n-grams (lang, gram, n) of one word, two words and so on; shorter if no longer ones are frequent."""
+    """Frequent n-grams (lang, gram, n): words, then pairs of frequent words, then what holds frequent pairs only, then all
+    longer ones that hold frequent n-grams of three words only; fewer if none of a size are frequent."""
     levels: list[DataFrame] = []
     known = None
-    for size in range(1, max_words + 1):
-        rows = pieces.mapInArrow(_added(size, known), _COUNTS)
-        levels.append(materialize(rows.repartition("lang", "gram").mapInArrow(_counted(least), _COUNTS)))
-        if size < max_words and (known := _map(levels[-1], size)) is None:
+    for gate, sizes in enumerate([[1], [2], [3], list(range(4, max_words + 1))]):
+        wanted = [k for k in sizes if k <= max_words]
+        if gate and (not wanted or (known := _map(levels[-1], gate)) is None):
             break
+        rows = pieces.mapInArrow(_added(wanted, known, gate), _COUNTS).repartition("lang", "gram")
+        levels.append(materialize(rows.mapInArrow(_counted(least), _COUNTS)))
     return levels
 
 
@@ -189,11 +220,10 @@ def score_phrases(levels: list[DataFrame], totals: DataFrame, contained: int = C
     """Every phrase that no longer one holds as often, with the counts of its parts at the cut that scores least.
 
     Sums and products are decimals of 38 digits, so exact for corpora of up to 10^17 words."""
-    sized = [df.withColumn("size", F.lit(k + 1)) for k, df in enumerate(levels)]
-    counts = sized[0]
-    for df in sized[1:]:
+    counts = levels[0]
+    for df in levels[1:]:
         counts = counts.unionByName(df)
-    counts = counts.withColumnRenamed("n", "f")
+    counts = counts.select("lang", "gram", F.col("n").alias("f"), words_in("gram").alias("size"))
     # A phrase within a longer one is within one of a word more that is no rarer.
     within = F.array(F.expr("substring_index(gram, ' ', size - 1)"), F.expr("substring_index(gram, ' ', 1 - size)"))
     longer = counts.filter(F.col("size") > 2).select("lang", F.explode(within).alias("gram"), "f")
@@ -229,8 +259,7 @@ def mine_phrases(
     plain = plainly_named(docs)
     name = lambda c: f"c{docs.columns.index(c)}"
     pieces = materialize(distinct_pieces(plain, name(text_col), name(lang_col) if lang_col else None))
-    spaces = F.length("piece") - F.length(F.replace("piece", F.lit(" "))) + 1
-    totals = materialize(pieces.groupBy("lang").agg(F.sum(F.col("n") * spaces).alias("n")))
+    totals = materialize(pieces.groupBy("lang").agg(F.sum(F.col("n") * words_in("piece")).alias("n")))
     levels = frequent_grams(pieces, max_words, least)
     discard(pieces)
     return score_phrases(levels, totals, contained)
