@@ -58,6 +58,7 @@ class _Rings:
         few = self.distinct.points < 4
         self.problem = np.select([bad, loose, few], [_COORDINATES, _OPEN, _FEW], "").astype(object)
         self.crossing: set[tuple[int, int]] = set()
+        self.touching: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         self._meetings(self.problem == "")
         self.starts = self.distinct.first()
 
@@ -70,8 +71,14 @@ class _Rings:
         crosses, touches = np.zeros(len(index), bool), np.zeros(len(index), bool)
         for i, j, o1, o2, o3, o4 in meeting(a, b, np.unique(shape, return_counts=True)[1]):
             proper = (o1 * o2 < 0) & (o3 * o4 < 0)
-            other = (ring[i] != ring[j]) & proper
+            apart = ring[i] != ring[j]
+            # Rings may meet in points, but not along a line.
+            share = np.minimum(np.maximum(a[i], b[i]), np.maximum(a[j], b[j])) > np.maximum(np.minimum(a[i], b[i]), np.minimum(a[j], b[j]))
+            along = (o1 == 0) & (o2 == 0) & (o3 == 0) & (o4 == 0) & share.any(1)
+            other = apart & (proper | along)
             self.crossing.update(zip(index[ring[i[other]]].tolist(), index[ring[j[other]]].tolist(), strict=True))
+            for m in np.flatnonzero(apart & ~other):
+                self.touching[index[ring[i[m]]], index[ring[j[m]]]].append((k[i[m]], k[j[m]]))
             own = ring[i] == ring[j]
             i, j = i[own], j[own]
             flat = (o1 == 0) | (o2 == 0) | (o3 == 0) | (o4 == 0)
@@ -96,7 +103,27 @@ class _Rings:
         return self.distinct.xy[self.starts[r] : self.starts[r] + self.distinct.points[r]]
 
     def cross(self, r: int, s: int) -> bool:
-        return (r, s) in self.crossing or (s, r) in self.crossing
+        if (r, s) in self.crossing or (s, r) in self.crossing:
+            return True
+        found = self.touching.get((r, s)) or [(j, i) for i, j in self.touching.get((s, r), ())]
+        return bool(found) and self._through(self.ring(r), self.ring(s), found)
+
+    @staticmethod
+    def _through(r: np.ndarray, s: np.ndarray, found: list[tuple[int, int]]) -> bool:
+        """Whether a ring passes from one side of another to the other where they touch: by the middles of the pieces into
+        which the touching segments are cut."""
+        sides = set()
+        for i in {i for i, _ in found}:
+            p, q = r[i], r[i + 1]
+            ends = np.array([e for k, j in found if k == i for e in (s[j], s[j + 1])])
+            on = (orientation(p[None], q[None], ends) == 0) & (np.minimum(p, q) <= ends).all(1) & (ends <= np.maximum(p, q)).all(1)
+            line = np.concatenate([[p, q], ends[on]])
+            line = line[np.argsort(((line - p) * (q - p)).sum(1), kind="stable")]
+            for mid in (line[1:] + line[:-1])[(line[1:] != line[:-1]).any(1)] / 2:
+                sides.add(inside(mid, s))
+                if {1, -1} <= sides:
+                    return True
+        return False
 
 
 def _apart(boxes: dict[int, tuple], r: int, s: int) -> bool:

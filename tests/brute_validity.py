@@ -68,8 +68,16 @@ def _ring_problem(r: np.ndarray) -> str | None:
 
 
 def _cross_properly(r: np.ndarray, s: np.ndarray) -> bool:
+    """Whether rings cross, share a stretch of line, or pass through one another where they touch."""
     a1, a2, b1, b2 = r[:-1, None], r[1:, None], s[None, :-1], s[None, 1:]
-    return bool(((_cross(a1, a2, b1) * _cross(a1, a2, b2) < 0) & (_cross(b1, b2, a1) * _cross(b1, b2, a2) < 0)).any())
+    if bool(((_cross(a1, a2, b1) * _cross(a1, a2, b2) < 0) & (_cross(b1, b2, a1) * _cross(b1, b2, a2) < 0)).any()):
+        return True
+    sides = set()
+    for p, q in zip(r, r[1:], strict=False):
+        on = [e for e in s if _cross(p, q, e) == 0 and (np.minimum(p, q) <= e).all() and (e <= np.maximum(p, q)).all()]
+        line = sorted([p, q, *on], key=lambda e: float(np.dot(e - p, q - p)))
+        sides |= {inside((x + y) / 2, s) for x, y in zip(line, line[1:], strict=False) if (x != y).any()}
+    return 0 in sides or {1, -1} <= sides
 
 
 def _side(r: np.ndarray, other: np.ndarray) -> int:

@@ -20,7 +20,7 @@ def square(x, y, s):
 def shapes(seed, count):
     rng = np.random.default_rng(seed)
     lattice = lambda n, m: [*(r := rng.integers(0, m, (n, 2)).astype(float).tolist()), r[0]]
-    squares = lambda m: [square(*map(float, rng.integers(0, 9, 2)), float(rng.integers(1, m))) for _ in range(3)]
+    squares = lambda m: [square(*(rng.integers(0, 9, 2) + rng.integers(0, 2) * rng.random(2)).tolist(), float(rng.integers(1, m))) for _ in range(3)]
     for k in range(count):
         if k % 6 == 0:
             yield "Polygon", [[lattice(rng.integers(3, 8), 5)]]
@@ -51,6 +51,26 @@ def test_reasons_equal_brute_force(seed):
     assert {None, "Self-intersection", "Nested shells", "Holes are nested", "Hole lies outside shell"} <= set(want)
 
 
+def test_rings_that_touch():
+    """Rings may touch in points; along lines, or through one another, they may not."""
+    diamond = lambda x, y, s: [[x - s, y], [x, y - s], [x + s, y], [x, y + s], [x - s, y]]
+    cases = [
+        ([[square(0.0, 0.0, 4.0)], [square(2.0, 0.0, 4.0)]], "Self-intersection"),
+        ([[square(0.0, 0.0, 4.0)], [square(4.0, 0.0, 4.0)]], "Self-intersection"),
+        ([[square(0.0, 0.0, 4.0)], [square(0.0, 0.0, 4.0)]], "Self-intersection"),
+        ([[square(0.0, 0.0, 4.0)], [square(4.0, 4.0, 4.0)]], None),
+        ([[square(0.0, 0.0, 4.0)], [diamond(6.0, 2.0, 2.0)]], None),
+        ([[square(0.0, 0.0, 4.0), diamond(2.0, 2.0, 2.0)]], None),
+        ([[square(0.0, 0.0, 4.0), square(0.0, 1.0, 2.0)]], "Self-intersection"),
+        ([[[[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]], [[[2.0, 2.0], [4.0, 2.0], [5.0, 1.0], [5.0, 3.0], [4.0, 2.0], [2.0, 3.0], [2.0, 2.0]]]], "Ring Self-intersection"),
+        ([[[[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]], [[[3.0, 1.0], [4.0, 0.0], [6.0, 2.0], [4.0, 4.0], [3.0, 1.0]]]], "Self-intersection"),
+    ]
+    for parts, why in cases:
+        kind = "MultiPolygon" if len(parts) > 1 else "Polygon"
+        assert validity.problem(kind, parts) == brute.problem(kind, parts) == why, parts
+        assert validity.problem(*validity.repair(kind, parts)) is None
+
+
 def test_odd_shapes_of_a_batch():
     nan = float("nan")
     found = [None, ("Point", [[[[1.0, nan]]]]), ("Point", []), ("MultiPoint", [[[[1.0, 2.0, 3.0]]]]), ("LineString", [[[[0.0, 0.0], [0.0, 0.0]]]]), ("MultiLineString", [[[[0.0, 0.0], [1.0, 0.0]]], [[[1.0, 1.0]]]])]
