@@ -4,9 +4,8 @@ temperature that calibrates its probabilities."""
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from operator import eq
@@ -134,27 +133,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.pooled(texts)) / self.temperature, -30, 30).astype(np.float64)))
 
 
-def contexts(sequences: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
-    """Of each word that occurs ``OFTEN`` times the sum of the index vectors around its places, brought to length 1."""
-    counts = Counter(t for s in sequences for t in s)
-    order = sorted(counts, key=lambda t: (-counts[t], t))
-    number = {t: i for i, t in enumerate(order)}
-    often = sum(n >= OFTEN for n in counts.values())
-    slots = index_slots(order)
-    sums = np.zeros((often, 2 * DIMENSIONS), np.float32)
-    for part in range(0, len(sequences), 500):
-        chunk = sequences[part : part + 500]
-        at = np.fromiter((number[t] for s in chunk for t in s), np.int64)
+def contexts(sequences: Iterable[list[str]]) -> tuple[dict[str, int], np.ndarray]:
+    """Of each word that occurs ``OFTEN`` times the sum of the index vectors around its places, brought to length 1. A
+    sequence is held as numbers of its words, and sums are of whole numbers, so that no order of theirs matters."""
+    number: dict[str, int] = {}
+    numbered = [np.fromiter((number.setdefault(t, len(number)) for t in s), np.int32) for s in sequences]
+    names, slots = list(number), np.empty((len(number), SIGNS), np.uint8)
+    del number
+    for part in range(0, len(names), 10_000):
+        slots[part : part + 10_000] = index_slots(names[part : part + 10_000])
+    counts = np.zeros(len(names), np.int64)
+    for at in numbered:
+        np.add.at(counts, at, 1)
+    often = sorted(np.flatnonzero(counts >= OFTEN).tolist(), key=lambda i: (-counts[i], names[i]))
+    row = np.zeros(len(names), np.int64)
+    row[often] = np.arange(1, len(often) + 1)
+    ids = {names[i]: k for k, i in enumerate(often, 1)}
+    words = len(names)
+    del names
+    # Row 0 stays empty.
+    made = np.zeros((len(often) + 1, DIMENSIONS), np.float32)
+    for part in range(0, len(numbered), 250):
+        chunk = numbered[part : part + 250]
+        at = np.concatenate(chunk).astype(np.int64)
         doc = np.repeat(np.arange(len(chunk)), [len(s) for s in chunk])
-        pairs = [p for d in range(1, WINDOW + 1) for x in [np.flatnonzero(doc[:-d] == doc[d:])] for p in (at[x] * len(order) + at[x + d], at[x + d] * len(order) + at[x])]
+        pairs = []
+        for d in range(1, WINDOW + 1):
+            x = np.flatnonzero(doc[:-d] == doc[d:])
+            for word, near in ((at[x], at[x + d]), (at[x + d], at[x])):
+                learnt = row[word] > 0
+                pairs.append(word[learnt] * words + near[learnt])
         codes, n = np.unique(np.concatenate(pairs), return_counts=True)
-        word, near = np.divmod(codes, max(len(order), 1))
-        word, near, n = word[word < often], near[word < often], n[word < often]
+        word, near = np.divmod(codes, max(words, 1))
+        place = row[word] * DIMENSIONS
         for k in range(SIGNS):
-            np.add.at(sums, (word, slots[near, k]), n)
-    made = sums[:, ::2] - sums[:, 1::2]
-    made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
-    return {t: i + 1 for i, t in enumerate(order[:often])}, np.concatenate([np.zeros((1, DIMENSIONS), np.float32), made])
+            slot = slots[near, k]
+            np.add.at(made.reshape(-1), place + (slot >> 1), np.where(slot & 1, -n, n).astype(np.float32))
+    for part in range(0, len(made), 4096):
+        block = made[part : part + 4096]
+        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-9)
+    return ids, made
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 11, steps: int = 400) -> Model | None:
@@ -162,11 +180,11 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, steps: int = 400) -
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
-    ids, vectors = contexts([list(map(sys.intern, tokens(t))) for t in texts])  # each distinct token once in memory
+    ids, vectors = contexts(map(tokens, texts))
     rng = np.random.default_rng(seed)
     one, zero = np.ones(DIMENSIONS, np.float32), np.zeros(DIMENSIONS, np.float32)
     m = Model(ids, vectors, zero, one, rng.normal(0, DIMENSIONS**-0.5, (DIMENSIONS, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), 0.0)
-    x = np.concatenate([m.pooled(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+    x = np.concatenate([m.pooled(texts[i : i + 100]) for i in range(0, len(texts), 100)])
     m.mean, m.scale = x.mean(0), x.std(0) + 1e-3
     x = (x - m.mean) / m.scale
     order = rng.permutation(len(x))
@@ -191,6 +209,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 11, steps: int = 400) -
     z = m.logits(x[held]).astype(np.float64)
     loss = lambda t: np.logaddexp(0, np.where(y[held] > 0, -z, z) / t).mean()
     m.temperature = min(np.exp(np.linspace(-1.5, 3, 91)), key=loss)
+    m.forget()
     return m
 
 

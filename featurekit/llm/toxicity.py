@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, partial
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ STEM = 5
 #: Examples of a block, and the terms of most examples, that many at most, whose lists keep each block's weights side by side.
 BLOCK = 32
 DENSE = 1024
-#: Blocks that a text meets first, and those after them that it may meet before its bar is raised once more.
-ROUNDS = (4, 32)
+#: Blocks that a text meets before its bar is raised.
+FIRST = 12
+#: Entries of lists that are added up at once, but for one list more.
+HELD = 1 << 15
 #: More than what single precision may be wrong by.
 SLACK = 1e-5
 #: Words of evidence of a text.
@@ -93,6 +96,11 @@ class Index:
         """Weights of the entries from ``begin`` to ``end``, before the vectors are brought to length 1."""
         return (1 + np.log(self.counts[begin:end], dtype=np.float64)) * self.idf[self.terms[begin:end]]
 
+    @cached_property
+    def logs(self) -> np.ndarray:
+        """What a count weighs, by the count."""
+        return np.append(0.0, 1 + np.log(np.arange(1, int(self.counts.max(initial=0)) + 1, dtype=np.float64)))
+
     @cached_property
     def lengths(self) -> np.ndarray:
         squares = [float(w @ w) for w in map(self.raw, self.ptr[:-1].tolist(), self.ptr[1:].tolist())]
@@ -110,16 +118,19 @@ class Index:
         """By vector the cosines and numbers of the examples of largest cosine above 0, exactly, ties to the smaller
         number; and how much each of its terms adds to these cosines, which weigh as in the vote."""
         out = []
+        place = np.full(len(self.idf), -1, np.int32)
         for (t, w), best in zip(vectors, self.lists.candidates(vectors, without), strict=True):
             places = list(zip(self.ptr[best].tolist(), self.ptr[best + 1].tolist(), strict=True))
             found = np.concatenate([self.terms[:0], *(self.terms[a:b] for a, b in places)])
             counts = np.concatenate([self.counts[:0], *(self.counts[a:b] for a, b in places)])
-            which = np.repeat(np.arange(len(best)), [b - a for a, b in places])
+            ends = np.cumsum([b - a for a, b in places], dtype=np.int64)
             # Where an example's term stands in the vector; met are those that it has.
-            at = np.searchsorted(t.astype(found.dtype), found)
-            met = np.flatnonzero(np.append(t, -1)[at] == found)
-            at, which = at[met], which[met]
-            part = w[at] * ((1 + np.log(counts[met], dtype=np.float64)) * self.idf[t][at] / self.lengths[best][which])
+            place[t] = np.arange(len(t))
+            at = place[found]
+            place[t] = -1
+            met = np.flatnonzero(at >= 0)
+            at, which = at[met], np.searchsorted(ends, met, "right")
+            part = w[at] * (self.logs[counts[met]] * self.idf[t][at] / self.lengths[best][which])
             cosine = np.bincount(which, part, len(best)).round(9)
             first = np.lexsort((best, -cosine))[:NEIGHBOURS]
             first = first[cosine[first] > 0]
@@ -177,37 +188,60 @@ class Lists:
         self.place = np.empty(n, np.int32)
         self.place[order] = np.arange(n)
         self.dense = np.zeros((self.blocks, len(often), BLOCK), np.float32)
-        total = int(df.sum() - df[often].sum())
-        rare, listed, weight, so_far = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.float32), 0
+        df[often] = 0
+        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.listed, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
+        free = self.start[:-1].copy()
         for e in range(n):
             t, w = index.example(e)
             at, place = self.row[t], int(self.place[e])
             self.dense[place // BLOCK, at[at >= 0], place % BLOCK] = w[at >= 0]
-            into = slice(so_far, so_far := so_far + int((at < 0).sum()))
-            rare[into], listed[into], weight[into] = t[at < 0], place, w[at < 0]
+            into = free[t[at < 0]]
+            self.listed[into], self.weight[into] = place, w[at < 0]
+            free[t[at < 0]] += 1
         self.most = np.ascontiguousarray(self.dense.max(2).T)
-        by_term = np.argsort(rare, kind="stable")
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(rare, minlength=len(df)))])
-        self.listed, self.weight = listed[by_term], weight[by_term]
+
+    def _listed(self, begin: np.ndarray, end: np.ndarray, w: np.ndarray, room: list[np.ndarray]) -> np.ndarray:
+        """What stretches of the lists, times their terms' weights in a text, add to each example's cosine. Large arrays
+        lie in ``room``, since memory that is new each time costs more than what is done in it."""
+        n = end - begin
+        first = np.cumsum(n) - n
+        at, listed, weight, wide, product = (x[: int(n.sum())] for x in room)
+        at.fill(1)
+        at[first] = begin
+        at[first[1:]] -= end[:-1] - 1
+        np.cumsum(at, out=at)
+        self.listed.take(at, out=listed, mode="clip")
+        self.weight.take(at, out=weight, mode="clip")
+        weight *= np.repeat(w, n)
+        wide[:], product[:] = listed, weight
+        return np.bincount(wide, product, self.blocks * BLOCK)
 
     def candidates(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None) -> list[np.ndarray]:
         """By vector the examples that may be among the nearest; never ``without``'s."""
         queries = np.zeros((len(vectors), self.dense.shape[1]), np.float32)
         near = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
-        for q, total, (t, w) in zip(queries, near, vectors, strict=True):
+        others = []
+        for q, (t, w) in zip(queries, vectors, strict=True):
             common = self.row[t]
             q[common[common >= 0]] = w[common >= 0]
-            t, w = t[common < 0], w[common < 0]
-            n = self.start[t + 1] - self.start[t]
-            at = np.repeat(self.start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            total += np.bincount(self.listed[at], np.repeat(w, n) * self.weight[at], len(total))
+            t, w = t[common < 0], w[common < 0].astype(np.float32)
+            some = self.start[t + 1] > self.start[t]
+            others.append((self.start[t[some]], self.start[t[some] + 1], w[some]))
+        room = [np.empty(HELD + int(np.diff(self.start).max(initial=0)), k) for k in (np.int64, np.int32, np.float32, np.int64, np.float64)]
+        for total, (begin, end, w) in zip(near, others, strict=True):
+            so_far = np.cumsum(end - begin)
+            cuts = np.searchsorted(so_far, np.arange(HELD, so_far[-1], HELD)) + 1 if len(begin) else []
+            for a, b in pairwise([0, *cuts, len(begin)]):
+                if b > a:
+                    total += self._listed(begin[a:b], end[a:b], w[a:b], room)
         if without is not None:
             near[np.arange(len(vectors)), self.place[without]] = -2
         near = near.reshape(len(vectors), self.blocks, BLOCK)
         bound = queries @ self.most + near.max(2) + SLACK
         opened = np.zeros(bound.shape, bool)
         bar = np.full(len(vectors), SLACK)
-        for at_once in (*ROUNDS, self.blocks):
+        for at_once in (FIRST, self.blocks):
             wanted = np.where(opened | (bound < bar[:, None]), 0, bound)
             if at_once < self.blocks:
                 wanted[wanted < np.partition(wanted, -at_once, 1)[:, -at_once, None]] = 0
@@ -239,17 +273,24 @@ def assemble(rows: list[tuple[object, int, np.ndarray, np.ndarray]]) -> Index |
     labels = np.array([r[1] for r in rows], float)
     if len(set(labels.tolist())) < 2:
         return None
-    known = np.unique(np.concatenate([r[2] for r in rows]))
+    known = np.empty(0, np.uint64)
+    for e in range(0, len(rows), 1000):
+        known = np.unique(np.concatenate([known, *(r[2] for r in rows[e : e + 1000])]))
     ptr = np.cumsum([0, *(len(r[2]) for r in rows)])
-    terms, counts = np.empty(ptr[-1], np.int32), np.empty(ptr[-1], np.int32)
+    most = max((int(r[3].max(initial=1)) for r in rows), default=1)
+    terms, counts = np.empty(ptr[-1], np.int32), np.empty(ptr[-1], np.min_scalar_type(most))
     for e, (_, _, h, n) in enumerate(rows):
         order = np.argsort(h)
         terms[ptr[e] : ptr[e + 1]], counts[ptr[e] : ptr[e + 1]] = np.searchsorted(known, h[order]), n[order]
-    df = np.bincount(terms, minlength=len(known))
-    both = np.bincount(terms, np.repeat(labels, np.diff(ptr)), len(known))
+    df, both = np.zeros(len(known), np.int64), np.zeros(len(known))
+    for e in range(0, len(rows), 500):
+        some = slice(e, e + 500)
+        part = terms[ptr[e] : ptr[min(e + 500, len(rows))]]
+        df += np.bincount(part, minlength=len(known))
+        both += np.bincount(part, np.repeat(labels[some], np.diff(ptr)[some]), len(known))
     lift = (both / labels.mean() + 2) / (df + 2)
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1) * np.maximum(lift, 1)
-    return Index(Vocabulary(known), idf, labels, [r[0] for r in rows], ptr, terms, counts.astype(np.min_scalar_type(int(counts.max(initial=1)))))
+    return Index(Vocabulary(known), idf, labels, [r[0] for r in rows], ptr, terms, counts)
 
 
 def build(examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], n: int) -> Index | None:
@@ -293,8 +334,18 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index | N
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = materialize(sample.select("doc_id", "text", "y").repartition(8).mapInArrow(count, f"doc_id {kind}, y int, h binary, n binary"))
-    found = [(r["doc_id"], r["y"], np.frombuffer(bytes(r["h"]), np.uint64), np.frombuffer(bytes(r["n"]), np.int32)) for r in counted.toLocalIterator()]  # rows of the bounded sample
-    return assemble(sorted(found, key=lambda r: r[0]))
+    small = lambda n: n.astype(np.min_scalar_type(int(n.max(initial=1))))
+    found = [(r["doc_id"], r["y"], np.frombuffer(bytes(r["h"]), np.uint64), small(np.frombuffer(bytes(r["n"]), np.int32))) for r in counted.toLocalIterator()]  # rows of the bounded sample
+    found.sort(key=lambda r: r[0])
+    return assemble(found)
+
+
+class Numbers(dict):
+    """Numbers of words, in the order in which they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Scorer:
@@ -302,29 +353,38 @@ class Scorer:
 
     def __init__(self, index: Index, rates: tuple[float, float, float]):
         self.index, self.rates = index, rates
-        self.known: dict[str, int] = {}
-        self.terms = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.stems = Numbers(), Numbers()
+        # By word its own term and its stem's number (-1: none), by stem its term (-1: unknown).
+        self.own, self.stem, self.stem_terms = (np.empty(0, np.int64) for _ in range(3))
+
+    def _terms(self, new: list[str]) -> np.ndarray:
+        have, h = self.index.ids.hashes, hashed(new)
+        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
+        return np.where(have[at] == h, at, -1)
 
     def _numbers(self, found: list[Counter]) -> list[np.ndarray]:
-        """By text the numbers of its distinct words, of which ``first`` and ``second`` have the terms (-1: unknown)."""
-        new = set().union(*found).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*found)
-        new, begin, have = list(new), len(self.known), self.index.ids.hashes
-        self.known.update(zip(new, range(begin, begin + len(new)), strict=True))
-        for of, terms_ in ((0, [terms(w)[0] for w in new]), (1, [terms(w)[-1] if len(w) >= STEM else "" for w in new])):
-            h = hashed(terms_)
-            at = np.minimum(np.searchsorted(have, h), len(have) - 1)
-            self.terms[of] = np.concatenate([self.terms[of][:begin], np.where(have[at] == h, at, -1)])
-        return [np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in found]
+        """By text the numbers of its distinct words, of which ``own`` and ``stem`` lead to the terms."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        begin, stems = len(self.known), len(self.stems)
+        out = [np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in found]
+        new = list(islice(reversed(self.known), len(self.known) - begin))[::-1]
+        stem = np.array([self.stems[w[:STEM]] if len(w) >= STEM else -1 for w in new], np.int64)
+        new_stems = list(islice(reversed(self.stems), len(self.stems) - stems))[::-1]
+        self.own, self.stem = np.append(self.own, self._terms(new)), np.append(self.stem, stem)
+        self.stem_terms = np.append(self.stem_terms, self._terms([f"{x}-" for x in new_stems]))
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
         index, (a, b, bare) = self.index, self.rates
         found = [Counter(words(t)) for t in texts]
         vectors, parts = [], []
         for c, k in zip(found, self._numbers(found), strict=True):
-            ids = np.concatenate([x[k] for x in self.terms])
+            stem = self.stem[k]
+            ids = np.concatenate([self.own[k], np.where(stem >= 0, self.stem_terms[stem], -1) if len(self.stem_terms) else stem])
             at = np.flatnonzero(ids >= 0)
             t, part = np.unique(ids[at], return_inverse=True)
             word = at % max(len(k), 1)
