@@ -61,6 +61,11 @@ class _Rings:
         self.touching: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         self._meetings(self.problem == "")
         self.starts = self.distinct.first()
+        some = np.flatnonzero(self.distinct.points > 0)
+        low, high = (np.full((n, 2), np.nan) for _ in range(2))
+        if len(some):
+            low[some], high[some] = (f.reduceat(self.distinct.xy, self.starts[some]) for f in (np.minimum, np.maximum))
+        self.boxes = list(zip(*low.T.tolist(), *high.T.tolist(), strict=True))
 
     def _meetings(self, sound: np.ndarray) -> None:
         index = np.flatnonzero(sound)
@@ -77,8 +82,9 @@ class _Rings:
             along = (o1 == 0) & (o2 == 0) & (o3 == 0) & (o4 == 0) & share.any(1)
             other = apart & (proper | along)
             self.crossing.update(zip(index[ring[i[other]]].tolist(), index[ring[j[other]]].tolist(), strict=True))
-            for m in np.flatnonzero(apart & ~other):
-                self.touching[index[ring[i[m]]], index[ring[j[m]]]].append((k[i[m]], k[j[m]]))
+            m = apart & ~other
+            for r, s, x, y in zip(index[ring[i[m]]].tolist(), index[ring[j[m]]].tolist(), k[i[m]].tolist(), k[j[m]].tolist(), strict=True):
+                self.touching[r, s].append((x, y))
             own = ring[i] == ring[j]
             i, j = i[own], j[own]
             flat = (o1 == 0) | (o2 == 0) | (o3 == 0) | (o4 == 0)
@@ -102,9 +108,21 @@ class _Rings:
     def ring(self, r: int) -> np.ndarray:
         return self.distinct.xy[self.starts[r] : self.starts[r] + self.distinct.points[r]]
 
+    def apart(self, r: int, s: int) -> bool:
+        """Whether the boxes of two rings share no point."""
+        (a, b, c, d), (e, f, g, h) = self.boxes[r], self.boxes[s]
+        return a > g or b > h or e > c or f > d
+
+    def beside(self, r: int, s: int) -> bool:
+        """Whether their boxes share an edge or a corner at most: neither ring has a point within the other."""
+        (a, b, c, d), (e, f, g, h) = self.boxes[r], self.boxes[s]
+        return a >= g or b >= h or e >= c or f >= d
+
     def cross(self, r: int, s: int) -> bool:
         if (r, s) in self.crossing or (s, r) in self.crossing:
             return True
+        if self.beside(r, s):
+            return False
         found = self.touching.get((r, s)) or [(j, i) for i, j in self.touching.get((s, r), ())]
         return bool(found) and self._through(self.ring(r), self.ring(s), found)
 
@@ -126,36 +144,29 @@ class _Rings:
         return False
 
 
-def _apart(boxes: dict[int, tuple], r: int, s: int) -> bool:
-    (a, b), (c, d) = boxes[r], boxes[s]
-    return bool((a > d).any() or (c > b).any())
-
-
 def _shape_problem(rings: _Rings, parts: list[list[int]]) -> str | None:
     """Why a polygon of several rings is not valid, in the order in which its rings stand."""
-    boxes = {}
     for own in parts:
         for r in own:
             if rings.problem[r]:
                 return rings.problem[r]
-            boxes[r] = rings.ring(r).min(0), rings.ring(r).max(0)
         for k, hole in enumerate(own[1:], 1):
             if rings.cross(hole, own[0]):
                 return _CROSSES
-            if _apart(boxes, hole, own[0]) or _side(rings.ring(hole), rings.ring(own[0])) < 0:
+            if rings.apart(hole, own[0]) or _side(rings.ring(hole), rings.ring(own[0])) < 0:
                 return _OUTSIDE
             for other in own[1:k]:
-                if _apart(boxes, hole, other):
+                if rings.apart(hole, other):
                     continue
                 if rings.cross(hole, other):
                     return _CROSSES
                 if _side(rings.ring(hole), rings.ring(other)) > 0 or _side(rings.ring(other), rings.ring(hole)) > 0:
                     return _HOLES
-    within = lambda r, s: not _apart(boxes, r, s) and _side(rings.ring(r), rings.ring(s)) > 0
+    within = lambda r, s: not rings.beside(r, s) and _side(rings.ring(r), rings.ring(s)) > 0
     shells = [p for p in parts if p]
     for i, a in enumerate(shells):
         for b in shells[:i]:
-            if _apart(boxes, a[0], b[0]):
+            if rings.apart(a[0], b[0]):
                 continue
             if rings.cross(a[0], b[0]):
                 return _CROSSES

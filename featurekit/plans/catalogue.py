@@ -251,7 +251,9 @@ def make_valid_area(spark, d):
     bow = g.polygon(g.ring((zero, zero), (s, s), (s, zero), (zero, s), (zero, zero)))
     twice = g.polygon(g.ring((zero, zero), (s, zero), (s, zero), (s, s), (zero, s), (zero, zero)))
     shape = F.when(F.col("p_partkey") % 3 == 0, bow).when(F.col("p_partkey") % 3 == 1, twice).otherwise(g.rectangle(zero, zero, s, s))
-    df = table(spark, d, "part").filter("p_size > 0").select("p_partkey", make_valid(shape).alias("geometry"))
+    # Few row groups would be few tasks, however many rows they have.
+    rows = table(spark, d, "part").filter("p_size > 0").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    df = rows.select("p_partkey", make_valid(shape).alias("geometry"))
     return df.select("p_partkey", F.round(g.area(F.col("geometry")), 6).alias("area"), g.geometry_type(F.col("geometry")).alias("kind"), is_valid(F.col("geometry")).alias("valid"))
 
 
