@@ -8,6 +8,7 @@ import math
 import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
+from itertools import accumulate, count
 from pathlib import Path
 from typing import Any
 
@@ -149,10 +150,10 @@ def _arrow_of(df: DataFrame, properties: Mapping[str, Any], required: set[str])
     return pa.schema(fields)
 
 
-def write_geoparquet(t: FeatureTable, path: str, properties: Iterable[str] | None = None, schema_map: Mapping[str, Any] | None = None, shrink: bool = True, compression: str | None = COMPRESSION, level: int | None = None, version: str | None = VERSION, single_file: bool = False) -> None:
+def write_geoparquet(t: FeatureTable, path: str, properties: Iterable[str] | None = None, schema_map: Mapping[str, Any] | None = None, shrink: bool = True, compression: str | None = COMPRESSION, level: int | None = None, version: str | None = VERSION, single_file: bool = False, full: bool = False) -> None:
     """Files of ``path`` (one file at ``path`` with ``single_file``): constants as metadata, columns in their schema's
     types, geometry as WKB, and a covering ``bbox`` column last unless the version is 1.0.0. One aggregate gathers the
-    footer's geometry types and bounds. Geometries with Z are an error; duplicate names are one too."""
+    footer's geometry types and bounds. With ``full`` the files have no more row groups than one file would. Geometries with Z are an error; duplicate names are one too."""
     from featurekit.types import cast_to_schema
 
     version = version if version in VERSIONS else VERSION
@@ -173,6 +174,8 @@ def write_geoparquet(t: FeatureTable, path: str, properties: Iterable[str] | Non
     footer = {"geo": json.dumps(geo_metadata(row[4], list(row)[:4] if row[0] is not None else None, t.crs, version, t.geometry)), "collection": json.dumps(dict(t.collection))}
     arrow = _arrow_of(out, schema["properties"], required).with_metadata(footer)
     options = {"path": str(Path(path).parent / f".{Path(path).name}.parts") if single_file else path, "compression": compression or "none", "level": str(level or (LEVEL if compression == "zstd" else "")), "arrow": arrow.serialize().to_pybytes().hex()}
+    if full and not single_file:
+        out = full_groups(out)
     if single_file:
         out, options["single"] = out.coalesce(1), str(path)
     df.sparkSession.dataSource.register(GeoParquetSink)
@@ -181,6 +184,25 @@ def write_geoparquet(t: FeatureTable, path: str, properties: Iterable[str] | Non
         Path(options["path"]).exists() and Path(options["path"]).rmdir()
 
 
+#: Row groups of a bucket that ``full_groups`` deals.
+DEALT = 4
+
+
+def full_groups(df: DataFrame) -> DataFrame:
+    """The same rows, dealt so that all files written of them together have as few row groups as one file would: rows are
+    numbered, and a task gets whole buckets of ``DEALT`` full groups, of which the last alone may not be full. The driver
+    gets a count for each partition."""
+    spark = df.sparkSession
+    part, place, before = (next(n for k in count() if (n := f"{stem}_{k}") not in {c.lower() for c in df.columns}) for stem in ("part", "place", "before"))
+    at = df.withColumn(place, F.monotonically_increasing_id()).withColumn(part, F.shiftright(F.col(place), 33))
+    counts = sorted((r[0], r[1]) for r in df.select(F.shiftright(F.monotonically_increasing_id(), 33).alias("p")).groupBy("p").count().collect())
+    ends = list(accumulate((n for _, n in counts), initial=0))
+    firsts = spark.createDataFrame([(p, n) for (p, _), n in zip(counts, ends, strict=False)], f"`{part}` bigint, `{before}` bigint")
+    bucket = F.floor((F.col(before) + F.col(place).bitwiseAND((1 << 33) - 1)) / (DEALT * ROW_GROUP))
+    numbered = at.join(F.broadcast(firsts), part).withColumn(part, bucket)
+    return numbered.repartition(max(1, -(-ends[-1] // (DEALT * ROW_GROUP))), part).select(*(ref(c) for c in df.columns))
+
+
 @dataclass
 class Footer:
     """What a file's footer says."""
