@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, partial
-from itertools import islice, pairwise
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +26,17 @@ FIT_CHARS = 100_000
 NEIGHBOURS = 15
 #: Letters of a word's beginning that stand for the forms of its stem.
 STEM = 5
-#: Examples of a block, and the terms of most examples, that many at most, whose lists keep each block's weights side by side.
+#: Examples of a block, blocks of a group, and the terms of most examples, that many at most, whose weights a group keeps side
+#: by side where that many of its examples have them.
 BLOCK = 32
-DENSE = 1024
-#: Blocks that a text meets before its bar is raised.
-FIRST = 12
+GROUP = 16
+DENSE = 4096
+SHARED = 32
+#: Commonest terms, kinds and rounds by which like examples are told.
+LEADS, KINDS, ROUNDS = 256, 8, 8
+#: Groups that a text meets before its bar is raised, and texts whose candidates are verified at once.
+FIRST = 1
+ABREAST = 32
 #: Entries of lists that are added up at once, but for one list more.
 HELD = 1 << 15
 #: More than what single precision may be wrong by.
@@ -40,10 +46,16 @@ EVIDENCE = 10
 REMEMBERED = 150_000
 BATCH = 256
 _WORDS = re.compile(r"[^\W\d_]+").findall
+#: The first 256 characters with a blank for each that belongs to no word.
+_LETTERS = "".join(c if _WORDS(c) else " " for c in map(chr, range(256))).encode("latin-1")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORDS((text or "").lower())
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(_LETTERS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORDS(low)
 
 
 def terms(word: str) -> list[str]:
@@ -59,13 +71,20 @@ def hashed(found: Iterable[str]) -> np.ndarray:
 class Vocabulary:
     """Numbers of terms, known by their hashes (ascending)."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
+    def __init__(self, hashes: np.ndarray, numbers: np.ndarray):
+        self.hashes, self.numbers = hashes, numbers
+
+    def numbered(self, found: list[str]) -> np.ndarray:
+        """By term its number, or -1."""
+        h = hashed(found)
+        order = np.argsort(h)  # lookups in order meet what lies near the last one
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.numbers[at], -1) if len(self.hashes) else np.full(len(h), -1)
 
     def get(self, term: str) -> int | None:
-        h = hashed([term])
-        at = int(np.searchsorted(self.hashes, h)[0])
-        return at if at < len(self.hashes) and self.hashes[at] == h[0] else None
+        n = int(self.numbered([term])[0])
+        return n if n >= 0 else None
 
     __getitem__ = get
 
@@ -73,8 +92,9 @@ class Vocabulary:
 @dataclass
 class Index:
     """Examples as TF-IDF vectors of length 1 over all their terms: of example e the terms and their counts from ``ptr[e]``
-    to ``ptr[e + 1]``. ``idf`` also holds how much more often than others toxic examples have a term. What searching
-    needs beyond that is made where it is first asked for."""
+    to ``ptr[e + 1]``. Terms are numbered from the commonest on, so that what is often asked for lies together. ``idf`` also
+    holds how much more often than others toxic examples have a term. What searching needs beyond that is made where it is
+    first asked for."""
 
     ids: Vocabulary
     idf: np.ndarray
@@ -101,10 +121,16 @@ class Index:
         """What a count weighs, by the count."""
         return np.append(0.0, 1 + np.log(np.arange(1, int(self.counts.max(initial=0)) + 1, dtype=np.float64)))
 
+    def stretches(self) -> Iterator[tuple[int, slice, np.ndarray]]:
+        """Some examples at a time: the first one, where their entries lie, and of which of them each entry is."""
+        for e in range(0, len(self.labels), BATCH):
+            n = np.diff(self.ptr[e : e + BATCH + 1])
+            yield e, slice(self.ptr[e], self.ptr[e] + n.sum()), np.repeat(np.arange(len(n)), n)
+
     @cached_property
     def lengths(self) -> np.ndarray:
-        squares = [float(w @ w) for w in map(self.raw, self.ptr[:-1].tolist(), self.ptr[1:].tolist())]
-        return np.maximum(np.sqrt(squares), 1e-12)
+        squares = [np.bincount(of, self.raw(at.start, at.stop) ** 2, min(BATCH, len(self.labels) - e)) for e, at, of in self.stretches()]
+        return np.maximum(np.sqrt(np.concatenate([self.idf[:0], *squares])), 1e-12)
 
     def example(self, e: int) -> tuple[np.ndarray, np.ndarray]:
         begin, end = self.ptr[e], self.ptr[e + 1]
@@ -119,27 +145,38 @@ class Index:
         number; and how much each of its terms adds to these cosines, which weigh as in the vote."""
         out = []
         place = np.full(len(self.idf), -1, np.int32)
-        for (t, w), best in zip(vectors, self.lists.candidates(vectors, without), strict=True):
-            places = list(zip(self.ptr[best].tolist(), self.ptr[best + 1].tolist(), strict=True))
-            found = np.concatenate([self.terms[:0], *(self.terms[a:b] for a, b in places)])
-            counts = np.concatenate([self.counts[:0], *(self.counts[a:b] for a, b in places)])
-            ends = np.cumsum([b - a for a, b in places], dtype=np.int64)
-            # Where an example's term stands in the vector; met are those that it has.
-            place[t] = np.arange(len(t))
-            at = place[found]
-            place[t] = -1
-            met = np.flatnonzero(at >= 0)
-            at, which = at[met], np.searchsorted(ends, met, "right")
-            part = w[at] * (self.logs[counts[met]] * self.idf[t][at] / self.lengths[best][which])
-            cosine = np.bincount(which, part, len(best)).round(9)
-            first = np.lexsort((best, -cosine))[:NEIGHBOURS]
-            first = first[cosine[first] > 0]
-            gain = np.zeros(len(best))
-            gain[first] = 1 / (1.05 - cosine[first])
-            shares = np.bincount(at, part * gain[which], len(t))
-            out.append((cosine[first], best[first], shares))
+        found = self.lists.candidates(vectors, without)
+        for a in range(0, len(vectors), ABREAST):
+            out += self._verified(vectors[a : a + ABREAST], found[a : a + ABREAST], place)
         return out
 
+    def _verified(self, vectors: list[tuple[np.ndarray, np.ndarray]], found: list[np.ndarray], place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        best, size = np.concatenate(found), np.array([len(x) for x in found])
+        text = np.repeat(np.arange(len(found)), size)
+        begin, end = self.ptr[best], self.ptr[best + 1]
+        spans = list(map(slice, begin.tolist(), end.tolist()))
+        ends, terms = np.cumsum([0, *size]), np.cumsum([0, *(len(t) for t, _ in vectors)]).tolist()
+        at = [place[:0]]
+        for (t, _), (a, b), (x, y) in zip(vectors, pairwise(ends.tolist()), pairwise(terms), strict=True):
+            # Where an example's term stands in the vectors; met are those that the text has.
+            place[t] = np.arange(x, y, dtype=np.int32)
+            at.append(place[np.concatenate([self.terms[:0], *map(self.terms.__getitem__, spans[a:b])])])
+            place[t] = -1
+        at = np.concatenate(at)
+        met = np.flatnonzero(at >= 0)
+        at, which = at[met], np.repeat(np.arange(len(best)), end - begin)[met]
+        counts = np.concatenate([self.counts[:0], *map(self.counts.__getitem__, spans)])[met]
+        part = np.concatenate([w * self.idf[t] for t, w in vectors])[at] * self.logs[counts]
+        cosine = (np.bincount(which, part, len(best)) / self.lengths[best]).round(9)
+        order = np.lexsort((best, -cosine, text))
+        first = order[(np.arange(len(best)) - ends[text] < NEIGHBOURS) & (cosine[order] > 0)]
+        gain = np.zeros(len(best))
+        gain[first] = 1 / (1.05 - cosine[first]) / self.lengths[best[first]]
+        shares = np.bincount(at, part * gain[which], terms[-1])
+        cuts = np.searchsorted(text[first], np.arange(len(found) + 1)).tolist()
+        cosine, best = cosine[first], best[first]
+        return [(cosine[a:b], best[a:b], shares[x:y]) for (a, b), (x, y) in zip(pairwise(cuts), pairwise(terms), strict=True)]
+
     def nearest(self, counts: dict[int, int]) -> list[tuple[float, int]]:
         cosine, best, _ = self.search([self.vector(counts)])[0]
         return list(zip(cosine.tolist(), best.tolist(), strict=True))
@@ -162,105 +199,174 @@ class Index:
 
 
 class Lists:
-    """Block-max inverted lists. Examples lie in blocks of ``BLOCK``, like ones together; of each common term every block
-    has its weights and the largest of them, and the few examples of any other term are listed.
+    """Block-max inverted lists. Examples lie in blocks of ``BLOCK``, like ones together, and in groups of ``GROUP`` blocks. Of
+    each term that is common in a group, the group has all weights and the largest of each block; the examples of any other
+    term are listed.
 
-    A text's cosine with an example is at most the block's largest weights of the common terms, times the text's, and
-    the block's largest sum over the other terms. Blocks are opened from the highest bound on, until the bound of those
+    A text's cosine with an example is at most the block's largest weights of the group's terms, times the text's, and
+    the block's largest sum over the lists. Groups are opened from the highest bound on, until the bound of those
     that are left lies below the ``NEIGHBOURS``-th best cosine."""
 
     def __init__(self, index: Index):
-        n, df = len(index.labels), np.bincount(index.terms, minlength=len(index.idf))
-        often = np.argsort(-df, kind="stable")[:DENSE]
-        self.row = np.full(len(df), -1, np.int32)
-        self.row[often] = np.arange(len(often))
-        # Like ones: of the same label, and with most weight on the same one of the commonest terms.
-        lead, most = np.zeros(n, np.int32), np.zeros(n)
-        for e in range(n):
-            t, w = index.example(e)
-            w = np.where((self.row[t] >= 0) & (self.row[t] < 64), w, 0)
-            if len(w):
-                lead[e], most[e] = t[w.argmax()], w.max()
-        order = np.lexsort((most, lead, index.labels))
-        self.blocks = -(-n // BLOCK)
-        self.number = np.full(self.blocks * BLOCK, -1)
+        n, width, size = len(index.labels), BLOCK * GROUP, min(DENSE, len(index.idf))
+        # Like ones: with like weights of the commonest terms (texts of one language, mostly), of the same label, and with most
+        # weight on the same one of these terms.
+        table = np.zeros((n, max(min(LEADS, size), 1)), np.float32)
+        for e, at, of in index.stretches():
+            t = index.terms[at]
+            some = np.flatnonzero(t < table.shape[1])
+            table[e + of[some], t[some]] = index.raw(at.start, at.stop)[some] / index.lengths[e + of[some]]
+        order = np.lexsort((table.max(1), table.argmax(1), index.labels, _kinds(table)))
+        self.groups, self.common = -(-n // width), size
+        self.number = np.full(self.groups * width, -1)
         self.number[:n] = order
         self.place = np.empty(n, np.int32)
         self.place[order] = np.arange(n)
-        self.dense = np.zeros((self.blocks, len(often), BLOCK), np.float32)
-        df[often] = 0
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        self.listed, self.weight = np.empty(self.start[-1], np.int32), np.empty(self.start[-1], np.float32)
-        free = self.start[:-1].copy()
-        for e in range(n):
-            t, w = index.example(e)
-            at, place = self.row[t], int(self.place[e])
-            self.dense[place // BLOCK, at[at >= 0], place % BLOCK] = w[at >= 0]
-            into = free[t[at < 0]]
-            self.listed[into], self.weight[into] = place, w[at < 0]
-            free[t[at < 0]] += 1
-        self.most = np.ascontiguousarray(self.dense.max(2).T)
-
-    def _listed(self, begin: np.ndarray, end: np.ndarray, w: np.ndarray, room: list[np.ndarray]) -> np.ndarray:
-        """What stretches of the lists, times their terms' weights in a text, add to each example's cosine. Large arrays
-        lie in ``room``, since memory that is new each time costs more than what is done in it."""
-        n = end - begin
-        first = np.cumsum(n) - n
-        at, listed, weight, wide, product = (x[: int(n.sum())] for x in room)
-        at.fill(1)
-        at[first] = begin
-        at[first[1:]] -= end[:-1] - 1
-        np.cumsum(at, out=at)
-        self.listed.take(at, out=listed, mode="clip")
-        self.weight.take(at, out=weight, mode="clip")
-        weight *= np.repeat(w, n)
-        wide[:], product[:] = listed, weight
-        return np.bincount(wide, product, self.blocks * BLOCK)
+        had = np.zeros(self.groups * size, np.int64)
+        for e, at, of in index.stretches():
+            t = index.terms[at]
+            some = np.flatnonzero(t < size)
+            had += np.bincount(self.place[e + of[some]] // width * size + t[some], minlength=len(had))
+        had = had.reshape(self.groups, size)
+        own = had >= SHARED
+        self.terms = [np.flatnonzero(x) for x in own]
+        room = np.cumsum([0, *(len(x) * width for x in self.terms)])
+        weights = np.zeros(room[-1], np.float32)
+        self.weights = [weights[a:b].reshape(-1, width) for a, b in pairwise(room.tolist())]
+        row = np.where(own, own.cumsum(1) - 1, -1)
+        df = np.bincount(index.terms, minlength=len(index.idf))
+        df[:size] -= np.where(own, had, 0).sum(0)
+        start = np.concatenate([[0], np.cumsum(df)])
+        self.listed = np.empty(start[-1], np.min_scalar_type(self.groups * width))
+        counts = np.empty(start[-1], index.counts.dtype)
+        free = start[:-1].copy()
+        for e, at, of in index.stretches():
+            t, place = index.terms[at], self.place[e + of]
+            w = index.raw(at.start, at.stop) / index.lengths[e + of]
+            own = np.where(t < size, row[place // width, np.minimum(t, size - 1)], -1)
+            some = np.flatnonzero(own >= 0)
+            weights[room[place[some] // width] + own[some] * width + place[some] % width] = w[some]
+            some = np.flatnonzero(own < 0)
+            some = some[np.argsort(t[some], kind="stable")]
+            t = t[some]
+            head = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
+            n_each = np.diff(np.append(head, len(t)))
+            into = free[t] + np.arange(len(t)) - np.repeat(head, n_each)
+            self.listed[into], counts[into] = place[some], index.counts[at][some]
+            free[t[head]] += n_each
+        self.most = [x.reshape(len(x), GROUP, BLOCK).max(2) for x in self.weights]
+        # Runs: stretches of a list whose examples have the term equally often, and so weigh the same but for their lengths.
+        heads, repeats = [], []
+        cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, start[-1], 1 << 18)), len(df)))
+        for a, b in pairwise(cuts.tolist()):
+            some = slice(start[a], start[b])
+            t, c = np.repeat(np.arange(a, b), df[a:b]), counts[some]
+            order = np.argsort((t - a) * (int(c.max(initial=0)) + 1) + c)
+            self.listed[some], c = self.listed[some][order], c[order]
+            head = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]))[: len(t)])
+            heads.append(head + start[a])
+            repeats.append(c[head])
+        self.begin = np.concatenate([*heads, start[-1:]])
+        self.repeats = np.concatenate([counts[:0], *repeats])
+        self.runs = np.searchsorted(self.begin, start)
+        self.idf, self.logs = index.idf, index.logs
+        self.share = np.zeros(self.groups * width)
+        self.share[self.place] = 1 / index.lengths
+
+    def _runs(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By vector where the runs of its terms begin and end, and what each adds to its examples, but for their lengths."""
+        for some in (vectors[a : a + ABREAST] for a in range(0, len(vectors), ABREAST)):
+            t = np.concatenate([t for t, _ in some])
+            first, many = self.runs[t], self.runs[t + 1] - self.runs[t]
+            ends = np.cumsum(many)
+            run = np.repeat(first - ends + many, many) + np.arange(many.sum())
+            w = np.repeat(np.concatenate([w for _, w in some]) * self.idf[t], many) * self.logs[self.repeats[run]]
+            begin, end = self.begin[run], self.begin[run + 1]
+            cuts = np.append(0, ends)[np.cumsum([0, *(len(t) for t, _ in some)])].tolist()
+            yield from ((begin[a:b], end[a:b], w[a:b]) for a, b in pairwise(cuts))
+
+    def _listed(self, begin: np.ndarray, end: np.ndarray, w: np.ndarray, room: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """What runs add to each example's cosine. Large arrays lie in ``room``, since memory that is new each time costs more
+        than what is done in it."""
+        so_far = np.cumsum(end - begin)
+        out = np.zeros(len(self.share))
+        cuts = np.searchsorted(so_far, np.arange(HELD, so_far[-1], HELD)) + 1 if len(w) else []
+        for a, b in pairwise([0, *cuts, len(w)]):
+            if b > a:
+                n = end[a:b] - begin[a:b]
+                at, place = (x[: int(n.sum())] for x in room)
+                at.fill(1)
+                at[0] = begin[a]
+                at[np.cumsum(n[:-1])] = begin[a + 1 : b] - end[a : b - 1] + 1
+                np.cumsum(at, out=at)
+                self.listed.take(at, out=place, mode="clip")
+                out += np.bincount(place, np.repeat(w[a:b], n), len(out))
+        return out * self.share
 
     def candidates(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None) -> list[np.ndarray]:
         """By vector the examples that may be among the nearest; never ``without``'s."""
-        queries = np.zeros((len(vectors), self.dense.shape[1]), np.float32)
-        near = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
-        others = []
-        for q, (t, w) in zip(queries, vectors, strict=True):
-            common = self.row[t]
-            q[common[common >= 0]] = w[common >= 0]
-            t, w = t[common < 0], w[common < 0].astype(np.float32)
-            some = self.start[t + 1] > self.start[t]
-            others.append((self.start[t[some]], self.start[t[some] + 1], w[some]))
-        room = [np.empty(HELD + int(np.diff(self.start).max(initial=0)), k) for k in (np.int64, np.int32, np.float32, np.int64, np.float64)]
-        for total, (begin, end, w) in zip(near, others, strict=True):
-            so_far = np.cumsum(end - begin)
-            cuts = np.searchsorted(so_far, np.arange(HELD, so_far[-1], HELD)) + 1 if len(begin) else []
-            for a, b in pairwise([0, *cuts, len(begin)]):
-                if b > a:
-                    total += self._listed(begin[a:b], end[a:b], w[a:b], room)
+        width = BLOCK * GROUP
+        queries = np.zeros((self.common, len(vectors)), np.float32)
+        near = np.zeros((len(vectors), self.groups * width), np.float32)
+        room = tuple(np.empty(HELD + int(np.diff(self.begin).max(initial=0)), k) for k in (np.int64, self.listed.dtype))
+        for q, ((t, w), runs) in enumerate(zip(vectors, self._runs(vectors), strict=True)):
+            common = t < self.common
+            queries[t[common], q] = w[common]
+            near[q] = self._listed(*runs, room)
         if without is not None:
             near[np.arange(len(vectors)), self.place[without]] = -2
-        near = near.reshape(len(vectors), self.blocks, BLOCK)
-        bound = queries @ self.most + near.max(2) + SLACK
+        near = near.reshape(len(vectors), self.groups, width)
+        bound = near.reshape(len(vectors), self.groups, GROUP, BLOCK).max(3)
+        for g, (terms, most) in enumerate(zip(self.terms, self.most, strict=True)):
+            bound[:, g] += queries[terms].T @ most
+        bound = bound.max(2) + SLACK
         opened = np.zeros(bound.shape, bool)
         bar = np.full(len(vectors), SLACK)
-        for at_once in (FIRST, self.blocks):
+        for at_once in (FIRST, self.groups):
             wanted = np.where(opened | (bound < bar[:, None]), 0, bound)
-            if at_once < self.blocks:
+            if at_once < self.groups:
                 wanted[wanted < np.partition(wanted, -at_once, 1)[:, -at_once, None]] = 0
-            for b in np.flatnonzero(wanted.any(0)).tolist():
-                of = np.flatnonzero(wanted[:, b])
-                near[of, b] += queries[of] @ self.dense[b]
+            for g in np.flatnonzero(wanted.any(0)).tolist():
+                of = np.flatnonzero(wanted[:, g])
+                near[of, g] += queries[self.terms[g]].take(of, 1).T @ self.weights[g]
             opened |= wanted > 0
-            for q, (o, s) in enumerate(zip(opened, near, strict=True)):
-                found = s[o].ravel()
-                if len(found) > NEIGHBOURS:
-                    bar[q] = max(bar[q], np.partition(found, -NEIGHBOURS)[-NEIGHBOURS] - SLACK)
+            if at_once < self.groups:
+                for q, (o, s) in enumerate(zip(opened, near, strict=True)):
+                    found = s[o].ravel()
+                    if len(found) > NEIGHBOURS:
+                        bar[q] = max(bar[q], np.partition(found, -NEIGHBOURS)[-NEIGHBOURS] - SLACK)
         out = []
         for o, s, least in zip(opened, near, bar, strict=True):
-            b = np.flatnonzero(o)
-            k, i = np.nonzero(s[b] >= least - SLACK)
-            out.append(np.sort(self.number[b[k] * BLOCK + i]))
+            g = np.flatnonzero(o)
+            found = s[g].ravel()
+            at = np.flatnonzero(found >= least - SLACK)
+            if len(at) > NEIGHBOURS:
+                found = found[at]
+                at = at[found >= np.partition(found, -NEIGHBOURS)[-NEIGHBOURS] - 2 * SLACK]
+            out.append(np.sort(self.number[g[at // width] * width + at % width]))
         return [x[x >= 0] for x in out]
 
 
+def _kinds(table: np.ndarray) -> np.ndarray:
+    """By row the number of its kind, of ``KINDS`` or fewer, numbered so that kinds that follow each other are alike. A kind
+    begins as the rows whose largest value is in the same column, one of those of most such rows, and then takes what is
+    nearest to its mean."""
+    lead = table.argmax(1)
+    seeds = np.argsort(-np.bincount(lead, minlength=table.shape[1]), kind="stable")[:KINDS]
+    member = lead[:, None] == seeds
+    for _ in range(ROUNDS):
+        mean = member.T.astype(np.float32) @ table
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+        member = (table @ mean.T).argmax(1)[:, None] == np.arange(len(seeds))
+    like = mean @ mean.T
+    chain_of = [int(member.sum(0).argmax())]
+    while len(chain_of) < len(seeds):
+        rest = like[chain_of[-1]].copy()
+        rest[chain_of] = -1
+        chain_of.append(int(rest.argmax()))
+    return np.argsort(chain_of)[member.argmax(1)]
+
+
 def _logit(p):
     p = np.clip(p, 0.01, 0.99)
     return np.log(p / (1 - p))
@@ -290,7 +396,12 @@ def assemble(rows: list[tuple[object, int, np.ndarray, np.ndarray]]) -> Index |
         both += np.bincount(part, np.repeat(labels[some], np.diff(ptr)[some]), len(known))
     lift = (both / labels.mean() + 2) / (df + 2)
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1) * np.maximum(lift, 1)
-    return Index(Vocabulary(known), idf, labels, [r[0] for r in rows], ptr, terms, counts)
+    order = np.argsort(-df, kind="stable")
+    numbers = np.empty(len(known), np.int32)
+    numbers[order] = np.arange(len(known))
+    for begin in range(0, len(terms), HELD):
+        terms[begin : begin + HELD] = numbers[terms[begin : begin + HELD]]
+    return Index(Vocabulary(known, numbers), idf[order], labels, [r[0] for r in rows], ptr, terms, counts)
 
 
 def build(examples: list[tuple[object, int, dict[str, int]]], df: dict[str, int], n: int) -> Index | None:
@@ -360,47 +471,46 @@ class Scorer:
         # By word its own term and its stem's number (-1: none), by stem its term (-1: unknown).
         self.own, self.stem, self.stem_terms = (np.empty(0, np.int64) for _ in range(3))
 
-    def _terms(self, new: list[str]) -> np.ndarray:
-        have, h = self.index.ids.hashes, hashed(new)
-        at = np.minimum(np.searchsorted(have, h), len(have) - 1)
-        return np.where(have[at] == h, at, -1)
-
-    def _numbers(self, found: list[Counter]) -> list[np.ndarray]:
-        """By text the numbers of its distinct words, of which ``own`` and ``stem`` lead to the terms."""
+    def _numbers(self, found: list[Counter]) -> np.ndarray:
+        """The numbers of the texts' distinct words, of which ``own`` and ``stem`` lead to the terms."""
         if len(self.known) > REMEMBERED:
             self.forget()
         begin, stems = len(self.known), len(self.stems)
-        out = [np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in found]
+        out = np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
         new = list(islice(reversed(self.known), len(self.known) - begin))[::-1]
-        stem = np.array([self.stems[w[:STEM]] if len(w) >= STEM else -1 for w in new], np.int64)
+        stem = np.fromiter((self.stems[w[:STEM]] if len(w) >= STEM else -1 for w in new), np.int64, len(new))
         new_stems = list(islice(reversed(self.stems), len(self.stems) - stems))[::-1]
-        self.own, self.stem = np.append(self.own, self._terms(new)), np.append(self.stem, stem)
-        self.stem_terms = np.append(self.stem_terms, self._terms([f"{x}-" for x in new_stems]))
+        numbered = self.index.ids.numbered
+        self.own, self.stem = np.append(self.own, numbered(new)), np.append(self.stem, stem)
+        self.stem_terms = np.append(self.stem_terms, numbered([f"{x}-" for x in new_stems]))
         return out
 
     def __call__(self, texts: list[str | None]) -> list[tuple[float, list[int], list[str]]]:
         index, (a, b, bare) = self.index, self.rates
         found = [Counter(words(t)) for t in texts]
-        vectors, parts = [], []
-        for c, k in zip(found, self._numbers(found), strict=True):
-            stem = self.stem[k]
-            ids = np.concatenate([self.own[k], np.where(stem >= 0, self.stem_terms[stem], -1) if len(self.stem_terms) else stem])
-            at = np.flatnonzero(ids >= 0)
-            t, part = np.unique(ids[at], return_inverse=True)
-            word = at % max(len(k), 1)
-            n = np.fromiter(c.values(), float, len(c))
-            vectors.append(index.weighed(t, np.bincount(part, n[word], len(t))))
-            parts.append((word, part))
+        # One entry for each distinct word of a text, and as many after these for their stems.
+        k, ends = self._numbers(found), np.cumsum([0, *map(len, found)])
+        text = np.repeat(np.arange(len(texts)), np.diff(ends))
+        stem = self.stem[k]
+        ids = np.concatenate([self.own[k], np.where(stem >= 0, self.stem_terms[stem], -1) if len(self.stem_terms) else stem])
+        at = np.flatnonzero(ids >= 0)
+        entry = at % max(len(k), 1)
+        keys, part = np.unique(text[entry] * len(index.idf) + ids[at], return_inverse=True)
+        of, t = np.divmod(keys, max(len(index.idf), 1))
+        n = np.fromiter(chain.from_iterable(c.values() for c in found), float, len(k))
+        w = (1 + np.log(np.bincount(part, n[entry], len(keys)))) * index.idf[t]
+        w /= np.maximum(np.sqrt(np.bincount(of, w * w, len(texts))), 1e-12)[of]
+        near = index.search([(t[x:y], w[x:y]) for x, y in pairwise(np.searchsorted(of, np.arange(len(texts) + 1)).tolist())])
+        weight = np.bincount(entry, np.concatenate([w[:0], *(shares for _, _, shares in near)])[part], len(k))
         out = []
-        for c, (word, part), (cosine, best, shares) in zip(found, parts, index.search(vectors), strict=True):
+        for c, (x, y), (cosine, best, _) in zip(found, pairwise(ends.tolist()), near, strict=True):
             if not len(best):
                 out.append((bare, [], []))
                 continue
             p = float(1 / (1 + np.exp(-np.clip(a * _logit(index.vote(cosine, best)) + b, -30, 30))))
-            weight = np.bincount(word, shares[part], len(c))
-            first = np.argsort(-weight, kind="stable")[:EVIDENCE]
+            first = np.argsort(-weight[x:y], kind="stable")[:EVIDENCE]
             names = list(c)
-            out.append((p, best.tolist(), sorted(names[i] for i in first.tolist() if weight[i] > 0)))
+            out.append((p, best.tolist(), sorted(names[i] for i in first.tolist() if weight[x + i] > 0)))
         return out
 
 
